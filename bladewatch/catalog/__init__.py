@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from bladewatch.catalog import data_queries
+    from bladewatch.catalog import data_queries, decision_queries
 
-    return (data_queries,)
+    return data_queries, decision_queries
 
 
 def all_queries() -> dict:
