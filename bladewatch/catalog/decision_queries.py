@@ -218,10 +218,9 @@ _COMP, _SYS = S.components("top_abnormal_sensors"), S.systems("top_abnormal_sens
     f"SELECT {K}, array_to_string({_COMP}, ', ') AS impacted_components, array_to_string({_SYS}, ', ') AS systems "
     f"FROM scored", "scored"))
 def e18_target_components(spark, sf_dir):
-    text = F.col("top_abnormal_sensors")
-    return scored(spark, sf_dir).select(
-        *KEY, F.array_join(advice.target_components(text), ", ").alias("impacted_components"),
-        F.array_join(advice.target_systems(text), ", ").alias("systems"))
+    out = advice.with_targets(scored(spark, sf_dir), "top_abnormal_sensors")
+    return out.select(*KEY, F.array_join("components", ", ").alias("impacted_components"),
+                      F.array_join("systems", ", ").alias("systems"))
 
 
 _ACTIONS = S.actions_case("engine_health_status", "comp", "sys")
@@ -431,7 +430,7 @@ def e32_absolute_error(spark, sf_dir):
 _SCEN = f"""scen AS (SELECT {UNIT}, predicted_RUL AS current_rul, latest_anomaly_score AS current_anomaly,
   predicted_RUL / 2e0 AS simulated_rul, least(100e0, latest_anomaly_score + 30e0) AS simulated_anomaly,
   top_abnormal_sensors AS simulated_sensors FROM fleet),
-both AS (SELECT *, {S.status_case('current_rul', 'current_anomaly', 'false', 0)} AS before_status,
+pair AS (SELECT *, {S.status_case('current_rul', 'current_anomaly', 'false', 0)} AS before_status,
   {S.status_case('current_rul', 'current_anomaly', 'false', 1)} AS before_risk,
   {S.composite('current_rul', 'current_anomaly')} AS before_composite,
   {S.status_case('simulated_rul', 'simulated_anomaly', 'false', 0)} AS after_status,
@@ -447,7 +446,7 @@ SELECT * EXCLUDE (comp, sys), least(greatest({_SIM_CONF}, 45e0), 98e0) AS after_
   {S.reason_case('after_status', 'simulated_rul', 'simulated_anomaly', 'simulated_sensors')} AS after_reason,
   {S.recommendation_case('after_status')} AS after_recommendation,
   {S.actions_case('after_status', 'comp', 'sys')} AS after_actions,
-  {S.urgency_case('after_status', 'simulated_rul')} AS after_urgency FROM both""", "fleet"))
+  {S.urgency_case('after_status', 'simulated_rul')} AS after_urgency FROM pair""", "fleet"))
 def e33_what_if(spark, sf_dir):
     scenarios = fleet(spark, sf_dir).select(
         *C.UNIT, R.alias("current_rul"), F.col("latest_anomaly_score").alias("current_anomaly"),
@@ -511,7 +510,7 @@ def a11_engine_summary(spark, sf_dir):
 
 _RANKING = f"""
 tot AS (SELECT subset, count(*) FILTER (WHERE {_FLAG}) AS hits, count(*) AS n FROM sc GROUP BY ALL),
-rank AS (SELECT u.subset, u.sensor,
+ranking AS (SELECT u.subset, u.sensor,
     count(*) FILTER (WHERE top_sensor_1 = sensor AND (hits = 0 OR {_FLAG})) AS top_1_abnormal_count,
     count(*) FILTER (WHERE sensor IN (top_sensor_1, top_sensor_2, top_sensor_3) AND (hits = 0 OR {_FLAG}))
       AS top_3_abnormal_count,
@@ -524,14 +523,15 @@ def _ranking(spark, sf_dir):
     return explain.fleet_sensor_ranking(test_rows(out), used_sensors(train_rows(labelled(spark, sf_dir))))
 
 
-@register("a12_fleet_sensor_ranking", with_ctes(f"WITH {_SC_TEST}, {_RANKING} SELECT * FROM rank", "scored", "usable"))
+@register("a12_fleet_sensor_ranking", with_ctes(f"WITH {_SC_TEST}, {_RANKING} SELECT * FROM ranking", "scored", "usable"))
 def a12_fleet_sensor_ranking(spark, sf_dir):
     return _ranking(spark, sf_dir)
 
 
 @register("o3_top_sensors", with_ctes(
     f"WITH {_SC_TEST}, {_RANKING} SELECT *, row_number() OVER (PARTITION BY subset ORDER BY top_1_abnormal_count DESC, "
-    f"CAST(substr(sensor, 8) AS INTEGER)) AS rank FROM rank QUALIFY rank <= 5", "scored", "usable"))
+    f"CAST(substr(sensor, 8) AS INTEGER)) AS rank FROM ranking QUALIFY row_number() OVER (PARTITION BY subset ORDER BY top_1_abnormal_count DESC, "
+    f"CAST(substr(sensor, 8) AS INTEGER)) <= 5", "scored", "usable"))
 def o3_top_sensors(spark, sf_dir):
     return explain.top_sensors(_ranking(spark, sf_dir), 5)
 
@@ -713,11 +713,11 @@ def _log(spark, sf_dir):
 
 
 _LOG_SQL = f"""log AS (SELECT 'WO-' || CAST(user_id + 1000 AS VARCHAR) AS work_order_id, user_id + 1 AS engine_id,
-  strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_id AS seq, CASE event_type
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", event_id AS seq, CASE event_type
     {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _LOG_STATUS.items())} END AS status FROM events)"""
-_ORDERS_SQL = f"""WITH {_LOG_SQL} SELECT *, min(at) OVER w AS created_at, count(*) OVER w AS changes FROM log
+_ORDERS_SQL = f"""WITH {_LOG_SQL} SELECT *, min("at") OVER w AS created_at, count(*) OVER w AS changes FROM log
 WINDOW w AS (PARTITION BY work_order_id)
-QUALIFY row_number() OVER (PARTITION BY work_order_id ORDER BY at DESC, seq DESC) = 1"""
+QUALIFY row_number() OVER (PARTITION BY work_order_id ORDER BY "at" DESC, seq DESC) = 1"""
 
 
 @register("r2_current_work_orders", _ORDERS_SQL)

@@ -10,7 +10,7 @@ from bladewatch.operators.advisory import fleet_advisory
 from bladewatch.operators.explain import rule_scores
 from bladewatch.operators.features import engine_tail
 from bladewatch.operators.stats import baseline_moments, lifetimes
-from bladewatch.sources.supplied import labelled
+from bladewatch.sources.supplied import hot_units, labelled
 
 
 def train_rows(df: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def test_rows(df: DataFrame) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled cycles with rule-based anomaly scores; predicted_RUL is the capped label."""
     lab = labelled(spark, sf_dir)
-    out = rule_scores(lab, baseline_moments(train_rows(lab)))
+    out = rule_scores(lab, baseline_moments(train_rows(lab), hot_units(spark, sf_dir)))
     return out.withColumns({
         "predicted_RUL": F.col("RUL_capped").cast("double"), "true_RUL": F.col("RUL").cast("double")})
 

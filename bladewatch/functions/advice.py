@@ -2,54 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bladewatch import constants as C
 from bladewatch.functions.health import has_sensor_text
 
 
-def _lookup(position: int) -> Column:
-    return F.create_map(*[F.lit(row[i]) for row in C.SENSOR_DIM for i in (0, position)])
+_TOKEN = r"sensor_\d+"
 
 
-def _mapped(text: Column, position: int, when_nominal: str, when_untagged: str, when_unknown: str) -> Column:
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"sensor_\d+"), 0)
-    table = _lookup(position)
-    known = F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda name: name.isNotNull())
-    names = F.array_distinct(known)
-    return (
-        F.when(~has_sensor_text(text), F.array(F.lit(when_nominal)))
-        .when(F.size(tokens) == 0, F.array(F.lit(when_untagged)))
-        .when(F.size(names) == 0, F.array(F.lit(when_unknown)))
-        .otherwise(names)
-    )
+def sensor_tokens(text: Column) -> Column:
+    """All sensor names of a text in order; empty when the text says nothing is abnormal."""
+    found = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
+    return F.when(has_sensor_text(text), found).otherwise(F.array().cast("array<string>"))
+
+
+def _names_of(tokens: Column, position: int) -> Column:
+    table = F.create_map(*[F.lit(row[i]) for row in C.SENSOR_DIM for i in (0, position)])
+    return F.array_distinct(F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)),
+                                     lambda name: name.isNotNull()))
+
 
+def with_targets(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``components`` and ``systems``: what the sensor tokens of a text point at, first seen first.
 
-def target_components(text: Column) -> Column:
-    """ARRAY of components named by the sensor tokens of a text, in order of appearance."""
-    return _mapped(text, 2, "All Subsystems Nominal", "General Telemetry", "General Subsystems")
+    Tokens and names are columns of their own, so each is worked out once per row.
+    """
+    found = df.withColumns({"_said": has_sensor_text(F.col(text)), "_tokens": sensor_tokens(F.col(text))})
+    named = found.withColumns({"_parts": _names_of(F.col("_tokens"), 2), "_units": _names_of(F.col("_tokens"), 3)})
 
+    def target(names: str, nominal: str, untagged: str, unknown: str) -> Column:
+        return (
+            F.when(~F.col("_said"), F.array(F.lit(nominal)))
+            .when(F.size("_tokens") == 0, F.array(F.lit(untagged)))
+            .when(F.size(names) == 0, F.array(F.lit(unknown)))
+            .otherwise(F.col(names))
+        )
 
-def target_systems(text: Column) -> Column:
-    return _mapped(text, 3, "Nominal", "General Engine Health", "Core Gas Path")
+    return named.withColumns({
+        "components": target("_parts", "All Subsystems Nominal", "General Telemetry", "General Subsystems"),
+        "systems": target("_units", "Nominal", "General Engine Health", "Core Gas Path"),
+    }).drop("_said", "_tokens", "_parts", "_units")
 
 
-def action_items(status: Column, components: Column, systems: Column) -> Column:
-    haystack = F.lower(F.array_join(F.concat(components, systems), " "))
+def matched_tasks(haystack: Column) -> Column:
+    """Inspection tasks whose keywords occur in the lower-cased component and system names; '' when none do."""
     found = []
     for words, text in C.ACTION_ITEMS:
-        hit = F.lit(False)
-        for word in words:
+        hit = haystack.contains(words[0])
+        for word in words[1:]:
             hit = hit | haystack.contains(word)
         found.append(F.when(hit, F.lit(text)))
-    tasks = F.array_compact(F.array(*found))
-    tasks = F.when(F.size(tasks) > 0, tasks).otherwise(F.array(F.lit(C.ACTION_DEFAULT)))
-    joined = F.array_join(tasks, " | ")
-    return (
-        F.when(status == "HEALTHY", F.lit(C.ACTION_HEALTHY))
-        .when(status == "CRITICAL", F.concat(F.lit(C.ACTION_GROUNDING + " | "), joined))
-        .otherwise(joined)
-    )
+    return F.concat_ws(" | ", *found)
+
+
+def action_items(status: Column, tasks: Column) -> Column:
+    body = F.when(tasks == "", F.lit(C.ACTION_DEFAULT)).otherwise(tasks)
+    prefix = F.when(status == "CRITICAL", F.lit(C.ACTION_GROUNDING))
+    return F.when(status == "HEALTHY", F.lit(C.ACTION_HEALTHY)).otherwise(F.concat_ws(" | ", prefix, body))
 
 
 def recommendation(status: Column) -> Column:

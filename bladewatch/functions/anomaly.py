@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from bladewatch import constants as C
-from bladewatch.functions.numeric import clip, half_even, pick
+from bladewatch.functions.numeric import clip, fixed, half_even, pick
 
 
 def deviation_severity(z: Column) -> Column:
@@ -16,6 +16,19 @@ def deviation_contribution(z: Column) -> Column:
     return pick(C.DEVIATION_LEVELS, F.abs(z), 2)
 
 
+def deviation_level(z: Column) -> Column:
+    """Position in the deviation levels, 0 the most severe."""
+    size = F.abs(z)
+    level = F.lit(len(C.DEVIATION_LEVELS) - 1)
+    for i in range(len(C.DEVIATION_LEVELS) - 2, -1, -1):
+        level = F.when(size >= C.DEVIATION_LEVELS[i][0], i).otherwise(level)
+    return level
+
+
+def level_text(level: Column, position: int) -> Column:
+    return F.get(F.array(*[F.lit(row[position]) for row in C.DEVIATION_LEVELS]), level)
+
+
 def anomaly_severity(score: Column) -> Column:
     return pick(C.ANOMALY_SEVERITIES, score)
 
@@ -35,40 +48,4 @@ def anomaly_label(score: Column, vote: Column | None = None, threshold: float =
 def sigma_text(sensor: Column, z: Column, severity: Column) -> Column:
     """``sensor_3 (+2.10σ, High deviation)``."""
     sign = F.when(z >= 0.0, F.lit("+")).otherwise(F.lit(""))
-    return F.concat(sensor, F.lit(" ("), sign, F.format_string("%.2f", z), F.lit("σ, "), severity, F.lit(")"))
-
-
-def ranked_deviations(z_by_sensor: dict[str, Column], top: int | None = 3) -> Column:
-    """ARRAY<STRUCT<sensor, z, abs_dev, severity, contribution>>, largest |z| first.
-
-    Works inside the row. NULL z-scores do not take part; equal |z| keep sensor order.
-    """
-    entries = [
-        F.when(
-            z.isNotNull(),
-            F.struct((-F.abs(z)).alias("sort_key"), F.lit(i).alias("position"), F.lit(name).alias("sensor"),
-                     z.alias("exact")),
-        )
-        for i, (name, z) in enumerate(z_by_sensor.items())
-    ]
-    ranked = F.array_sort(F.array_compact(F.array(*entries)))
-    if top is not None:
-        ranked = F.slice(ranked, 1, top)
-    return F.transform(ranked, _describe)
-
-
-def _describe(entry: Column) -> Column:
-    z = half_even(entry["exact"], 2)
-    return F.struct(
-        entry["sensor"].alias("sensor"),
-        z.alias("z"),
-        half_even(F.abs(entry["exact"]), 2).alias("abs_dev"),
-        deviation_severity(z).alias("severity"),
-        deviation_contribution(z).alias("contribution"),
-    )
-
-
-def deviation_summary(ranked: Column) -> Column:
-    notable = F.filter(ranked, lambda e: e["abs_dev"] >= 1.0)
-    parts = F.transform(notable, lambda e: sigma_text(e["sensor"], e["z"], e["severity"]))
-    return F.when(F.size(notable) > 0, F.array_join(parts, " | ")).otherwise(F.lit(C.NOMINAL_TEXT))
+    return F.concat(sensor, F.lit(" ("), sign, fixed(z, 2), F.lit("σ, "), severity, F.lit(")"))

@@ -38,25 +38,45 @@ def is_disagreement(rul: Column, anomaly: Column) -> Column:
     return ((rul >= 70.0) & (anomaly >= 65.0)) | ((rul <= 20.0) & (anomaly <= 30.0))
 
 
-def health_status(rul: Column, anomaly: Column, label: Column | None = None, limits: dict | None = None) -> Column:
-    """STRUCT<status, risk>; the two special statuses are tested before the ordinary ones."""
-    t = {**C.DECISION, **(limits or {})}
-    flagged = F.lit(False) if label is None else is_flagged(label)
+# Decision outcomes in test order: status and risk level (fixed values).
+OUTCOMES = (
+    ("UNKNOWN BEHAVIOUR", "HIGH"),
+    ("MODEL DISAGREEMENT", "HIGH"),
+    ("CRITICAL", "CRITICAL"),
+    ("MAINTENANCE REQUIRED", "HIGH"),
+    ("MONITOR", "MEDIUM"),
+    ("HEALTHY", "LOW"),
+)
 
-    def outcome(status: str, risk: str) -> Column:
-        return F.struct(F.lit(status).alias("status"), F.lit(risk).alias("risk"))
 
+def outcome_index(rul: Column, anomaly: Column, label: Column | None = None, limits: dict | None = None) -> Column:
+    """Position in ``OUTCOMES``; the two special statuses are tested before the ordinary ones."""
+    t = {**C.DECISION, **(limits or {})}
+    flagged = F.lit(False) if label is None else is_flagged(label)
     return (
-        F.when(is_unknown(rul, anomaly), outcome("UNKNOWN BEHAVIOUR", "HIGH"))
-        .when(is_disagreement(rul, anomaly), outcome("MODEL DISAGREEMENT", "HIGH"))
-        .when((rul < t["critical_rul"]) | (anomaly >= t["critical_anomaly"]), outcome("CRITICAL", "CRITICAL"))
-        .when((rul < t["maintenance_rul"]) | (anomaly >= t["maintenance_anomaly"]),
-              outcome("MAINTENANCE REQUIRED", "HIGH"))
-        .when((rul < t["monitor_rul"]) | (anomaly >= t["monitor_anomaly"]) | flagged, outcome("MONITOR", "MEDIUM"))
-        .otherwise(outcome("HEALTHY", "LOW"))
+        F.when(is_unknown(rul, anomaly), 0)
+        .when(is_disagreement(rul, anomaly), 1)
+        .when((rul < t["critical_rul"]) | (anomaly >= t["critical_anomaly"]), 2)
+        .when((rul < t["maintenance_rul"]) | (anomaly >= t["maintenance_anomaly"]), 3)
+        .when((rul < t["monitor_rul"]) | (anomaly >= t["monitor_anomaly"]) | flagged, 4)
+        .otherwise(5)
     )
 
 
+def outcome_status(index: Column) -> Column:
+    return F.get(F.array(*[F.lit(s) for s, _ in OUTCOMES]), index)
+
+
+def outcome_risk(index: Column) -> Column:
+    return F.get(F.array(*[F.lit(r) for _, r in OUTCOMES]), index)
+
+
+def health_status(rul: Column, anomaly: Column, label: Column | None = None, limits: dict | None = None) -> Column:
+    """STRUCT<status, risk> of one row."""
+    index = outcome_index(rul, anomaly, label, limits)
+    return F.struct(outcome_status(index).alias("status"), outcome_risk(index).alias("risk"))
+
+
 def rul_component(rul: Column) -> Column:
     return clip(rul / F.lit(float(C.RUL_CAP)) * F.lit(100.0), 0.0, 100.0)
 
@@ -89,12 +109,10 @@ def has_sensor_text(text: Column) -> Column:
     return (low != "") & ~low.contains("nominal") & ~low.contains("none")
 
 
-def decision_reason(status: Column, rul: Column, anomaly: Column, sensors: Column) -> Column:
-    clause = F.when(has_sensor_text(sensors), F.concat(F.lit(C.SENSOR_CLAUSE), sensors)).otherwise(F.lit(""))
-    slots = {"rul": one_decimal(rul), "anomaly": one_decimal(anomaly), "sensors": clause}
-
+def reason_template(status: Column, rul: Column, anomaly: Column) -> Column:
+    """Text with the slots {rul}, {anomaly} and {sensors} still open."""
     def text(key: str) -> Column:
-        return _fill(C.REASONS[key], slots)
+        return F.lit(C.REASONS[key])
 
     low_rul, high_anomaly = rul < 20.0, anomaly >= 80.0
     short_rul, raised_anomaly = rul < 45.0, anomaly >= 65.0
@@ -113,14 +131,12 @@ def decision_reason(status: Column, rul: Column, anomaly: Column, sensors: Colum
     )
 
 
-def _fill(template: str, slots: dict[str, Column]) -> Column:
-    pieces = []
-    for chunk in template.replace("{", "\0{").replace("}", "}\0").split("\0"):
-        if chunk.startswith("{"):
-            pieces.append(slots[chunk[1:-1]])
-        elif chunk:
-            pieces.append(F.lit(chunk))
-    return F.concat(*pieces)
+def decision_reason(status: Column, rul: Column, anomaly: Column, sensors: Column) -> Column:
+    clause = F.when(has_sensor_text(sensors), F.concat(F.lit(C.SENSOR_CLAUSE), sensors)).otherwise(F.lit(""))
+    text = reason_template(status, rul, anomaly)
+    for slot, value in (("{rul}", one_decimal(rul)), ("{anomaly}", one_decimal(anomaly)), ("{sensors}", clause)):
+        text = F.replace(text, F.lit(slot), value)
+    return text
 
 
 def simple_action(rul: Column, anomaly: Column) -> Column:

@@ -42,8 +42,13 @@ def pick(levels, value: Column, position: int = 1) -> Column:
     return chosen
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded half to even."""
+    return half_even(value, digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", half_even(value, 1))
+    return fixed(value, 1)
 
 
 def digest(*parts: Column) -> Column:

@@ -17,26 +17,27 @@ def assess(df: DataFrame, rul="predicted_RUL", anomaly="anomaly_score", label="a
            sensors="top_abnormal_sensors", limits: dict | None = None) -> DataFrame:
     """Adds status, composite score, risk level and decision reason as plain column expressions."""
     r, a = F.col(rul), F.col(anomaly)
-    decided = df.withColumn("_decision", health.health_status(r, a, F.col(label) if label in df.columns else None,
-                                                              limits))
-    return decided.withColumns({
-        "engine_health_status": F.col("_decision.status"),
+    index = health.outcome_index(r, a, F.col(label) if label in df.columns else None, limits)
+    decided = df.withColumn("_outcome", index).withColumns({
+        "engine_health_status": health.outcome_status(F.col("_outcome")),
         "composite_health_score": health.composite_score(r, a),
-        "risk_level": F.col("_decision.risk"),
-        "decision_reason": health.decision_reason(F.col("_decision.status"), r, a, F.col(sensors)),
-    }).drop("_decision")
+        "risk_level": health.outcome_risk(F.col("_outcome")),
+    })
+    reason = health.decision_reason(F.col("engine_health_status"), r, a, F.col(sensors))
+    return decided.withColumn("decision_reason", reason).drop("_outcome")
 
 
 def recommend(df: DataFrame, status="engine_health_status", rul="predicted_RUL",
               sensors="top_abnormal_sensors") -> DataFrame:
-    s, text = F.col(status), F.col(sensors)
-    components = advice.target_components(text)
-    return df.withColumns({
+    s = F.col(status)
+    targets = advice.with_targets(df, sensors)
+    names = targets.withColumn("_names", F.lower(F.concat_ws(" ", "components", "systems")))
+    return names.withColumn("_tasks", advice.matched_tasks(F.col("_names"))).withColumns({
         "maintenance_recommendation": advice.recommendation(s),
-        "targeted_action_items": advice.action_items(s, components, advice.target_systems(text)),
-        "impacted_components": F.array_join(components, ", "),
+        "targeted_action_items": advice.action_items(s, F.col("_tasks")),
+        "impacted_components": F.array_join("components", ", "),
         "urgency_window_cycles": advice.urgency_window(s, F.col(rul)),
-    })
+    }).drop("_names", "_tasks", "components", "systems")
 
 
 def add_health_scores(df: DataFrame, rul="predicted_RUL", baseline: float = C.RUL_CAP) -> DataFrame:
@@ -222,10 +223,10 @@ def compare_scenarios(df: DataFrame) -> DataFrame:
     sim_rul, sim_anomaly, text = F.col("simulated_rul"), F.col("simulated_anomaly"), F.col("simulated_sensors")
     both = df.withColumns({
         **part("before", F.col("current_rul"), F.col("current_anomaly")), **part("after", sim_rul, sim_anomaly)})
-    status = F.col("after_status")
-    return both.withColumns({
+    advised = recommend(both, "after_status", "simulated_rul", "simulated_sensors").drop("impacted_components")
+    return advised.withColumns({
         "after_confidence": health.confidence(sim_rul, sim_anomaly),
-        "after_reason": health.decision_reason(status, sim_rul, sim_anomaly, text),
-        "after_recommendation": advice.recommendation(status),
-        "after_actions": advice.action_items(status, advice.target_components(text), advice.target_systems(text)),
-        "after_urgency": advice.urgency_window(status, sim_rul)})
+        "after_reason": health.decision_reason(F.col("after_status"), sim_rul, sim_anomaly, text),
+    }).withColumnsRenamed({
+        "maintenance_recommendation": "after_recommendation", "targeted_action_items": "after_actions",
+        "urgency_window_cycles": "after_urgency"})

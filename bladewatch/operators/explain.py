@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bladewatch import constants as C
-from bladewatch.functions.anomaly import anomaly_label, anomaly_severity, deviation_summary, ranked_deviations
+from bladewatch.functions.anomaly import (
+    anomaly_label, anomaly_severity, deviation_level, level_text, sigma_text,
+)
 from bladewatch.functions.numeric import half_even
 from bladewatch.operators.features import present
 
@@ -14,17 +16,49 @@ def baseline_z(df: DataFrame, baseline: DataFrame) -> tuple[DataFrame, dict[str,
     """Joins the wide baseline (one row per subset) and returns z-score expressions per sensor."""
     sensors = [s for s in present(df, C.SENSORS) if f"mean_{s}" in baseline.columns]
     joined = df.join(F.broadcast(baseline), "subset")
-    return joined, {s: (F.col(s) - F.col(f"mean_{s}")) / F.col(f"std_{s}") for s in sensors}
+    return joined, {s: F.expr(f"({s} - mean_{s}) / std_{s}") for s in sensors}
+
+
+def add_deviations(df: DataFrame, baseline: DataFrame, top: int = 3) -> DataFrame:
+    """Adds ``deviations``, ``top_abnormal_sensors``, ``max_sensor_deviation`` and ``largest_z``.
+
+    ``deviations`` is ARRAY<STRUCT<sensor, z, abs_dev, severity, contribution>>, largest |z| first; equal |z|
+    keep sensor order and unused sensors take no part. The ranking is one sort of a small array inside the row and
+    the ranks are unrolled, so the whole step stays in generated code and needs no shuffle.
+    """
+    joined, z = baseline_z(df, baseline)
+    names = list(z)
+    top = min(top, len(names))
+    scored = joined.select(*df.columns, *[F.expr(f"({s} - mean_{s}) / std_{s} AS _q{i}") for i, s in enumerate(names)])
+    # Unused sensors have NULL moments; key 1.0 puts them behind every real -|z|.
+    entries = ", ".join(f"struct(coalesce(-abs(_q{i}), 1D) AS key, {i} AS pos, _q{i} AS exact)"
+                        for i in range(len(names)))
+    ranked = scored.select(*df.columns, F.expr(f"sort_array(array({entries}))").alias("_ranked"))
+    listed = ", ".join(f"'{s}'" for s in names)
+    cells = {"largest_z": F.expr("CASE WHEN _ranked[0].key <= 0 THEN -_ranked[0].key END")}
+    for k in range(top):
+        cells[f"_z{k}"] = F.expr(f"rint(get(_ranked, {k}).exact * 100D) / 100D")
+        cells[f"_s{k}"] = F.expr(f"CASE WHEN get(_ranked, {k}).key <= 0 THEN get(array({listed}), "
+                                 f"get(_ranked, {k}).pos) END")
+    out = ranked.withColumns(cells)
+    out = out.withColumns({f"_l{k}": deviation_level(F.col(f"_z{k}")) for k in range(top)})
+    out = out.withColumns({f"_v{k}": level_text(F.col(f"_l{k}"), 1) for k in range(top)})
+    structs = [
+        F.struct(F.col(f"_s{k}").alias("sensor"), F.col(f"_z{k}").alias("z"), F.abs(f"_z{k}").alias("abs_dev"),
+                 F.col(f"_v{k}").alias("severity"), level_text(F.col(f"_l{k}"), 2).alias("contribution"))
+        for k in range(top)]
+    used = F.expr(" + ".join(f"CAST(_s{k} IS NOT NULL AS INT)" for k in range(top)))
+    texts = [F.when(F.abs(f"_z{k}") >= 1.0, sigma_text(F.col(f"_s{k}"), F.col(f"_z{k}"), F.col(f"_v{k}")))
+             for k in range(top)]
+    summary = F.when(F.abs("_z0") >= 1.0, F.concat_ws(" | ", *texts)).otherwise(F.lit(C.NOMINAL_TEXT))
+    return out.select(
+        *df.columns, F.slice(F.array(*structs), 1, used).alias("deviations"),
+        summary.alias("top_abnormal_sensors"), F.abs("_z0").alias("max_sensor_deviation"), "largest_z")
 
 
 def explain(df: DataFrame, baseline: DataFrame, top: int = 3) -> DataFrame:
     """Adds ``deviations`` (ranked array), ``top_abnormal_sensors`` and ``max_sensor_deviation``."""
-    joined, z = baseline_z(df, baseline)
-    out = joined.withColumn("deviations", ranked_deviations(z, top)).select(*df.columns, "deviations")
-    return out.withColumns({
-        "top_abnormal_sensors": deviation_summary(F.col("deviations")),
-        "max_sensor_deviation": F.get("deviations", F.lit(0))["abs_dev"],
-    })
+    return add_deviations(df, baseline, top).drop("largest_z")
 
 
 def flatten_ranks(df: DataFrame, top: int = 3) -> DataFrame:
@@ -42,13 +76,9 @@ def flatten_ranks(df: DataFrame, top: int = 3) -> DataFrame:
 
 def rule_scores(df: DataFrame, baseline: DataFrame, top: int = 3) -> DataFrame:
     """Rule-based stand-in for a model: score = 25 x the largest |z|, capped at 100."""
-    joined, z = baseline_z(df, baseline)
-    largest = F.greatest(*[F.abs(x) for x in z.values()])
-    score = half_even(F.least(F.lit(100.0), F.lit(25.0) * largest), 2)
-    scored = joined.withColumns({"deviations": ranked_deviations(z, top), "anomaly_score": score})
-    return scored.select(*df.columns, "deviations", "anomaly_score").withColumns({
-        "top_abnormal_sensors": deviation_summary(F.col("deviations")),
-        "max_sensor_deviation": F.get("deviations", F.lit(0))["abs_dev"],
+    ranked = add_deviations(df, baseline, top)
+    score = half_even(F.least(F.lit(100.0), F.lit(25.0) * F.col("largest_z")), 2)
+    return ranked.withColumn("anomaly_score", score).drop("largest_z").withColumns({
         "anomaly_label": anomaly_label(F.col("anomaly_score")),
         "anomaly_severity": anomaly_severity(F.col("anomaly_score")),
     })
@@ -90,7 +120,7 @@ def fleet_sensor_ranking(scored: DataFrame, used: DataFrame | None = None) -> Da
     """How often each sensor leads or is in the top three, over anomalous rows (all rows if none)."""
     hit = F.col("anomaly_label") == "Anomalous"
     ranked = scored.select(
-        "subset", hit.alias("hit"), F.posexplode(F.transform("deviations", lambda e: e["sensor"])).alias("at", "sensor"))
+        "subset", hit.alias("hit"), F.posexplode(F.col("deviations.sensor")).alias("at", "sensor"))
     counts = ranked.groupBy("subset", "sensor").agg(
         F.count_if(F.col("hit") & (F.col("at") == 0)).alias("hit_1"), F.count_if("hit").alias("hit_3"),
         F.count_if(F.col("at") == 0).alias("all_1"), F.count(F.lit(1)).alias("all_3"))

@@ -22,6 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -33,6 +34,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Session setting the wide projections need.
+
+    HotSpot does not compile methods above 8000 bytes, so a generated method beyond that size is slower than
+    the operator-wise code Spark falls back to under this limit.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a fresh temporary one only when it is unset."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)

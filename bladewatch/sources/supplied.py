@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bladewatch.constants import FRAME
-from bladewatch.operators.labels import add_rul
+from bladewatch.operators.labels import ENGINE_BUCKET, add_rul
 from bladewatch.operators.ordering import bucketed_ordinal, has_oversized_unit
+from bladewatch.session import tune, unit_row_limit
 
 VIEW_SENSORS = (
     "sensor_1", "sensor_2", "sensor_3", "sensor_4", "sensor_7", "sensor_8", "sensor_9", "sensor_11",
@@ -21,13 +22,11 @@ _hot_units: dict[tuple[str, str, str], bool] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hot_units(spark: SparkSession, sf_dir: str) -> bool:
     """Whether any unit of this data set is too large for one task (measured once per session)."""
-    from bladewatch.session import unit_row_limit
-
     key = (spark.sparkContext.applicationId, sf_dir, str(unit_row_limit(spark)))
     if key not in _hot_units:
         _hot_units[key] = has_oversized_unit(table(spark, sf_dir, "lineitem"), ["l_suppkey"])
@@ -82,8 +81,6 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "supplier").withColumns(unit_columns(F.col("s_suppkey")))
     test = units.filter(F.col("split") == "test").withColumn(
         "true_rul", F.pmod(F.floor(F.abs("s_acctbal")), F.lit(146)).cast("long"))
-    from bladewatch.operators.labels import ENGINE_BUCKET
-
     bucket = F.floor(F.col("engine_id") / F.lit(ENGINE_BUCKET))
     numbered = bucketed_ordinal(test, ["subset"], bucket, [F.col("engine_id")], "engine_ordinal")
     return numbered.select("subset", "engine_ordinal", "true_rul")
