@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from bladewatch.catalog import data_queries, decision_queries
+    from bladewatch.catalog import chart_queries, data_queries, decision_queries
 
-    return data_queries, decision_queries
+    return data_queries, decision_queries, chart_queries
 
 
 def all_queries() -> dict:
