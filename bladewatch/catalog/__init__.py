@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from bladewatch.catalog import chart_queries, data_queries, decision_queries
+    from bladewatch.catalog import chart_queries, data_queries, decision_queries, flow_queries, model_queries
 
-    return data_queries, decision_queries, chart_queries
+    return data_queries, decision_queries, chart_queries, flow_queries, model_queries
 
 
 def all_queries() -> dict:

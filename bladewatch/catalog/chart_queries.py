@@ -208,7 +208,7 @@ def v13_sample_timelines(spark, sf_dir):
     f"row_number() OVER (PARTITION BY {UNIT} ORDER BY cycle) AS island FROM scored WHERE anomaly_label = 'Anomalous') "
     f"GROUP BY {UNIT}, island", "scored"))
 def v14_anomalous_spans(spark, sf_dir):
-    return plotdata.anomalous_spans(scored(spark, sf_dir))
+    return plotdata.anomalous_spans(scored(spark, sf_dir), _block(spark, sf_dir))
 
 
 # --- faults -------------------------------------------------------------------------------------
@@ -250,11 +250,15 @@ def injections(spark, sf_dir):
         (F.lit(0.1) + k / F.lit(100.0)).alias("magnitude"), (k * 5 + 1).alias("injected_at_cycle"))
 
 
+def _block(spark, sf_dir):
+    return faults.BLOCK_CYCLES if hot_units(spark, sf_dir) else None
+
+
 def _overlaid(spark, sf_dir):
     lab = labelled(spark, sf_dir)
     return faults.overlay_faults(
-        scored(spark, sf_dir), injections(spark, sf_dir),
-        baseline_moments(train_rows(lab), hot_units(spark, sf_dir)))
+        scored(spark, sf_dir).drop("deviations", "top_abnormal_sensors"), injections(spark, sf_dir),
+        baseline_moments(train_rows(lab), hot_units(spark, sf_dir)), _block(spark, sf_dir))
 
 
 @register("j9_fault_overlay", with_ctes(
@@ -270,9 +274,11 @@ def j9_fault_overlay(spark, sf_dir):
 SELECT injection_id, i.subset, i.split, i.engine_id, fault, injected_at_cycle, min(cycle) AS detected_at_cycle,
   min(cycle) - injected_at_cycle AS latency_cycles
 FROM inj i LEFT JOIN fin f ON i.subset = f.subset AND i.split = f.split AND i.engine_id = f.engine_id
-  AND f.cycle >= injected_at_cycle AND faulted_score >= 60 GROUP BY ALL""", "scored", "lab", "baseline"))
+  AND f.cycle >= injected_at_cycle AND faulted_score >= 60
+GROUP BY injection_id, i.subset, i.split, i.engine_id, fault, injected_at_cycle""", "scored", "lab", "baseline"))
 def j10_detection_latency(spark, sf_dir):
-    return faults.detection_latency(injections(spark, sf_dir), _overlaid(spark, sf_dir)).drop("magnitude")
+    return faults.detection_latency(
+        injections(spark, sf_dir), _overlaid(spark, sf_dir), block=_block(spark, sf_dir)).drop("magnitude")
 
 
 # --- intervals ----------------------------------------------------------------------------------
@@ -315,7 +321,7 @@ def a18_conformal_offsets(spark, sf_dir):
 
 
 @register("a17_interval_calibration", with_ctes(f"""WITH {_RESID},
-iv AS (SELECT p.subset, o.alpha, p.true_RUL_capped AS t, greatest(p.predicted_RUL + coalesce(lo, -15e0), 0e0) AS low,
+iv AS (SELECT p.subset, p.alpha, p.true_RUL_capped AS t, greatest(p.predicted_RUL + coalesce(lo, -15e0), 0e0) AS low,
     p.predicted_RUL + coalesce(hi, 15e0) AS high FROM (
       SELECT l.*, a.alpha, CAST({' + '.join(f'CAST(predicted_RUL >= {e} AS INTEGER)' for e in (20, 40, 70, 100))}
         AS INTEGER) AS bin FROM lifepred l, (VALUES {', '.join(f'({a}e0)' for a in C.ALPHAS)}) a(alpha)

@@ -91,28 +91,28 @@ def sensor_position(name: Column) -> Column:
 def engine_summary(scored: DataFrame) -> DataFrame:
     """One row per engine: last state, anomaly counts, first anomalous cycle, two leading sensors."""
     hit = F.col("anomaly_label") == "Anomalous"
-    top = F.get("deviations", F.lit(0))["sensor"]
-    base = scored.groupBy(*C.UNIT).agg(
+    # First per (engine, leading sensor), then per engine: one pass, and at most one row per sensor reaches an array.
+    parts = scored.groupBy(*C.UNIT, F.get("deviations", F.lit(0))["sensor"].alias("sensor")).agg(
         F.max_by(F.struct("cycle", "anomaly_score", "anomaly_severity", "anomaly_label"), "cycle").alias("last"),
-        F.count(F.lit(1)).alias("total_cycles_observed"),
-        F.count_if(hit).alias("total_anomalous_cycles"),
-        F.coalesce(F.min(F.when(hit, F.col("cycle"))), F.lit(-1)).alias("first_anomalous_cycle"),
-    )
-    counts = scored.filter(hit).groupBy(*C.UNIT, top.alias("sensor")).agg(F.count(F.lit(1)).alias("n"))
-    # At most one row per sensor name and engine reaches the array.
-    leaders = counts.groupBy(*C.UNIT).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), sensor_position(F.col("sensor")).alias("p"),
-                                             "sensor"))).alias("ranked"))
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"),
+        F.min(F.when(hit, F.col("cycle"))).alias("first"))
+    leader = F.struct((-F.col("hits")).alias("k"), sensor_position(F.col("sensor")).alias("p"), "sensor")
+    base = parts.groupBy(*C.UNIT).agg(
+        F.max_by("last", F.col("last.cycle")).alias("last"),
+        F.sum("n").alias("total_cycles_observed"), F.sum("hits").alias("total_anomalous_cycles"),
+        F.coalesce(F.min("first"), F.lit(-1)).alias("first_anomalous_cycle"),
+        F.sort_array(F.collect_list(F.when(F.col("hits") > 0, leader))).alias("ranked"))
     names = F.transform(F.slice("ranked", 1, 2), lambda e: e["sensor"])
     ratio = F.col("total_anomalous_cycles") / F.col("total_cycles_observed") * 100.0
-    return base.join(leaders, list(C.UNIT), "left").select(
+    return base.select(
         *C.UNIT, F.col("last.cycle").alias("last_observed_cycle"),
         F.col("last.anomaly_score").alias("final_anomaly_score"),
         F.col("last.anomaly_severity").alias("final_anomaly_severity"),
         F.col("last.anomaly_label").alias("final_anomaly_status"),
         "total_cycles_observed", "total_anomalous_cycles", half_even(ratio, 2).alias("anomaly_cycle_ratio_pct"),
         "first_anomalous_cycle",
-        F.coalesce(F.array_join(names, ", "), F.lit("None (Nominal)")).alias("top_degraded_sensors"),
+        F.when(F.size("ranked") > 0, F.array_join(names, ", ")).otherwise(F.lit("None (Nominal)"))
+        .alias("top_degraded_sensors"),
     )
 
 
@@ -124,7 +124,8 @@ def fleet_sensor_ranking(scored: DataFrame, used: DataFrame | None = None) -> Da
     counts = ranked.groupBy("subset", "sensor").agg(
         F.count_if(F.col("hit") & (F.col("at") == 0)).alias("hit_1"), F.count_if("hit").alias("hit_3"),
         F.count_if(F.col("at") == 0).alias("all_1"), F.count(F.lit(1)).alias("all_3"))
-    totals = scored.groupBy("subset").agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("rows"))
+    # Every row has one leading sensor, so the leading counts add up to the rows.
+    totals = counts.groupBy("subset").agg(F.sum("hit_1").alias("hits"), F.sum("all_1").alias("rows"))
     sensors = used if used is not None else counts.select("subset", "sensor")
     joined = sensors.join(counts, ["subset", "sensor"], "left").join(F.broadcast(totals), "subset")
     any_hit = F.col("hits") > 0

@@ -9,7 +9,7 @@ from bladewatch.functions.numeric import half_even
 from bladewatch.operators.features import present
 from bladewatch.operators.ordering import first_mark_from, running_sums
 
-BLOCK_CYCLES = 1 << 18
+BLOCK_CYCLES = 1 << 18  # block length for engines too large for one task
 
 
 def fault_steps(injections: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def fault_steps(injections: DataFrame) -> DataFrame:
     return changes.groupBy(*C.UNIT, "cycle").agg(*per_fault)
 
 
-def fault_effects(df: DataFrame, injections: DataFrame, block: int = BLOCK_CYCLES) -> tuple[DataFrame, dict]:
+def fault_effects(df: DataFrame, injections: DataFrame, block: int | None = None) -> tuple[DataFrame, dict]:
     """Telemetry with the running effect of each fault, and the effect expression per sensor."""
     columns = [f"{kind}_{fault}" for fault, *_ in C.FAULTS for kind in ("slope", "level")]
     rows = df.withColumns({c: F.lit(0.0) for c in columns}).withColumn("_row", F.lit(True))
@@ -49,7 +49,7 @@ def fault_effects(df: DataFrame, injections: DataFrame, block: int = BLOCK_CYCLE
     both = rows.unionByName(steps, allowMissingColumns=True)
     summed = running_sums(both, list(C.UNIT), "cycle", columns, block).filter("_row").drop("_row")
     active = summed.withColumns({
-        f"effect_{fault}": half_even(F.col(f"slope_{fault}") * F.col("cycle") + F.col(f"level_{fault}"), 9)
+        f"effect_{fault}": half_even(F.col(f"slope_{fault}") * F.col("cycle") + F.col(f"level_{fault}"), 12)
         for fault, *_ in C.FAULTS}).drop(*columns)
     effects: dict[str, Column] = {}
     for fault, _, _, _, weights in C.FAULTS:
@@ -59,7 +59,7 @@ def fault_effects(df: DataFrame, injections: DataFrame, block: int = BLOCK_CYCLE
     return active, effects
 
 
-def overlay_faults(df: DataFrame, injections: DataFrame, baseline: DataFrame, block: int = BLOCK_CYCLES) -> DataFrame:
+def overlay_faults(df: DataFrame, injections: DataFrame, baseline: DataFrame, block: int | None = None) -> DataFrame:
     """Sensors shifted by effect x baseline std, total effect, and the raised anomaly score.
 
     ``df`` brings ``anomaly_score``; the total counts every affected sensor, measured or not.
@@ -80,7 +80,7 @@ def overlay_faults(df: DataFrame, injections: DataFrame, baseline: DataFrame, bl
 
 
 def detection_latency(injections: DataFrame, scored: DataFrame, score: str = "faulted_score",
-                      threshold: float = C.ANOMALY_THRESHOLD, block: int = BLOCK_CYCLES) -> DataFrame:
+                      threshold: float = C.ANOMALY_THRESHOLD, block: int | None = None) -> DataFrame:
     """First cycle at or after each injection whose score reaches the threshold, and the cycles it took."""
     marks = scored.filter(F.col(score) >= threshold).select(*C.UNIT, "cycle").distinct()
     points = injections.withColumn("cycle", F.col("injected_at_cycle").cast("long"))

@@ -52,7 +52,7 @@ def exact_percentiles(
     value, and walks to the exact ranks. ``group`` must have few values, since the brackets are broadcast:
     they hold len(columns) x len(probabilities) rows per group.
     """
-    slack = 2.0 / accuracy
+    slack = 4.0 / accuracy
     spread = [max(p - slack, 0.0) for p in probabilities] + [min(p + slack, 1.0) for p in probabilities]
     k = len(probabilities)
     wide = df.groupBy(*group).agg(
@@ -65,8 +65,10 @@ def exact_percentiles(
     for c in columns:
         for i, p in enumerate(probabilities):
             rank = F.lit(p) * (F.col(f"n_{c}") - 1)
-            low = F.col(f"lo_{c}") if p <= slack else F.col(f"a_{c}")[i]
-            high = F.col(f"hi_{c}") if p >= 1.0 - slack else F.col(f"a_{c}")[k + i]
+            few = F.col(f"n_{c}") < accuracy  # so few values need no bracket
+            low = F.col(f"lo_{c}") if p <= slack else F.when(few, F.col(f"lo_{c}")).otherwise(F.col(f"a_{c}")[i])
+            high = F.col(f"hi_{c}") if p >= 1.0 - slack else (
+                F.when(few, F.col(f"hi_{c}")).otherwise(F.col(f"a_{c}")[k + i]))
             targets.append(
                 F.struct(
                     F.lit(c).alias("column"), F.lit(p).alias("p"), low.cast("double").alias("low"),
@@ -133,11 +135,15 @@ def exact_percentiles(
     )
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str], block: int) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str], block: int | None) -> DataFrame:
     """Replaces each column by its running sum over ``keys`` by ``order``; rows with equal order share it.
 
-    Sums run inside blocks of the order value and are shifted by the totals of the earlier blocks.
+    With ``block``, sums run inside blocks of the order value and are shifted by the totals of the earlier
+    blocks, so a large key is spread over many tasks.
     """
+    if block is None:
+        whole = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.coalesce(F.sum(c).over(whole), F.lit(0.0)) for c in columns})
     cells = [*keys, "_block"]
     blocks = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,18 +158,21 @@ def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str],
 
 
 def first_mark_from(points: DataFrame, marks: DataFrame, keys: list[str], order: str, name: str,
-                    block: int) -> DataFrame:
+                    block: int | None) -> DataFrame:
     """For each point the smallest mark at or after it (NULL if none), without pairing points and marks.
 
-    Nearest mark inside the point's own block of the order value, else the first mark of a later block.
+    With ``block``: the nearest mark inside the point's own block of the order value, else the first mark of a
+    later block, so a large key is spread over many tasks.
     """
     cells = [*keys, "_block"]
-    block_of = F.floor(F.col(order) / F.lit(block))
+    block_of = F.lit(0) if block is None else F.floor(F.col(order) / F.lit(block))
     both = points.withColumn("_mark", F.lit(None).cast("long")).withColumn("_point", F.lit(True)).unionByName(
         marks.select(*keys, order).withColumn("_mark", F.col(order).cast("long")).withColumn("_point", F.lit(False)),
         allowMissingColumns=True).withColumn("_block", block_of)
     ahead = Window.partitionBy(*cells).orderBy(order).rangeBetween(0, Window.unboundedFollowing)
     later = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    if block is None:
+        return both.withColumn(name, F.min("_mark").over(ahead)).filter("_point").drop("_mark", "_point", "_block")
     firsts = both.groupBy(*cells).agg(F.min("_mark").alias("_first")).withColumn(
         "_later", F.min("_first").over(later)).drop("_first")
     near = both.withColumn("_near", F.min("_mark").over(ahead)).filter("_point")

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bladewatch import constants as C
 from bladewatch.functions.anomaly import anomaly_severity
@@ -56,8 +56,6 @@ def first_engines(df: DataFrame, n: int) -> DataFrame:
 
     The rank limit on distinct ids is applied before the exchange.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("subset").orderBy("engine_id")
     ids = df.select("subset", "engine_id").distinct()
     return ids.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= n).drop("_at")
@@ -177,10 +175,18 @@ def sample_timelines(cycles: DataFrame, columns: list[str], wanted=SAMPLE_ENGINE
         "subset", "engine_id", "cycle")
 
 
-def anomalous_spans(scored: DataFrame, block: int = 1 << 18) -> DataFrame:
-    """Runs of consecutive anomalous cycles per engine, as (first_cycle, last_cycle, cycles)."""
+def anomalous_spans(scored: DataFrame, block: int | None = None) -> DataFrame:
+    """Runs of consecutive anomalous cycles per engine, as (first_cycle, last_cycle, cycles).
+
+    With ``block``, positions are counted in blocks of cycles, which spreads a large engine over many tasks.
+    """
     hits = scored.filter(F.col("anomaly_label") == "Anomalous").select(*C.UNIT, "cycle")
-    numbered = bucketed_ordinal(hits, list(C.UNIT), F.floor(F.col("cycle") / F.lit(block)), [F.col("cycle")], "_at")
+    if block is None:
+        at = F.row_number().over(Window.partitionBy(*C.UNIT).orderBy("cycle"))
+        numbered = hits.withColumn("_at", at)
+    else:
+        bucket = F.floor(F.col("cycle") / F.lit(block))
+        numbered = bucketed_ordinal(hits, list(C.UNIT), bucket, [F.col("cycle")], "_at")
     island = F.col("cycle") - F.col("_at")
     return numbered.groupBy(*C.UNIT, island.alias("_island")).agg(
         F.min("cycle").alias("first_cycle"), F.max("cycle").alias("last_cycle"), F.count(F.lit(1)).alias("cycles")

@@ -1,7 +1,7 @@
 """Fleet-risk Monte Carlo.
 
-Draws depend only on (seed, engine, simulation), so the result does not depend on partitioning. An engine's
-draws live in one array of ``n_sims`` numbers; nothing is joined to produce them.
+Draws depend only on (seed, engine, simulation), so the result does not depend on partitioning, and nothing
+is joined to produce them.
 """
 
 from __future__ import annotations
@@ -15,55 +15,56 @@ from bladewatch.functions.numeric import digest, digest_normal, half_even
 from bladewatch.operators.advisory import primary_fault
 
 
-def _normals(n_sims: int, *parts: Column) -> Column:
-    digests = F.transform(F.sequence(F.lit(0), F.lit(n_sims - 1)), lambda s: digest(*parts, s))
-    return F.transform(digests, digest_normal)
-
-
 def add_draws(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEED) -> DataFrame:
-    """Adds ``draws``: RUL samples per simulation with the engine's own noise plus the common fleet shock."""
-    scale = F.lit(5.0) + F.lit(4.0) * rul_bin(F.col("predicted_RUL"))
-    own = F.transform(
-        _normals(n_sims, F.lit(seed), F.col("engine_id")),
-        lambda z: F.greatest(F.col("predicted_RUL") + z * scale, F.lit(0.0)))
+    """One row per (engine, sim) with ``draw``: the engine's own noise plus the common fleet shock.
+
+    The spread of an engine's own draws is taken from an array inside its row before the rows fan out.
+    """
+    z = F.transform(F.sequence(F.lit(0), F.lit(n_sims - 1)), lambda s: digest_normal(digest(
+        F.lit(seed), F.col("engine_id"), s)))
+    with_z = fleet.withColumn("_z", z)
+    # A lambda sees plain columns only, so nothing costly can be worked out anew for every element.
+    scaled = with_z.withColumn("_scale", F.lit(5.0) + F.lit(4.0) * rul_bin(F.col("predicted_RUL")))
+    own = F.transform("_z", lambda x: F.greatest(F.col("predicted_RUL") + x * F.col("_scale"), F.lit(0.0)))
     count = F.lit(float(n_sims))
-    with_own = fleet.withColumn("_own", own)
-    mean = F.aggregate("_own", F.lit(0.0), lambda a, x: a + x) / count
-    with_mean = with_own.withColumn("_mean", mean)
-    variance = F.aggregate("_own", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / count
-    with_std = with_mean.withColumn("draw_std", F.sqrt(variance))
-    shocked = F.zip_with(
-        "_own", _normals(n_sims, F.lit(seed), F.lit("common")),
-        lambda x, z: F.greatest(x + F.lit(C.COMMON_SHOCK) * F.col("draw_std") * z, F.lit(0.0)))
-    return with_std.withColumn("draws", shocked).drop("_own", "_mean")
+    spread = F.aggregate(
+        "_own", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+        lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")),
+        lambda a: F.sqrt(F.greatest(a["q"] / count - (a["s"] / count) * (a["s"] / count), F.lit(0.0))))
+    kept = list(fleet.columns)
+    fanned = scaled.withColumn("_own", own).withColumn("draw_std", spread).select(
+        *kept, "draw_std", F.posexplode("_own").alias("sim", "own"))
+    shock = digest_normal(digest(F.lit(seed), F.lit("common"), F.col("sim")))
+    draw = F.greatest(F.col("own") + F.lit(C.COMMON_SHOCK) * F.col("draw_std") * shock, F.lit(0.0))
+    return fanned.withColumn("draw", draw).drop("own")
 
 
 def _limits(cycles_per_day: float) -> list[tuple[int, float]]:
     return [(d, d * cycles_per_day) for d in C.HORIZON_DAYS]
 
 
+def _failed(cycles_per_day: float) -> list[Column]:
+    return [F.count_if(F.col("draw") <= limit).alias(str(d)) for d, limit in _limits(cycles_per_day)]
+
+
 def engine_failure(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEED,
                    cycles_per_day: float = C.CYCLES_PER_DAY) -> DataFrame:
-    """Failure probability per engine and horizon, from the engine's own row."""
-    def share(limit: float) -> Column:
-        failed = F.aggregate("draws", F.lit(0), lambda a, x: a + F.when(x <= limit, 1).otherwise(0))
-        return failed / F.lit(float(n_sims))
-
-    rows = [F.struct(F.lit(d).alias("horizon_days"), share(limit).alias("probability"))
-            for d, limit in _limits(cycles_per_day)]
-    kept = ["subset", "engine_id", "engine_health_status", "predicted_RUL"]
-    named = add_draws(fleet, n_sims, seed).withColumn("subsystem", subsystem_of(primary_fault(fleet)))
-    return named.select(*kept, "subsystem", F.inline(F.array(*rows)))
+    """Failure probability per engine and horizon; an engine's draws are counted where they are made."""
+    kept = ["subset", "engine_id", "engine_health_status", "predicted_RUL", "subsystem"]
+    named = fleet.withColumn("subsystem", subsystem_of(primary_fault(fleet))).select(*kept)
+    counts = add_draws(named, n_sims, seed).groupBy(*kept).agg(*_failed(cycles_per_day))
+    days = [str(d) for d, _ in _limits(cycles_per_day)]
+    return counts.unpivot(kept, days, "horizon_days", "failures").select(
+        *kept, F.col("horizon_days").cast("int").alias("horizon_days"),
+        (F.col("failures") / F.lit(float(n_sims))).alias("probability"))
 
 
 def simulation_counts(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEED,
                       cycles_per_day: float = C.CYCLES_PER_DAY) -> DataFrame:
     """Engines down per (subset, horizon, simulation); counted on the map side before the exchange."""
-    limits = _limits(cycles_per_day)
     drawn = add_draws(fleet.select(*C.UNIT, "predicted_RUL"), n_sims, seed)
-    wide = drawn.select("subset", F.posexplode("draws").alias("sim", "draw")).groupBy("subset", "sim").agg(
-        *[F.count_if(F.col("draw") <= limit).alias(str(d)) for d, limit in limits])
-    long = wide.unpivot(["subset", "sim"], [str(d) for d, _ in limits], "horizon_days", "down")
+    wide = drawn.groupBy("subset", "sim").agg(*_failed(cycles_per_day))
+    long = wide.unpivot(["subset", "sim"], [str(d) for d, _ in _limits(cycles_per_day)], "horizon_days", "down")
     return long.withColumn("horizon_days", F.col("horizon_days").cast("int"))
 
 
@@ -90,15 +91,18 @@ def horizon_summary(counts: DataFrame, capacity: int = C.SHOP_CAPACITY,
 
 
 def exceedance(counts: DataFrame) -> DataFrame:
-    """P(at least k engines down), k = 1 .. max(10, p99 + 2)."""
-    grouped = counts.groupBy("subset", "horizon_days").agg(
-        F.collect_list("down").alias("all_down"),  # one number per simulation
-        F.percentile("down", 0.99).alias("p99"))
-    top = F.greatest(F.lit(10.0), F.col("p99") + 2.0).cast("int")
-    rows = grouped.withColumn("at_least", F.explode(F.sequence(F.lit(1), top)))
-    reached = F.size(F.filter("all_down", lambda x: x >= F.col("at_least")))
-    share = half_even(reached / F.size("all_down") * 100.0, 1)
-    return rows.select("subset", "horizon_days", "at_least", share.alias("probability_pct"))
+    """P(at least k engines down), k = 1 .. max(10, p99 + 2), as a running count over the observed numbers."""
+    cell = ["subset", "horizon_days"]
+    tops = counts.groupBy(*cell).agg(F.count(F.lit(1)).alias("sims"), F.percentile("down", 0.99).alias("p99"))
+    top = F.greatest(F.lit(10.0), F.col("p99") + 2.0).cast("long")
+    grid = tops.select(*cell, "sims", F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("at_least"),
+                       F.lit(0).cast("long").alias("n"))
+    seen = counts.groupBy(*cell, F.col("down").alias("at_least")).agg(F.count(F.lit(1)).alias("n"))
+    down_to = Window.partitionBy(*cell).orderBy(F.col("at_least").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    both = grid.unionByName(seen, allowMissingColumns=True).withColumn("reached", F.sum("n").over(down_to))
+    return both.filter(F.col("sims").isNotNull()).select(
+        *cell, F.col("at_least").cast("int").alias("at_least"),
+        half_even(F.col("reached") / F.col("sims") * 100.0, 1).alias("probability_pct"))
 
 
 def concentration(failure: DataFrame) -> DataFrame:
