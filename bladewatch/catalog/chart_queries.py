@@ -234,11 +234,11 @@ _OVERLAY = f"""{_INJ}, eff AS (SELECT {K}, {', '.join(f'sum({_weights(s)} * f) A
     SELECT s.subset, s.split, s.engine_id, s.cycle, fault, magnitude * {_ONSET} AS f
     FROM scored s JOIN inj i ON s.subset = i.subset AND s.split = i.split AND s.engine_id = i.engine_id
       AND s.cycle >= i.injected_at_cycle) GROUP BY ALL),
-over AS (SELECT l.*, {' + '.join(f'abs(coalesce(e_{s}, 0e0))' for s in _AFFECTED)} AS mag,
+over AS (SELECT l.*, {rnd(' + '.join(f'abs(coalesce(e_{s}, 0e0))' for s in _AFFECTED), 9)} AS mag,
     {', '.join(f'coalesce(e_{s}, 0e0) AS f_{s}' for s in _SHIFTED)}, anomaly_score
   FROM lab l JOIN scored USING ({UNIT}, cycle) LEFT JOIN eff USING ({UNIT}, cycle)),
 fin AS (SELECT {K}, {', '.join(f"{s} + f_{s} * (SELECT any_value(std) FROM baseline b WHERE b.subset = o.subset AND sensor = '{s}') AS x_{s}" for s in _SHIFTED)},
-    mag, {rnd('least(100e0, anomaly_score + mag * 12e0)', 1)} AS faulted_score FROM over o)"""
+    mag, {rnd(rnd('least(100e0, anomaly_score + mag * 12e0)', 6), 1)} AS faulted_score FROM over o)"""
 
 
 def injections(spark, sf_dir):
@@ -257,7 +257,7 @@ def _block(spark, sf_dir):
 def _overlaid(spark, sf_dir):
     lab = labelled(spark, sf_dir)
     return faults.overlay_faults(
-        scored(spark, sf_dir).drop("deviations", "top_abnormal_sensors"), injections(spark, sf_dir),
+        scored(spark, sf_dir).drop("deviations", "ranked_sensors", "top_abnormal_sensors"), injections(spark, sf_dir),
         baseline_moments(train_rows(lab), hot_units(spark, sf_dir)), _block(spark, sf_dir))
 
 

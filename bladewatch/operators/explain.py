@@ -20,7 +20,7 @@ def baseline_z(df: DataFrame, baseline: DataFrame) -> tuple[DataFrame, dict[str,
 
 
 def add_deviations(df: DataFrame, baseline: DataFrame, top: int = 3) -> DataFrame:
-    """Adds ``deviations``, ``top_abnormal_sensors``, ``max_sensor_deviation`` and ``largest_z``.
+    """Adds ``deviations``, ``ranked_sensors``, ``top_abnormal_sensors``, ``max_sensor_deviation``, ``largest_z``.
 
     ``deviations`` is ARRAY<STRUCT<sensor, z, abs_dev, severity, contribution>>, largest |z| first; equal |z|
     keep sensor order and unused sensors take no part. The ranking is one sort of a small array inside the row and
@@ -53,7 +53,7 @@ def add_deviations(df: DataFrame, baseline: DataFrame, top: int = 3) -> DataFram
     summary = F.when(F.abs("_z0") >= 1.0, F.concat_ws(" | ", *texts)).otherwise(F.lit(C.NOMINAL_TEXT))
     return out.select(
         *df.columns, F.slice(F.array(*structs), 1, used).alias("deviations"),
-        summary.alias("top_abnormal_sensors"), F.abs("_z0").alias("max_sensor_deviation"), "largest_z")
+        F.slice(F.array(*[F.col(f"_s{k}") for k in range(top)]), 1, used).alias("ranked_sensors"), summary.alias("top_abnormal_sensors"), F.abs("_z0").alias("max_sensor_deviation"), "largest_z")
 
 
 def explain(df: DataFrame, baseline: DataFrame, top: int = 3) -> DataFrame:
@@ -71,7 +71,7 @@ def flatten_ranks(df: DataFrame, top: int = 3) -> DataFrame:
         out[f"top_sensor_{k}_abs_dev"] = entry["abs_dev"]
         out[f"top_sensor_{k}_severity"] = entry["severity"]
         out[f"top_sensor_{k}_contribution"] = entry["contribution"]
-    return df.withColumns(out).drop("deviations")
+    return df.withColumns(out).drop("deviations", "ranked_sensors")
 
 
 def rule_scores(df: DataFrame, baseline: DataFrame, top: int = 3) -> DataFrame:
@@ -92,7 +92,7 @@ def engine_summary(scored: DataFrame) -> DataFrame:
     """One row per engine: last state, anomaly counts, first anomalous cycle, two leading sensors."""
     hit = F.col("anomaly_label") == "Anomalous"
     # First per (engine, leading sensor), then per engine: one pass, and at most one row per sensor reaches an array.
-    parts = scored.groupBy(*C.UNIT, F.get("deviations", F.lit(0))["sensor"].alias("sensor")).agg(
+    parts = scored.groupBy(*C.UNIT, F.get("ranked_sensors", F.lit(0)).alias("sensor")).agg(
         F.max_by(F.struct("cycle", "anomaly_score", "anomaly_severity", "anomaly_label"), "cycle").alias("last"),
         F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"),
         F.min(F.when(hit, F.col("cycle"))).alias("first"))
@@ -119,11 +119,17 @@ def engine_summary(scored: DataFrame) -> DataFrame:
 def fleet_sensor_ranking(scored: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """How often each sensor leads or is in the top three, over anomalous rows (all rows if none)."""
     hit = F.col("anomaly_label") == "Anomalous"
-    ranked = scored.select(
-        "subset", hit.alias("hit"), F.posexplode(F.col("deviations.sensor")).alias("at", "sensor"))
+    # Rows are counted per ranked triple first; only those few combinations are taken apart.
+    triples = scored.groupBy("subset", hit.alias("hit"), F.col("ranked_sensors").alias("names")).agg(
+        F.count(F.lit(1)).alias("n"))
+    ranked = triples.select("subset", "hit", "n", F.posexplode("names").alias("at", "sensor"))
+
+    def total(keep: Column) -> Column:
+        return F.sum(F.when(keep, F.col("n")).otherwise(0))
+
     counts = ranked.groupBy("subset", "sensor").agg(
-        F.count_if(F.col("hit") & (F.col("at") == 0)).alias("hit_1"), F.count_if("hit").alias("hit_3"),
-        F.count_if(F.col("at") == 0).alias("all_1"), F.count(F.lit(1)).alias("all_3"))
+        total(F.col("hit") & (F.col("at") == 0)).alias("hit_1"), total(F.col("hit")).alias("hit_3"),
+        total(F.col("at") == 0).alias("all_1"), F.sum("n").alias("all_3"))
     # Every row has one leading sensor, so the leading counts add up to the rows.
     totals = counts.groupBy("subset").agg(F.sum("hit_1").alias("hits"), F.sum("all_1").alias("rows"))
     sensors = used if used is not None else counts.select("subset", "sensor")

@@ -73,9 +73,10 @@ def overlay_faults(df: DataFrame, injections: DataFrame, baseline: DataFrame, bl
     shifted = {
         s: F.col(s) + F.coalesce(effects[s] * F.col(f"std_{s}"), F.lit(0.0))
         for s in present(df, C.SENSORS) if s in effects and f"std_{s}" in scales}
-    out = joined.withColumn("fault_magnitude", total).withColumns(shifted)
+    # Sums carry residue in the last bits; it is dropped before anything is rounded to few digits.
+    out = joined.withColumn("fault_magnitude", half_even(total, 9)).withColumns(shifted)
     raised = F.least(F.lit(100.0), F.col("anomaly_score") + F.col("fault_magnitude") * 12.0)
-    return out.withColumn("faulted_score", half_even(raised, 1)).drop(
+    return out.withColumn("faulted_score", half_even(half_even(raised, 6), 1)).drop(
         *scales, *[f"effect_{f}" for f, *_ in C.FAULTS])
 
 
