@@ -4,23 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bladewatch.llm import mixing, weak_rules
+from bladewatch.llm import license_scan, mixing, url_graph, warc, weak_rules
 from bladewatch.llm.common import table
 
 
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+    ("block", "net/fr/")]
+
+
+def op1_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_rules.quality(table(spark, sf_dir, "documents"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op1_host_graph": op1_host_graph,
     "op3_weak_supervision": op3_weak_supervision,
+    "op8_license_scan": op8_license_scan,
+    "op9_warc_round_trip": op9_warc_round_trip,
     "op10_source_mix": op10_source_mix,
 }
 
