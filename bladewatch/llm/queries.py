@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bladewatch.llm import license_scan, mixing, url_graph, warc, weak_rules
+from bladewatch.llm import license_scan, mixing, packing, url_graph, warc, weak_rules
 from bladewatch.llm.common import table
 
 
@@ -17,6 +17,16 @@ def op1_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_graph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_rules.quality(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -38,6 +48,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_host_graph": op1_host_graph,
+    "op2_bounded_packing": op2_bounded_packing,
     "op3_weak_supervision": op3_weak_supervision,
     "op8_license_scan": op8_license_scan,
     "op9_warc_round_trip": op9_warc_round_trip,
