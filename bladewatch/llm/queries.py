@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bladewatch.llm import license_scan, mixing, packing, url_graph, warc, weak_rules
+from bladewatch.llm import license_scan, mixing, packing, sentence_spans, url_graph, warc, weak_rules
 from bladewatch.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_host_graph": op1_host_graph,
     "op2_bounded_packing": op2_bounded_packing,
     "op3_weak_supervision": op3_weak_supervision,
+    "op5_sentence_spans": op5_sentence_spans,
     "op8_license_scan": op8_license_scan,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_source_mix": op10_source_mix,
