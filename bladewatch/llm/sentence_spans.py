@@ -12,15 +12,19 @@ from bladewatch.llm.common import let
 
 RUN = 2
 LEAST_CHARS = 60  # of a span; shorter ones repeat by chance
-# after sentence punctuation and white space, or after a line end, before the next visible character
-BREAK = r"(?=[^\x20\x09-\x0D])(?<=[.!?][\x20\x09-\x0D]{1,4}|\n[\x20\x09-\x0D]{0,4})"
+# between sentences: white space after sentence punctuation, or a line end with the white space around it
+BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09\x0D]*\n[\x20\x09-\x0D]*"
 WHITE = " \t\n\x0b\x0c\r"
 _DOC = ("_sp_id", "_sp_text")
 
 
+def _trimmed(text: Column) -> Column:
+    return F.trim(F.coalesce(text, F.lit("")), F.lit(WHITE))
+
+
 def sentences(text: Column) -> Column:
-    """The sentences with the white space that follows each; together they are the whole text. None for null."""
-    return F.split(F.coalesce(text, F.lit("")), BREAK)
+    """The sentences without the white space around them; one empty sentence for a blank or null text."""
+    return F.split(_trimmed(text), BREAK)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,7 +39,7 @@ def spans(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_co
     def keys(s: Column) -> Column:
         runs = F.transform(
             F.slice(s, F.lit(1), F.greatest(F.size(s) - (run - 1), F.lit(0))),
-            lambda x, i: F.struct(i.alias("at"), F.concat_ws("\x1f", *[_bare(F.get(s, i + k)) for k in range(run)]).alias("w")))
+            lambda x, i: F.struct(i.alias("at"), F.concat_ws("\x1f", *[F.get(s, i + k) for k in range(run)]).alias("w")))
         long_enough = F.filter(runs, lambda r: F.length(r["w"]) >= least_chars)
         return F.transform(long_enough, lambda r: F.struct(r["at"].alias("at"), F.unhex(F.md5(r["w"])).alias("key")))
 
@@ -43,10 +47,6 @@ def spans(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_co
     return keyed.select(*_DOC, F.inline(let(sentences(F.col(text_col)), keys)))
 
 
-def _bare(sentence: Column) -> Column:
-    return F.rtrim(sentence, F.lit(WHITE))
-
-
 def repeated(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(_sp_id, _sp_text, at, first_id): spans that are not the first occurrence of their wording.
@@ -89,17 +89,19 @@ def repeated_passages(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_
 
 def without_repeats(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
                     text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """All documents, with their own columns and without the repeated sentences.
+    """All documents, with their own columns and without the repeated sentences; the rest keeps its white space.
 
     ``n_chars``, if there is one, is counted anew where the text changed. A document left without any word is dropped;
     one that had none before stays.
     """
     names = docs.columns
     marked = _keyed(docs, id_col, text_col).join(removals(docs, run, least_chars, id_col, text_col), list(_DOC), "left")
-    kept = let(sentences(F.col(text_col)), lambda s: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col("removed")), lambda i: F.get(s, i)), ""))
+    between = F.regexp_extract_all(_trimmed(F.col(text_col)), F.lit(BREAK), F.lit(0))
+    kept = let(sentences(F.col(text_col)), lambda s: let(between, lambda b: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col("removed")),
+        lambda i: F.concat(F.get(s, i), F.coalesce(F.get(b, i), F.lit("")))), "")))
     changed = F.col("removed").isNotNull()
-    out = marked.withColumn(text_col, F.when(changed, kept).otherwise(F.col(text_col)))
+    out = marked.withColumn(text_col, F.when(changed, F.trim(kept, F.lit(WHITE))).otherwise(F.col(text_col)))
     out = out.filter(~changed | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     if chars_col in names:
         out = out.withColumn(chars_col, F.when(changed, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
