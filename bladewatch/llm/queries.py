@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bladewatch.llm import license_scan, mixing, packing, sentence_spans, url_graph, warc, weak_rules
+from bladewatch.llm import license_scan, mixing, ngram_join, packing, sentence_spans, url_graph, warc, weak_rules
 from bladewatch.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_bounded_packing": op2_bounded_packing,
     "op3_weak_supervision": op3_weak_supervision,
     "op5_sentence_spans": op5_sentence_spans,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_license_scan": op8_license_scan,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_source_mix": op10_source_mix,
