@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bladewatch.llm import license_scan, mixing, ngram_join, packing, sentence_spans, url_graph, warc, weak_rules
+from bladewatch.llm import license_scan, mixing, ngram_join, packing, sentence_spans, url_graph, vector_graph, warc, weak_rules
 from bladewatch.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_weak_supervision": op3_weak_supervision,
     "op5_sentence_spans": op5_sentence_spans,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_vector_graph": op7_vector_graph,
     "op8_license_scan": op8_license_scan,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_source_mix": op10_source_mix,
