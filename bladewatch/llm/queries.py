@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bladewatch.llm import license_scan, mixing, ngram_join, packing, sentence_spans, url_graph, vector_graph, warc, weak_rules
+from bladewatch.llm import license_scan, mixing, ngram_join, packing, sentence_spans, suffixes, url_graph, vector_graph, warc, weak_rules
 from bladewatch.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_host_graph": op1_host_graph,
     "op2_bounded_packing": op2_bounded_packing,
     "op3_weak_supervision": op3_weak_supervision,
+    "op4_sparse_suffixes": op4_sparse_suffixes,
     "op5_sentence_spans": op5_sentence_spans,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_vector_graph": op7_vector_graph,
