@@ -48,7 +48,7 @@ def _staged_train(spark, sf_dir):
     f"SELECT subset, '{s}' AS sensor, " + ", ".join(
         f"{rnd(f'quantile_cont({s}, {p})', 4)} AS {n}" for p, n in
         ((0.0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "high")))
-    + f" FROM {TRAIN} GROUP BY ALL HAVING var_samp({s}) > 1e-3" for s in SENSORS), "lab"))
+    + f" FROM {TRAIN} GROUP BY ALL HAVING var_samp({s}) > 1e-10" for s in SENSORS), "lab"))
 def v1_box_summary(spark, sf_dir):
     return rounded(plotdata.box_summary(_staged_train(spark, sf_dir)), 4)
 
@@ -93,7 +93,7 @@ _CASES = " ".join(f"WHEN '{s}' THEN {s}" for s in SENSORS)
 
 
 @register("v5_degradation_curves", with_ctes(f"""
-WITH st AS ({SENSOR_STATS_SQL}), best AS (SELECT subset, sensor FROM st WHERE split = 'train' AND category = 'variable'
+WITH st AS ({SENSOR_STATS_SQL}), best AS (SELECT subset, sensor FROM st WHERE split = 'train' AND category <> 'constant'
   QUALIFY row_number() OVER (PARTITION BY subset ORDER BY coalesce(abs(corr_with_cycle), -1) DESC,
     CAST(substr(sensor, 8) AS INTEGER)) = 1)
 SELECT subset, engine_id, cycle, sensor, {rnd(f'CASE sensor {_CASES} END', 4)} AS value FROM {TRAIN}
@@ -152,7 +152,7 @@ def v7_operating_points(spark, sf_dir):
 @register("v8_normalised_statistics", with_ctes(
     "WITH st AS (" + " UNION ALL ".join(
         f"SELECT subset, '{s}' AS sensor, avg({s}) AS mean, stddev_samp({s}) AS std, min({s}) AS min, max({s}) AS max "
-        f"FROM {TRAIN} GROUP BY ALL HAVING var_samp({s}) > 1e-3" for s in SENSORS) + ") SELECT subset, sensor, "
+        f"FROM {TRAIN} GROUP BY ALL HAVING var_samp({s}) > 1e-10" for s in SENSORS) + ") SELECT subset, sensor, "
     + ", ".join(rnd(f'({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w + 1e-12)', 4) + f" AS {c}"
                 for c in ("mean", "std", "min", "max")) + " FROM st WINDOW w AS (PARTITION BY subset)", "lab"))
 def v8_normalised_statistics(spark, sf_dir):
@@ -169,15 +169,17 @@ def v9_lifetime_comparison(spark, sf_dir):
 @register("v10_correlation_by_subset", with_ctes(
     f"WITH st AS ({SENSOR_STATS_SQL}) SELECT sensor, " + ", ".join(
         f"coalesce(max(corr_with_cycle) FILTER (WHERE subset = '{s}'), 0e0) AS {s}" for s in C.SUBSETS)
-    + " FROM st WHERE split = 'train' AND category = 'variable' GROUP BY ALL", "tel"))
+    + " FROM st WHERE split = 'train' AND category <> 'constant' GROUP BY ALL", "tel"))
 def v10_correlation_by_subset(spark, sf_dir):
     return rounded(plotdata.correlation_by_subset(_train(spark, sf_dir)), 4)
 
 
 @register("v11_status_distribution", with_ctes(
-    "SELECT f.subset, s.status, s.position, count(*) FILTER (WHERE engine_health_status = s.status) AS engines, "
-    + rnd("count(*) FILTER (WHERE engine_health_status = s.status) / CAST(count(*) AS DOUBLE) * 100e0", 1)
-    + f" AS pct FROM fleet f, (VALUES {S.values([(s, i) for i, s in enumerate(C.STATUSES)])}) s(status, position) "
+    "SELECT f.subset, s.status, s.position, count(*) FILTER (WHERE shown = s.status) AS engines, "
+    + rnd("count(*) FILTER (WHERE shown = s.status) / CAST(count(*) AS DOUBLE) * 100e0", 1)
+    + f" AS pct FROM (SELECT subset, CASE WHEN engine_health_status IN ({', '.join(repr(s) for s in C.STATUSES)}) THEN "
+    f"engine_health_status ELSE 'OTHER' END AS shown FROM fleet) f, "
+    f"(VALUES {S.values([(s, i) for i, s in enumerate([*C.STATUSES, 'OTHER'])])}) s(status, position) "
     f"GROUP BY ALL", "fleet"))
 def v11_status_distribution(spark, sf_dir):
     return plotdata.status_distribution(fleet(spark, sf_dir))

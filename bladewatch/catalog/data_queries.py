@@ -105,6 +105,19 @@ def p6_quality_report(spark, sf_dir):
     }).drop("sensor_variances", "sensor_coefficient_of_variation", "columns")
 
 
+@register("p6_sensor_variation", with_ctes(" UNION ALL ".join(
+    f"SELECT {FRAME}, '{s}' AS sensor, {rnd(f'var_samp({s})', 1)} AS variance, "
+    f"{rnd(f'coalesce(stddev_samp({s}) / abs(nullif(avg({s}), 0)), 0)', 6)} AS cv FROM (SELECT DISTINCT * FROM mended "
+    f"WHERE {_nulls} < {len(MEASURED)}) GROUP BY ALL" for s in SENSORS), "mended"))
+def p6_sensor_variation(spark, sf_dir):
+    """Every sensor's variance and variation coefficient of the report, in long form."""
+    report = quality.quality_report(dirty_telemetry(spark, sf_dir))
+    long = report.select(*C.FRAME, F.explode("sensor_variances").alias("sensor", "variance"),
+                         F.col("sensor_coefficient_of_variation").alias("cvs"))
+    return long.select(*C.FRAME, "sensor", half_even(F.col("variance"), 1).alias("variance"),
+                       half_even(F.element_at("cvs", F.col("sensor")), 6).alias("cv"))
+
+
 @register("p7_feature_selection", with_ctes(" UNION ALL ".join(
     f"SELECT {FRAME}, '{c}' AS feature, {rnd(f'var_samp({c})', 1)} AS variance, var_samp({c}) > 1e-10 AS selected "
     f"FROM lab GROUP BY ALL" for c in SETTINGS + SENSORS), "lab"))

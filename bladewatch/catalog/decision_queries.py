@@ -13,7 +13,7 @@ from bladewatch.functions import accuracy, advice, anomaly, economics, health
 from bladewatch.functions.numeric import half_even
 from bladewatch.operators import advisory, explain, lookup, registry, rul
 from bladewatch.operators.features import engine_tail
-from bladewatch.operators.stats import baseline_moments, used_sensors
+from bladewatch.operators.stats import baseline_moments, lifetimes, used_sensors
 from bladewatch.sources.supplied import labelled, table, unit_columns
 
 QUERIES, SQL = {}, {}
@@ -628,7 +628,9 @@ def a14_flagged_engines(spark, sf_dir):
 @register("a15_fleet_summary", with_ctes(f"""
 SELECT subset, count(*) AS total_engines, {_STAT.format(s="'HEALTHY'")} AS healthy,
   {_STAT.format(s="'MONITOR'")} AS monitor, {_STAT.format(s="'MAINTENANCE REQUIRED'")} AS maintenance_required,
-  {_STAT.format(s="'CRITICAL'")} AS critical, {rnd('avg(predicted_RUL)', 2)} AS mean_predicted_rul,
+  {_STAT.format(s="'CRITICAL'")} AS critical,
+  count(*) FILTER (WHERE engine_health_status NOT IN ({', '.join(repr(s) for s in C.STATUSES)})) AS other,
+  {rnd('avg(predicted_RUL)', 2)} AS mean_predicted_rul,
   {rnd('avg(latest_anomaly_score)', 2)} AS mean_anomaly_score,
   {rnd('avg(composite_health_score)', 2)} AS mean_composite_health FROM fleet GROUP BY ALL""", "fleet"))
 def a15_fleet_summary(spark, sf_dir):
@@ -787,18 +789,44 @@ def a10_regression_metrics(spark, sf_dir):
     return rul.evaluate(test_rows(life_predictions(spark, sf_dir)), truth="true_RUL_capped")
 
 
+# protocol: (test rows, training rows), both over ``lab``; the fifths are fixed by engine and cycle numbers
+_FIFTH_CYCLE, _FIFTH_ENGINE = "(engine_id * 7 + cycle) % 5 = 0", "floor(engine_id / 8) % 5 = 0"
+_PROTOCOLS = {
+    "random_split": (f"split = 'train' AND {_FIFTH_CYCLE}", f"split = 'train' AND NOT ({_FIFTH_CYCLE})"),
+    "engine_grouped": (f"split = 'train' AND {_FIFTH_ENGINE}", f"split = 'train' AND NOT ({_FIFTH_ENGINE})"),
+    "official_test": ("split = 'test'", "split = 'train'"),
+}
+MAINTENANCE_TASK = 150.0
+
+
+def _classified(protocol, test, train):
+    counted = ", ".join(
+        f"count(*) FILTER (WHERE true_RUL {t} 150 AND predicted_RUL {p} 150) AS {n}"
+        for n, t, p in (("tp", "<", "<"), ("fp", ">=", "<"), ("fn", "<", ">="), ("tn", ">=", ">=")))
+    return f"""SELECT '{protocol}' AS protocol, subset, count(*) AS n, {counted} FROM (
+      SELECT subset, CAST(RUL AS DOUBLE) AS true_RUL, {rnd('greatest(mean_life - cycle, 0e0)', 2)} AS predicted_RUL
+      FROM lab LEFT JOIN (SELECT subset, avg(life) AS mean_life FROM (
+        SELECT subset, engine_id, max(cycle) AS life FROM lab WHERE {train} GROUP BY ALL) GROUP BY ALL) USING (subset)
+      WHERE {test}) GROUP BY ALL"""
+
+
 @register("a22_maintenance_classification", with_ctes(f"""
 SELECT *, {rnd('(tp + tn) / CAST(n AS DOUBLE) * 100e0', 2)} AS accuracy_pct,
   {rnd('coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0e0) * 100e0', 2)} AS precision_pct,
   {rnd('coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0e0) * 100e0', 2)} AS recall_pct,
   {rnd('coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0e0) * 100e0', 2)} AS f1_pct
-FROM (SELECT subset, count(*) AS n, count(*) FILTER (WHERE true_RUL < 150 AND predicted_RUL < 100) AS tp,
-  count(*) FILTER (WHERE true_RUL >= 150 AND predicted_RUL < 100) AS fp,
-  count(*) FILTER (WHERE true_RUL < 150 AND predicted_RUL >= 100) AS fn,
-  count(*) FILTER (WHERE true_RUL >= 150 AND predicted_RUL >= 100) AS tn
-  FROM lifepred WHERE split = 'test' GROUP BY ALL)""".replace("150", "100"), "lifepred"))
+FROM ({' UNION ALL '.join(_classified(k, *v) for k, v in _PROTOCOLS.items())})""", "lab"))
 def a22_maintenance_classification(spark, sf_dir):
-    return rul.maintenance_classification(test_rows(life_predictions(spark, sf_dir)), 100.0)
+    """RUL below 150 by mean lifetime minus cycle, uncapped, under the three ways to split."""
+    lab, parts = labelled(spark, sf_dir, sensors=()), []
+    for protocol, (test, train) in _PROTOCOLS.items():
+        mean_life = lifetimes(lab.filter(train)).groupBy("subset").agg(F.avg("lifetime").alias("mean_life"))
+        rows = lab.filter(test).join(mean_life, "subset", "left").select(
+            "subset", F.col("RUL").cast("double").alias("true_RUL"),
+            half_even(F.greatest(F.col("mean_life") - F.col("cycle"), F.lit(0.0)), 2).alias("predicted_RUL"))
+        parts.append(rows.withColumn("protocol", F.lit(protocol)))
+    return rul.maintenance_classification(
+        parts[0].unionByName(parts[1]).unionByName(parts[2]), MAINTENANCE_TASK, ("protocol", "subset"))
 
 
 @register("v15_parity", with_ctes(

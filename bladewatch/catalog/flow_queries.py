@@ -149,8 +149,11 @@ def t3_stream_anomaly_rate(spark, sf_dir):
                       "anomalies", half_even(F.col("anomaly_pct"), 4).alias("anomaly_pct"))
 
 
-@register("t3_first_alerts", "SELECT DISTINCT user_id + 1 AS engine_id FROM events "
-                             "WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 60")
+@register("t3_first_alerts", """
+SELECT user_id + 1 AS engine_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_id,
+  CAST(json_extract_string(props, '$.k') AS DOUBLE) AS anomaly_score FROM events
+WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 60
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""")
 def t3_first_alerts(spark, sf_dir):
     out = streams.run_to_table(streams.first_alerts(_stream(spark, sf_dir)), scratch_path(spark, "alerts"))
-    return out.select("engine_id")
+    return streams.settled_alerts(out).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))

@@ -122,6 +122,7 @@ def fleet_summary(fleet: DataFrame) -> DataFrame:
         F.count_if(status_is("HEALTHY")).alias("healthy"), F.count_if(status_is("MONITOR")).alias("monitor"),
         F.count_if(status_is("MAINTENANCE REQUIRED")).alias("maintenance_required"),
         F.count_if(status_is("CRITICAL")).alias("critical"),
+        F.count_if(~F.col("engine_health_status").isin(*C.STATUSES)).alias("other"),
         half_even(F.avg("predicted_RUL"), 2).alias("mean_predicted_rul"),
         half_even(F.avg("latest_anomaly_score"), 2).alias("mean_anomaly_score"),
         half_even(F.avg("composite_health_score"), 2).alias("mean_composite_health"))

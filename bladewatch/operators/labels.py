@@ -11,7 +11,7 @@ ENGINE_BUCKET = 1 << 16
 
 
 def _capped(rul: Column, cap: int | None) -> Column:
-    return F.least(rul, F.lit(cap).cast("long")) if cap else rul
+    return F.when(rul.isNotNull(), F.least(rul, F.lit(cap).cast("long"))) if cap else rul
 
 
 def last_cycle(df: DataFrame, split_hot: bool = False) -> DataFrame:
@@ -41,10 +41,10 @@ def engine_ordinals(df: DataFrame) -> DataFrame:
 
 
 def true_rul_by_engine(test: DataFrame, truth: DataFrame) -> DataFrame:
-    """Line i of the ground-truth vector belongs to the i-th engine id."""
+    """Line i of the ground-truth vector belongs to the i-th engine id; NULL where the vector has no such line."""
     return (
         engine_ordinals(test)
-        .join(truth.select("subset", "engine_ordinal", "true_rul"), ["subset", "engine_ordinal"])
+        .join(truth.select("subset", "engine_ordinal", "true_rul"), ["subset", "engine_ordinal"], "left")
         .select(*UNIT, "engine_ordinal", "true_rul")
     )
 
@@ -57,7 +57,6 @@ def check_truth_counts(test: DataFrame, truth: DataFrame) -> None:
         engines.join(lines, "subset", "left")
         .filter(F.col("engines") != F.coalesce("lines", F.lit(0)))
         .orderBy("subset")
-        .limit(5)
         .collect()
     )
     if bad:
@@ -69,14 +68,17 @@ def add_test_rul(df: DataFrame, truth: DataFrame, cap: int | None = RUL_CAP, spl
     """RUL = known RUL at the last observed cycle plus the cycles up to it."""
     known = true_rul_by_engine(df, truth).select(*UNIT, "true_rul")
     rul = F.col("true_rul") + F.col("last_cycle") - F.col("cycle")
-    out = last_cycle(df, split_hot).join(known, list(UNIT)).withColumn("RUL", rul.cast("long"))
+    out = last_cycle(df, split_hot).join(known, list(UNIT), "left").withColumn("RUL", rul.cast("long"))
     return out.withColumn("RUL_capped", _capped(F.col("RUL"), cap)).drop("last_cycle", "true_rul")
 
 
 def add_rul(df: DataFrame, truth: DataFrame, cap: int | None = RUL_CAP, split_hot: bool = False) -> DataFrame:
-    """Both splits in one pass: train engines run to failure, test engines end ``true_rul`` cycles early."""
+    """Both splits in one pass: train engines run to failure, test engines end ``true_rul`` cycles early.
+
+    A test engine without a line in the ground-truth vector keeps its rows, with a NULL label.
+    """
     known = true_rul_by_engine(df.filter(F.col("split") == "test"), truth).select(*UNIT, "true_rul")
-    rul = F.coalesce(F.col("true_rul"), F.lit(0)) + F.col("last_cycle") - F.col("cycle")
-    kept = (F.col("split") == "train") | F.col("true_rul").isNotNull()
-    out = last_cycle(df, split_hot).join(known, list(UNIT), "left").filter(kept).withColumn("RUL", rul.cast("long"))
+    left = F.when(F.col("split") == "train", F.lit(0)).otherwise(F.col("true_rul"))
+    rul = left + F.col("last_cycle") - F.col("cycle")
+    out = last_cycle(df, split_hot).join(known, list(UNIT), "left").withColumn("RUL", rul.cast("long"))
     return out.withColumn("RUL_capped", _capped(F.col("RUL"), cap)).drop("last_cycle", "true_rul")

@@ -25,7 +25,7 @@ def box_summary(df: DataFrame, group=("subset",)) -> DataFrame:
         F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
         for p, name in ((0.0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "high"))])
     variable = df.groupBy(*group).agg(*[F.var_samp(s).alias(s) for s in sensors]).unpivot(
-        list(group), sensors, "sensor", "variance").filter(F.col("variance") > C.NEAR_CONSTANT_VARIANCE)
+        list(group), sensors, "sensor", "variance").filter(F.col("variance") > C.CONSTANT_VARIANCE)
     return wide.join(variable.select(*group, "sensor"), [*group, "sensor"])
 
 
@@ -73,7 +73,7 @@ def mean_trend(df: DataFrame, n_engines: int = 10) -> DataFrame:
 
 def degradation_curves(df: DataFrame, n_engines: int = 20) -> DataFrame:
     """Cycle curves of the sensor most correlated with cycle, for the first engines of each subset."""
-    stats = sensor_statistics(df, with_distinct=False).filter(F.col("category") == "variable")
+    stats = sensor_statistics(df, with_distinct=False).filter(F.col("category") != "constant")
     position = F.regexp_extract("sensor", r"(\d+)", 1).cast("int")
     strength = F.coalesce(F.abs("corr_with_cycle"), F.lit(-1.0))
     best = stats.groupBy("subset").agg(
@@ -124,7 +124,7 @@ def operating_points(df: DataFrame, share: float = 1.0, seed: int = C.SEED) -> D
 
 def normalised_statistics(df: DataFrame) -> DataFrame:
     """Mean, std, min and max per variable sensor, each scaled to 0..1 over the sensors of the subset."""
-    stats = sensor_statistics(df, with_distinct=False).filter(F.col("category") == "variable")
+    stats = sensor_statistics(df, with_distinct=False).filter(F.col("category") != "constant")
     names = ("mean", "std", "min", "max")
     bounds = stats.groupBy("subset").agg(*[F.min(n).alias(f"lo_{n}") for n in names],
                                          *[F.max(n).alias(f"hi_{n}") for n in names])
@@ -140,19 +140,25 @@ def lifetime_comparison(train: DataFrame) -> DataFrame:
 
 
 def correlation_by_subset(train: DataFrame) -> DataFrame:
-    """Sensor-cycle correlation per subset side by side; absent values are 0."""
-    stats = sensor_statistics(train, with_distinct=False).filter(F.col("category") == "variable")
-    wide = stats.groupBy("sensor").pivot("subset", list(C.SUBSETS)).agg(F.first("corr_with_cycle"))
+    """Sensor-cycle correlation side by side for every subset found; absent values are 0."""
+    stats = sensor_statistics(train, with_distinct=False).filter(F.col("category") != "constant")
+    wide = stats.groupBy("sensor").pivot("subset").agg(F.first("corr_with_cycle"))
     return wide.na.fill(0.0)
 
 
 def status_distribution(fleet: DataFrame) -> DataFrame:
-    """Engines per stage with zero rows for empty stages, and their share of the whole fleet."""
+    """Engines per stage with zero rows for empty stages, and their share of the whole fleet.
+
+    The special statuses are counted together as OTHER, so that the shares add up.
+    """
     spark = fleet.sparkSession
+    names = [*C.STATUSES, "OTHER"]
     totals = fleet.groupBy("subset").agg(F.count(F.lit(1)).alias("total"))
-    stages = spark.createDataFrame([(s, i) for i, s in enumerate(C.STATUSES)], "status string, position int")
-    wide = fleet.groupBy("subset").agg(*[F.count_if(F.col("engine_health_status") == s).alias(s) for s in C.STATUSES])
-    counts = wide.unpivot("subset", list(C.STATUSES), "status", "engines")
+    stages = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "status string, position int")
+    wide = fleet.groupBy("subset").agg(
+        *[F.count_if(F.col("engine_health_status") == s).alias(s) for s in C.STATUSES],
+        F.count_if(~F.col("engine_health_status").isin(*C.STATUSES)).alias("OTHER"))
+    counts = wide.unpivot("subset", names, "status", "engines")
     return counts.join(F.broadcast(totals), "subset").join(F.broadcast(stages), "status").select(
         "subset", "status", "position", "engines", half_even(F.col("engines") / F.col("total") * 100.0, 1).alias("pct"))
 

@@ -56,7 +56,7 @@ def telemetry(spark: SparkSession, sf_dir: str, sensors=VIEW_SENSORS) -> DataFra
         cycled = bucketed_ordinal(
             units, [*FRAME, "engine_id"], day, [F.col(c) for c in _CYCLE_ORDER], "cycle")
     else:
-        order = Window.partitionBy("engine_id").orderBy(*_CYCLE_ORDER)
+        order = Window.partitionBy(*FRAME, "engine_id").orderBy(*_CYCLE_ORDER)
         cycled = units.withColumn("cycle", F.row_number().over(order).cast("long"))
     formulas = {
         "sensor_1": F.lit(518.67),

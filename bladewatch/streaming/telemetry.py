@@ -82,7 +82,7 @@ def rolling_stream(readings: DataFrame, window: int = ROLLING_WINDOW) -> DataFra
             new = slice(len(kept), None)
             yield pd.DataFrame({
                 "engine_id": np.int64(key[0]), "event_id": rows["event_id"].to_numpy(), "at": rows["at"].to_numpy(),
-                "rolling_mean": mean[new], "rolling_std": std[new], "diff": diff[new],
+                "rolling_mean": mean[new], "rolling_std": std[new], "diff": np.nan_to_num(diff[new]),
                 "pct_change": np.nan_to_num(pct[new]), "late_rows": np.int64(late)})
             last_at, last_id = int(rows["us"].iloc[-1]), int(rows["event_id"].iloc[-1])
             kept = [float(v) for v in series[-window:]]
@@ -113,8 +113,36 @@ def anomaly_rate(readings: DataFrame, width: str = "1 hour", delay: str = "10 mi
     )
 
 
-def first_alerts(readings: DataFrame, delay: str = "30 days") -> DataFrame:
-    """One alert per engine while the watermark still covers its first anomalous reading."""
+ALERT_SCHEMA = "engine_id bigint, at timestamp, event_id bigint, anomaly_score double"
+
+
+def first_alerts(readings: DataFrame) -> DataFrame:
+    """The earliest anomalous reading of each engine in event time.
+
+    State per engine: time and id of the earliest one so far. A late reading that is earlier gives a further row,
+    which replaces the alert of that engine: a table of them holds the first alerts once reduced by
+    ``settled_alerts``. Batches are looked at one after the other, never all at once.
+    """
     hits = readings.filter(F.col("anomaly_score") >= ANOMALY_THRESHOLD)
-    return hits.withWatermark("at", delay).dropDuplicatesWithinWatermark(["engine_id"]).select(
-        "engine_id", "at", "event_id", "anomaly_score")
+
+    def update(key, batches: Iterable[pd.DataFrame], state: GroupState):
+        known = state.get if state.exists else None
+        best = None
+        for rows in batches:
+            first = rows.sort_values(["at", "event_id"], kind="stable").iloc[0]
+            place = (int(np.datetime64(first["at"], "us").astype("int64")), int(first["event_id"]))
+            if known is None or place < tuple(known):
+                known, best = place, first
+        if best is not None:
+            state.update(known)
+            yield pd.DataFrame({"engine_id": [np.int64(key[0])], "at": [best["at"]], "event_id": [best["event_id"]],
+                                "anomaly_score": [best["anomaly_score"]]})
+
+    return hits.groupBy("engine_id").applyInPandasWithState(
+        update, ALERT_SCHEMA, "at bigint, event_id bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def settled_alerts(alerts: DataFrame) -> DataFrame:
+    """One row per engine: its earliest alert."""
+    first = F.min(F.struct("at", "event_id", "anomaly_score")).alias("first")
+    return alerts.groupBy("engine_id").agg(first).select("engine_id", "first.*")
