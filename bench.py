@@ -20,7 +20,8 @@ HEADLINE = (
     "p6_quality_report", "e1_train_rul", "a3_sensor_statistics", "w1_rolling_mean", "w2_rolling_std",
     "m2_regime_normalised", "e10_explain_anomalies", "e17_assess_frame", "e19_action_items", "j4_cycle_advisory",
     "a11_engine_summary", "a14_executive_report", "a15_priority_ranking", "a16_fleet_costs", "a18_conformal_offsets",
-    "j9_fault_overlay", "v2_correlation_matrix", "m5_isolation_forest",
+    "v2_correlation_matrix", "m1_operating_regimes", "m5_isolation_forest", "a19_horizon_summary",
+    "t1_stream_scoring", "t2_stream_rolling_features", "t3_stream_anomaly_rate",
 )
 
 

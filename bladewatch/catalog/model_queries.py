@@ -1,15 +1,14 @@
-"""Queries over fitted models; checked for rows, and against metrics in the tests."""
+"""Queries over fitted models. SQL states what must hold of them whatever trees were grown."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from bladewatch import constants as C
-from bladewatch.catalog.data_queries import rolled
 from bladewatch.catalog.inputs import test_rows, train_rows
+from bladewatch.catalog.sql_base import with_ctes
 from bladewatch.functions.numeric import half_even
-from bladewatch.operators import advisory, explain, iforest, plotdata, regimes, rul
-
+from bladewatch.operators import advisory, explain, features, iforest, plotdata, regimes, rul
 from bladewatch.operators.stats import baseline_moments
 from bladewatch.session import scratch_path
 from bladewatch.sources.stages import materialise
@@ -17,73 +16,153 @@ from bladewatch.sources.supplied import hot_units, labelled, table
 
 QUERIES, SQL = {}, {}
 
-# Size of the RUL models in the registered queries; the library defaults are the full-size settings.
-QUERY_FOREST = {"numTrees": 20, "maxDepth": 8}
-QUERY_BOOSTED = {"maxIter": 10, "maxDepth": 4}
+_kept: dict = {}
 
 
-def register(name):
+def register(name, sql=None):
     def keep(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
         return fn
 
     return keep
 
 
+def _once(spark, sf_dir, what, make):
+    """``make()`` once per session and state of the telemetry's files."""
+    items = table(spark, sf_dir, "lineitem")
+    key = (spark.sparkContext.applicationId, what, tuple(sorted(items.inputFiles())), items.count())
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def _staged(spark, sf_dir, with_features=True):
-    """Labelled frame (with rolling features) written once; the fits pass over it many times."""
-    frame = rolled(spark, sf_dir) if with_features else labelled(spark, sf_dir)
-    return materialise(frame.drop("sensor_1", *[c for c in frame.columns if c.startswith("sensor_1_")]), "features")
+    """Labels, fitted regimes, z-scores and rolling features, each written once; the fits pass over them many times."""
+    def make():
+        lab = materialise(labelled(spark, sf_dir), "labelled")
+        placed = materialise(regimes.assign_regime(lab, regimes.fit_subset_regimes(train_rows(lab))), "regimes")
+        scaled = regimes.normalise(placed, regimes.regime_statistics(train_rows(placed)))
+        rolled = features.engineer_features(scaled, split_hot=hot_units(spark, sf_dir))
+        return placed, materialise(rolled, "features")
 
+    placed, rolled = _once(spark, sf_dir, "stages", make)
+    return rolled if with_features else placed
 
-@register("m1_operating_regimes")
+
+@register("m1_operating_regimes", f"""
+SELECT subset, split, count(*) AS cycles, CAST(0 AS BIGINT) AS not_nearest,
+  CASE WHEN subset IN ('FD002', 'FD004') THEN 6 ELSE 1 END AS regimes FROM lab GROUP BY ALL""")
 def m1_operating_regimes(spark, sf_dir):
-    lab = _staged(spark, sf_dir, with_features=False)
-    centres = regimes.fit_subset_regimes(train_rows(lab))
-    out = regimes.assign_regime(lab, centres)
-    return out.groupBy("subset", "split", "_regime").agg(F.count(F.lit(1)).alias("cycles"))
+    """Cycles per frame, those not with their nearest centre (none), and the number of regimes met in training."""
+    placed = _staged(spark, sf_dir, with_features=False)
+    settings = [c for c in C.SETTINGS if c in placed.columns]
+    centres = train_rows(placed).groupBy("subset", "_regime").agg(*[F.avg(c).alias(f"c_{c}") for c in settings])
+    gap = sum((F.col(c) - F.col(f"c_{c}")) ** 2 for c in settings)
+    pairs = placed.join(F.broadcast(centres.withColumnRenamed("_regime", "_other")), "subset").withColumn("_gap", gap)
+    worse = pairs.groupBy(*C.UNIT, "cycle").agg(
+        F.min(F.when(F.col("_other") == F.col("_regime"), F.col("_gap"))).alias("own"), F.min("_gap").alias("best"))
+    regimes_met = centres.groupBy("subset").agg(F.count(F.lit(1)).cast("int").alias("regimes"))
+    return worse.groupBy("subset", "split").agg(
+        F.count(F.lit(1)).alias("cycles"), F.count_if(F.col("own") > F.col("best") + 1e-6).alias("not_nearest")).join(
+        F.broadcast(regimes_met), "subset")
+
+
+def _fit(spark, sf_dir, kind):
+    """Full-size models of every subset, fitted once, saved, and loaded again; and the frame they are for."""
+    frame = _staged(spark, sf_dir).withColumn("true_RUL", F.col("RUL_capped").cast("double"))
 
+    def make():
+        models = rul.fit_rul_by_subset(train_rows(frame).drop("true_RUL"), kind)
+        path = scratch_path(spark, kind)
+        rul.save_models(models, path)
+        return models, rul.load_models(path, models)
 
-def _fit(spark, sf_dir, kind, **params):
-    frame = _staged(spark, sf_dir).withColumn("true_RUL", F.col("RUL_capped").cast("double"))
-    models = rul.fit_rul_by_subset(train_rows(frame).drop("true_RUL"), kind, C.SUBSETS, **params)
-    return models, frame
+    models, loaded = _once(spark, sf_dir, kind, make)
+    return loaded, frame, models
+
+
+KINDS = ("random_forest", "gradient_boosting")
 
 
 @register("m4_random_forest_rul")
 def m4_random_forest_rul(spark, sf_dir):
-    models, frame = _fit(spark, sf_dir, "random_forest", **QUERY_FOREST)
+    models, frame, _ = _fit(spark, sf_dir, "random_forest")
     return rul.last_cycle_predictions(rul.predict_by_subset(models, test_rows(frame)))
 
 
 @register("m4_boosted_rul")
 def m4_boosted_rul(spark, sf_dir):
-    models, frame = _fit(spark, sf_dir, "gradient_boosting", **QUERY_BOOSTED)
+    models, frame, _ = _fit(spark, sf_dir, "gradient_boosting")
     return rul.last_cycle_predictions(rul.predict_by_subset(models, test_rows(frame)))
 
 
+@register("m4_model_checks", " UNION ALL ".join(
+    f"SELECT '{k}' AS model, subset, count(*) AS n, CAST(0 AS BIGINT) AS negative, true AS beats_the_mean FROM lab "
+    f"WHERE split = 'train' GROUP BY ALL" for k in KINDS))
+def m4_model_checks(spark, sf_dir):
+    """On the training rows: no prediction is negative, and each model has a lower error than the mean label."""
+    parts = []
+    for kind in KINDS:
+        models, frame, _ = _fit(spark, sf_dir, kind)
+        error = F.col("predicted_RUL") - F.col("true_RUL")
+        parts.append(rul.predict_by_subset(models, train_rows(frame)).groupBy("subset").agg(
+            F.count("predicted_RUL").alias("n"), F.count_if(F.col("predicted_RUL") < 0).alias("negative"),
+            (F.avg(error * error) < F.var_pop("true_RUL")).alias("beats_the_mean")).withColumn("model", F.lit(kind)))
+    return parts[0].unionByName(parts[1])
+
+
+@register("s7_saved_rul", " UNION ALL ".join(
+    f"SELECT '{k}' AS model, subset, count(*) AS rows, 0e0 AS difference FROM lab WHERE split = 'test' GROUP BY ALL"
+    for k in KINDS))
+def s7_saved_rul(spark, sf_dir):
+    """RUL models saved and loaded again; ``difference`` is the largest change of a prediction and must be zero."""
+    parts = []
+    for kind in KINDS:
+        loaded, frame, models = _fit(spark, sf_dir, kind)
+        rows = test_rows(frame)
+        one, two = (rul.predict_by_subset(m, rows).select(*C.UNIT, "cycle", F.col("predicted_RUL").alias(n))
+                    for m, n in ((models, "before"), (loaded, "after")))
+        parts.append(one.join(two, [*C.UNIT, "cycle"]).groupBy("subset").agg(
+            F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("before") - F.col("after"))).alias("difference")
+        ).withColumn("model", F.lit(kind)))
+    return parts[0].unionByName(parts[1])
+
+
 @register("a21_training_summary")
 def a21_training_summary(spark, sf_dir):
-    models, frame = _fit(spark, sf_dir, "random_forest", **QUERY_FOREST)
-    return rul.evaluate(rul.predict_by_subset(models, test_rows(frame))).withColumn("model", F.lit("random_forest"))
+    parts = []
+    for kind in KINDS:
+        models, frame, _ = _fit(spark, sf_dir, kind)
+        parts.append(rul.evaluate(rul.predict_by_subset(models, test_rows(frame))).withColumn("model", F.lit(kind)))
+    return parts[0].unionByName(parts[1])
 
 
 @register("o2_feature_importances")
 def o2_feature_importances(spark, sf_dir):
-    models, _ = _fit(spark, sf_dir, "random_forest", **QUERY_FOREST)
-    return rul.feature_importances(models, spark, top=15)
+    parts = []
+    for kind in KINDS:
+        models, _, _ = _fit(spark, sf_dir, kind)
+        parts.append(rul.feature_importances(models, spark, top=15).withColumn("model", F.lit(kind)))
+    return parts[0].unionByName(parts[1])
 
 
 @register("a20_transfer_matrix")
 def a20_transfer_matrix(spark, sf_dir):
-    models, frame = _fit(spark, sf_dir, "random_forest", **QUERY_FOREST)
+    models, frame, _ = _fit(spark, sf_dir, "random_forest")
     return rul.transfer_matrix(models, test_rows(frame))
 
 
+@register("a20_transfer_summary")
+def a20_transfer_summary(spark, sf_dir):
+    return rul.transfer_summary(a20_transfer_matrix(spark, sf_dir))
+
+
 def _forest(spark, sf_dir):
     frame = _staged(spark, sf_dir)
-    features = [c for c in frame.columns if c.startswith(("sensor_", "setting_"))]
-    return iforest.fit_forest(train_rows(frame), features), frame
+    names = sorted({c for columns in rul.varying_columns(train_rows(frame)).values() for c in columns})
+    return iforest.fit_forest(train_rows(frame), [c for c in frame.columns if c in names]), frame
 
 
 @register("m5_isolation_forest")
@@ -93,7 +172,7 @@ def m5_isolation_forest(spark, sf_dir):
         *C.UNIT, "cycle", "anomaly_raw_score", "anomaly_score", "anomaly_vote", "anomaly_label", "anomaly_severity")
 
 
-@register("s7_saved_forest")
+@register("s7_saved_forest", "SELECT subset, count(*) AS rows, 0e0 AS difference FROM lab GROUP BY ALL")
 def s7_saved_forest(spark, sf_dir):
     """A forest saved and loaded again; ``difference`` is the largest score change and must be zero."""
     forest, frame = _forest(spark, sf_dir)
@@ -110,21 +189,50 @@ def s7_saved_forest(spark, sf_dir):
 @register("advisory_from_models")
 def advisory_from_models(spark, sf_dir):
     """The whole chain on fitted models: RUL forest and isolation forest to the fleet advisory."""
-    models, frame = _fit(spark, sf_dir, "random_forest", **QUERY_FOREST)
-    features = [c for c in frame.columns if c.startswith(("sensor_", "setting_"))]
-    forest = iforest.fit_forest(train_rows(frame), features)
+    models, frame, _ = _fit(spark, sf_dir, "random_forest")
+    forest, _ = _forest(spark, sf_dir)
     predicted = rul.predict_by_subset(models, test_rows(frame))
     explained = explain.explain(forest.score(predicted), baseline_moments(train_rows(frame), hot_units(spark, sf_dir)))
     return advisory.fleet_advisory(explained)
 
 
+@register("m5_forest_checks", """
+SELECT subset, split, count(*) AS cycles, CAST(0 AS BIGINT) AS outside, true AS vote_share_holds FROM lab
+WHERE split = 'train' GROUP BY ALL""")
+def m5_forest_checks(spark, sf_dir):
+    """On the training rows: scores lie in 0..100 and the share of votes against comes near the contamination."""
+    forest, frame = _forest(spark, sf_dir)
+    return forest.score(train_rows(frame)).groupBy("subset", "split").agg(
+        F.count(F.lit(1)).alias("cycles"), F.count_if(~F.col("anomaly_score").between(0.0, 100.0)).alias("outside"),
+        (F.abs(F.avg((F.col("anomaly_vote") == -1).cast("double")) - C.FOREST_CONTAMINATION) < 0.02).alias("vote_share_holds"))
+
+
+def _components(spark, sf_dir):
+    """Projection of the embeddings; a vector of another length than the others is an error."""
+    vectors = table(spark, sf_dir, "embeddings")
+    width = vectors.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if width[0] != width[1]:
+        raise ValueError(f"vectors have between {width[0]} and {width[1]} components")
+    return plotdata.principal_components(*plotdata.array_columns(vectors, "embedding", width[0]))
+
+
 @register("m7_principal_components")
 def m7_principal_components(spark, sf_dir):
-    wide, names = plotdata.array_columns(table(spark, sf_dir, "embeddings"), "embedding",
-                                         len(table(spark, sf_dir, "embeddings").first()["embedding"]))
-    projected, shares = plotdata.principal_components(wide, names)
+    projected, shares = _components(spark, sf_dir)
     return projected.select("vec_id", "label", half_even(F.col("pc_1"), 6).alias("pc_1"),
                             half_even(F.col("pc_2"), 6).alias("pc_2"),
                             *[F.lit(round(s, 6)).alias(f"explained_{i + 1}") for i, s in enumerate(shares)])
 
 
+@register("m7_component_checks", """
+SELECT count(*) AS vectors, true AS centred, true AS uncorrelated, true AS first_is_largest FROM embeddings""")
+def m7_component_checks(spark, sf_dir):
+    projected, _ = _components(spark, sf_dir)
+    a, b = F.col("pc_1"), F.col("pc_2")
+    return projected.agg(
+        F.count(F.lit(1)).alias("vectors"),
+        ((F.abs(F.avg(a)) < 1e-6) & (F.abs(F.avg(b)) < 1e-6)).alias("centred"),
+        (F.abs(F.corr(a, b)) < 1e-6).alias("uncorrelated"), (F.var_pop(a) >= F.var_pop(b)).alias("first_is_largest"))
+
+
+SQL = {name: with_ctes(sql, "lab") if "FROM lab" in sql else sql for name, sql in SQL.items()}

@@ -14,7 +14,7 @@ from bladewatch.functions.accuracy import absolute_error, regression_metrics
 from bladewatch.functions.numeric import half_even
 from bladewatch.operators.advisory import add_health_scores
 from bladewatch.operators.features import engine_tail
-from bladewatch.operators.quality import model_columns, require_columns
+from bladewatch.operators.quality import model_columns, require_columns, selected_features
 
 
 def regressor(kind: str, **params):
@@ -32,13 +32,31 @@ def fit_rul(train: DataFrame, kind: str = "random_forest", features: list[str] |
     return Pipeline(stages=[assembler, regressor(kind, **params)]).fit(train)
 
 
-def fit_rul_by_subset(train: DataFrame, kind: str, subsets, parallelism: int = 4, **params) -> dict:
-    """One model per subset; the independent fits are submitted together and share the cluster."""
-    def one(subset: str):
-        return subset, fit_rul(train.filter(F.col("subset") == subset), kind, **params)
+def varying_columns(train: DataFrame) -> dict[str, list[str]]:
+    """Per subset found in ``train``: its model columns that vary, in the frame's order."""
+    names = model_columns(train)
+    chosen = selected_features(train).filter("selected").groupBy("subset").agg(F.collect_set("feature").alias("f")).collect()
+    return {r["subset"]: [c for c in names if c in set(r["f"])] for r in sorted(chosen, key=lambda r: r["subset"])}
+
+
+def fit_rul_by_subset(train: DataFrame, kind: str, parallelism: int = 4, **params) -> dict:
+    """One model per subset found, on the columns that vary there; the independent fits share the cluster."""
+    def one(item):
+        subset, columns = item
+        return subset, fit_rul(train.filter(F.col("subset") == subset), kind, columns, **params)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return dict(pool.map(one, subsets))
+        return dict(pool.map(one, varying_columns(train).items()))
+
+
+def save_models(models: dict, path: str) -> None:
+    """Writes every subset's model, with its feature names, below ``path``."""
+    for subset, model in models.items():
+        model.write().overwrite().save(f"{path}/{subset}")
+
+
+def load_models(path: str, subsets) -> dict:
+    return {s: PipelineModel.load(f"{path}/{s}") for s in subsets}
 
 
 def inputs_of(model: PipelineModel) -> list[str]:
@@ -53,7 +71,9 @@ def predict_rul(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def predict_by_subset(models: dict, df: DataFrame) -> DataFrame:
+    """Predictions of each subset's own model; rows of a subset without a model keep a NULL."""
     parts = [predict_rul(m, df.filter(F.col("subset") == s)) for s, m in models.items()]
+    parts.append(df.filter(~F.col("subset").isin(*models)).withColumn("predicted_RUL", F.lit(None).cast("double")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
