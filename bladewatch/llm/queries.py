@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bladewatch.llm import license_scan, mixing, ngram_join, packing, sentence_spans, suffixes, url_graph, vector_graph, warc, weak_rules
+from bladewatch.llm import (
+    license_scan, mixing, ngram_join, oracles, packing, sentence_spans, suffixes, url_graph, vector_graph, warc, weak_rules)
 from bladewatch.llm.common import table
 
 
@@ -75,4 +76,4 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
