@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from bladewatch.llm.common import stored
@@ -28,13 +29,13 @@ WINDOW = 4096
 OPEN_WINDOWS = 64
 END_ID = 2
 MERGED_AT_FIRST, MERGED_LATER = 16, 4096  # partitions whose open windows one task merges
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, sequence long, offset long, " \
        "closed boolean, ids binary"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 _TYPES = [*[pa.int64()] * 8, pa.bool_(), pa.binary()]
 _SPLIT = re.compile(r"[\t-\r ]+")
-_words: dict[str, dict[str, bytes]] = {}  # by tokenizer: ids of words met so far, kept while the worker lives
+_caches: dict[str, "_Words"] = {}
 
 
 @lru_cache(maxsize=2)
@@ -44,31 +45,73 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes texts to little-endian 32-bit ids, word by word.
+def _byte_letters() -> dict[int, int]:
+    """Byte-level models write each byte as a letter: printable ones of Latin-1 as themselves, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_LETTERS = _byte_letters()
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+# Fixed value: how the tokenizer's file splits words after lower-casing them.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class _Words(dict):
+    """Ids of words as little-endian 32-bit bytes; emptied when it is full.
+
+    Words of Latin letters are split into pieces, whose ids come from the model and are cached as well, since most new
+    words are known pieces. All other words, and those that could hold a special token, go through the tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.pieces = _tokenizer(path), {}
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        if (word.isascii() or max(word) < "\u0250") and "<|" not in word:
+            lower = word.lower()
+            if lower.isascii() or max(lower) < "\u0250":
+                letters = lower.rstrip(_MARKS)
+                if letters.isalpha():  # the usual shape, which needs no pattern
+                    value = self.piece(letters)
+                    if len(letters) < len(lower):
+                        value += self.piece(lower[len(letters):])
+                else:
+                    value = b"".join(map(self.piece, _PIECE.findall(lower)))
+                self[word] = value
+                return value
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        value = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return value
+
+    def piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            if len(self.pieces) > CACHED_WORDS:
+                self.pieces.clear()
+            letters = text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+            ids = [t.id for t in self.model.tokenize(letters)]
+            found = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
+def word_encoder(path: str) -> Callable[[str], bytes]:
+    """Encodes a text to little-endian 32-bit ids, word by word.
 
     For a tokenizer that drops white space and never merges across it, the ids of a text are those of its words one
-    after the other. Words repeat, so their ids are cached; the cache is emptied when it is full.
+    after the other. Words repeat, so their ids are cached while the worker lives.
     """
-    tokenizer = _tokenizer(path)
+    if path not in _caches:
+        _caches[path] = _Words(path)
+    lookup = _caches[path].__getitem__
 
-    def split(text: str) -> list[str]:
+    def encode(text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the tokenizer
-            return [w for w in _SPLIT.split(text) if w]
-        return text.split()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = [split(t) for t in texts]
-        words = _words.setdefault(path, {})
-        if len(words) > CACHED_WORDS:
-            words.clear()
-        new = list(set().union(*parts).difference(words))
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        get = words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            return b"".join(map(lookup, (w for w in _SPLIT.split(text) if w)))
+        return b"".join(map(lookup, text.split()))
 
     return encode
 
@@ -126,22 +169,21 @@ class _Windows:
 def _pack(path: str, window: int, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, out, part = _Windows(window, most), _Row(), 0
-        encode, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = word_encoder(path), struct.pack("<I", end_id)
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            docs = batch.column("doc_id").to_pylist()
             if docs:
                 part = batch.column("part")[0].as_py()
-            for at in range(0, len(docs), 256):
-                for doc, ids in zip(docs[at:at + 256], encode(texts[at:at + 256])):
-                    ids += end
-                    tokens, size = len(ids) // 4, 4 * window
-                    whole = len(ids) - len(ids) % size
-                    for start in range(0, whole, size):
-                        out.add(windows.number(), part, [(doc, start // 4, ids[start:start + size], tokens)], True)
-                    if whole < len(ids):
-                        for number, pieces in windows.place((doc, whole // 4, ids[whole:], tokens)):
-                            out.add(number, part, pieces, True)
-                yield _batch(out.take())
+            for doc, text in zip(docs, batch.column("text")):
+                ids = encode(text.as_py()) + end
+                tokens, size = len(ids) // 4, 4 * window
+                whole = len(ids) - len(ids) % size
+                for start in range(0, whole, size):
+                    out.add(windows.number(), part, [(doc, start // 4, ids[start:start + size], tokens)], True)
+                if whole < len(ids):
+                    for number, pieces in windows.place((doc, whole // 4, ids[whole:], tokens)):
+                        out.add(number, part, pieces, True)
+            yield _batch(out.take())
         for _, number in windows.open:
             out.add(number, part, windows.pieces[number], False)
         yield _batch(out.take())
