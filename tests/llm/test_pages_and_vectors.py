@@ -40,7 +40,7 @@ def test_scores_follow_the_links(spark):
         (5, "http://victim.org/1", ""), (6, "http://sub.linker.org/", '<a href="/own">'), (7, "http://linker.org/2", None)]
     got = {r["page_id"]: r for r in url_graph.judge_urls(pages_of(spark, rows), URL_RULES).collect()}
     assert {k: r["verdict"] for k, r in got.items()} == {
-        1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
+        1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block"}
     hosts = ["bad.net", "linker.org", "good.com", "friend.org", "victim.org", "sub.linker.org"]
     w = np.zeros((6, 6))
     for a, b in ((0, 4), (1, 0), (2, 3), (2, 4), (1, 5), (5, 1)):
