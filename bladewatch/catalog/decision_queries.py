@@ -31,7 +31,14 @@ def register(name, sql=None):
 
 KEY = (*C.UNIT, "cycle")
 K = f"{UNIT}, cycle"
-R, A = F.col("predicted_RUL"), F.col("anomaly_score")
+
+
+def _rul():
+    return F.col("predicted_RUL")
+
+
+def _score():
+    return F.col("anomaly_score")
 
 
 # --- scalar scores ------------------------------------------------------------------------------
@@ -47,15 +54,15 @@ _EXP = "100e0 * (1 - exp(-predicted_RUL / 62.5e0)) / (1 - exp(-2e0))"
     f"FROM lifepred", "lifepred"))
 def e3_health_score(spark, sf_dir):
     return life_predictions(spark, sf_dir).select(
-        *KEY, half_even(health.health_score(R), 4).alias("linear"),
-        half_even(health.health_score(R, mode="exponential"), 4).alias("exponential"))
+        *KEY, half_even(health.health_score(_rul()), 4).alias("linear"),
+        half_even(health.health_score(_rul(), mode="exponential"), 4).alias("exponential"))
 
 
 @register("e4_health_stage", with_ctes(
     f"SELECT {K}, {S.steps(C.HEALTH_STAGES, _clip('predicted_RUL / 125e0 * 100e0'))} AS stage FROM lifepred",
     "lifepred"))
 def e4_health_stage(spark, sf_dir):
-    return life_predictions(spark, sf_dir).select(*KEY, health.health_stage(health.health_score(R)).alias("stage"))
+    return life_predictions(spark, sf_dir).select(*KEY, health.health_stage(health.health_score(_rul())).alias("stage"))
 
 
 @register("e5_health_columns", with_ctes(
@@ -80,7 +87,7 @@ def e6_deviation_class(spark, sf_dir):
 
 @register("e7_anomaly_severity", with_ctes(f"SELECT {K}, anomaly_score, anomaly_severity FROM scored", "scored"))
 def e7_anomaly_severity(spark, sf_dir):
-    return scored(spark, sf_dir).select(*KEY, "anomaly_score", anomaly.anomaly_severity(A).alias("anomaly_severity"))
+    return scored(spark, sf_dir).select(*KEY, "anomaly_score", anomaly.anomaly_severity(_score()).alias("anomaly_severity"))
 
 
 # A raw decision score for the calibration queries: half minus a two-hundredth of the rule score.
@@ -90,7 +97,7 @@ _BOUNDS = ("SELECT subset, quantile_cont(raw, 0.005) AS lo, quantile_cont(raw, 0
 
 
 def _raw_scores(spark, sf_dir):
-    return scored(spark, sf_dir).withColumn("raw", F.lit(0.5) - A / F.lit(200.0))
+    return scored(spark, sf_dir).withColumn("raw", F.lit(0.5) - _score() / F.lit(200.0))
 
 
 def _raw_bounds(df):
@@ -125,7 +132,7 @@ def e8_calibrated_score(spark, sf_dir):
     f"ELSE 'Normal' END AS anomaly_label FROM scored", "scored"))
 def e9_anomaly_label(spark, sf_dir):
     vote = F.when(F.col("max_sensor_deviation") >= 2.3, -1).otherwise(1)
-    return scored(spark, sf_dir).select(*KEY, "anomaly_score", anomaly.anomaly_label(A, vote).alias("anomaly_label"))
+    return scored(spark, sf_dir).select(*KEY, "anomaly_score", anomaly.anomaly_label(_score(), vote).alias("anomaly_label"))
 
 
 _RANKS = ", ".join(
@@ -149,7 +156,7 @@ def e10_explain_anomalies(spark, sf_dir):
         f"WHEN predicted_RUL <= {m} OR anomaly_score >= {a} THEN {S.q(t)}" for m, a, t in C.SIMPLE_ACTIONS)
     + f" ELSE {S.q(C.SIMPLE_ACTION_DEFAULT)} END AS recommended_action FROM scored", "scored"))
 def e11_simple_action(spark, sf_dir):
-    return scored(spark, sf_dir).select(*KEY, health.simple_action(R, A).alias("recommended_action"))
+    return scored(spark, sf_dir).select(*KEY, health.simple_action(_rul(), _score()).alias("recommended_action"))
 
 
 _FLAG = "anomaly_label = 'Anomalous'"
@@ -158,7 +165,7 @@ _FLAG = "anomaly_label = 'Anomalous'"
 @register("e12_health_status", with_ctes(
     f"SELECT {K}, engine_health_status, risk_level FROM assessed", "assessed"))
 def e12_health_status(spark, sf_dir):
-    decision = health.health_status(R, A, F.col("anomaly_label"))
+    decision = health.health_status(_rul(), _score(), F.col("anomaly_label"))
     return scored(spark, sf_dir).select(*KEY, decision["status"].alias("engine_health_status"),
                                         decision["risk"].alias("risk_level"))
 
@@ -168,9 +175,9 @@ def e12_health_status(spark, sf_dir):
     f"{rnd(_clip('100e0 - anomaly_score'), 2)} AS anomaly_component_score FROM assessed", "assessed"))
 def e13_composite_score(spark, sf_dir):
     return scored(spark, sf_dir).select(
-        *KEY, health.composite_score(R, A).alias("composite_health_score"),
-        half_even(health.rul_component(R), 2).alias("rul_component_score"),
-        half_even(health.anomaly_component(A), 2).alias("anomaly_component_score"))
+        *KEY, health.composite_score(_rul(), _score()).alias("composite_health_score"),
+        half_even(health.rul_component(_rul()), 2).alias("rul_component_score"),
+        half_even(health.anomaly_component(_score()), 2).alias("anomaly_component_score"))
 
 
 _MARGIN = f"greatest(5e0, {rnd('predicted_RUL * 0.12e0', 1)})"
@@ -180,7 +187,7 @@ _MARGIN = f"greatest(5e0, {rnd('predicted_RUL * 0.12e0', 1)})"
     f"SELECT {K}, greatest(0e0, {rnd(f'predicted_RUL - {_MARGIN}', 1)}) AS range_low, "
     f"{rnd(f'predicted_RUL + {_MARGIN}', 1)} AS range_high FROM lifepred", "lifepred"))
 def e14_expected_range(spark, sf_dir):
-    low, high = health.rul_range(R)
+    low, high = health.rul_range(_rul())
     return life_predictions(spark, sf_dir).select(*KEY, low.alias("range_low"), high.alias("range_high"))
 
 
@@ -191,7 +198,7 @@ _CONF = rnd(f"100e0 - anomaly_score * 0.35e0 - CASE WHEN {_DIS} THEN 20e0 ELSE 0
 @register("e15_confidence", with_ctes(
     f"SELECT {K}, least(greatest({_CONF}, 45e0), 98e0) AS confidence_pct FROM scored", "scored"))
 def e15_confidence(spark, sf_dir):
-    return scored(spark, sf_dir).select(*KEY, health.confidence(R, A).alias("confidence_pct"))
+    return scored(spark, sf_dir).select(*KEY, health.confidence(_rul(), _score()).alias("confidence_pct"))
 
 
 _REASON = S.reason_case("engine_health_status", "predicted_RUL", "anomaly_score", "top_abnormal_sensors")
@@ -248,7 +255,7 @@ _PRIO = rnd(_clip("100e0 - composite_health_score + anomaly_score * 0.3e0"), 1)
 @register("e21_priority_index", with_ctes(f"SELECT {K}, {_PRIO} AS priority_score FROM assessed", "assessed"))
 def e21_priority_index(spark, sf_dir):
     out = scored(spark, sf_dir)
-    return out.select(*KEY, health.priority_index(health.composite_score(R, A), A).alias("priority_score"))
+    return out.select(*KEY, health.priority_index(health.composite_score(_rul(), _score()), _score()).alias("priority_score"))
 
 
 _ECODE = "printf('AE-%04d-', engine_id) || CASE WHEN engine_id % 2 <> 0 THEN 'L' ELSE 'R' END"
@@ -274,9 +281,9 @@ def _sub(name, weight, floor):
     "WHEN turbine THEN 'Turbine' WHEN thermal THEN 'Thermal' WHEN pressure THEN 'Pressure' ELSE 'Mechanical' END "
     "AS weakest FROM h", "scored"))
 def e23_subsystem_health(spark, sf_dir):
-    out = scored(spark, sf_dir).withColumn("_h", health.subsystem_health(A))
+    out = scored(spark, sf_dir).withColumn("_h", health.subsystem_health(_score()))
     return out.select(*KEY, *[F.col("_h")[n].alias(n.lower()) for n, _, _ in health.SUBSYSTEM_HEALTH],
-                      health.weakest_subsystem(A)["name"].alias("weakest"))
+                      health.weakest_subsystem(_score())["name"].alias("weakest"))
 
 
 # --- risk and cost ------------------------------------------------------------------------------
@@ -318,7 +325,7 @@ def e24_severity_level(spark, sf_dir):
 @register("e25_likelihood", with_ctes(f"WITH {_RISK_BASE} SELECT {UNIT}, likelihood FROM risk", "fleet", "protocol"))
 def e25_likelihood(spark, sf_dir):
     f = fleet(spark, sf_dir)
-    p = economics.failure_probability(R, F.col("latest_anomaly_score"))
+    p = economics.failure_probability(_rul(), F.col("latest_anomaly_score"))
     return f.select(*C.UNIT, economics.likelihood_name(p).alias("likelihood"))
 
 
@@ -344,7 +351,7 @@ def e27_cost_analysis(spark, sf_dir):
 @register("e28_failure_probability", with_ctes(
     f"WITH {_RISK_BASE} SELECT {UNIT}, {rnd('probability', 6)} AS probability FROM base", "fleet"))
 def e28_failure_probability(spark, sf_dir):
-    p = economics.failure_probability(R, F.col("latest_anomaly_score"))
+    p = economics.failure_probability(_rul(), F.col("latest_anomaly_score"))
     return fleet(spark, sf_dir).select(*C.UNIT, half_even(p, 6).alias("probability"))
 
 
@@ -395,7 +402,7 @@ _BIN = "CAST(" + " + ".join(f"CAST(predicted_RUL >= {e} AS INTEGER)" for e in (2
 
 @register("e29_rul_bin", with_ctes(f"SELECT {K}, {_BIN} AS bin FROM lifepred", "lifepred"))
 def e29_rul_bin(spark, sf_dir):
-    return life_predictions(spark, sf_dir).select(*KEY, accuracy.rul_bin(R).alias("bin"))
+    return life_predictions(spark, sf_dir).select(*KEY, accuracy.rul_bin(_rul()).alias("bin"))
 
 
 @register("e30_predictive_interval", with_ctes(
@@ -416,14 +423,14 @@ _NASA = ("CASE WHEN predicted_RUL - true_RUL < 0 THEN exp(-(predicted_RUL - true
     f"SELECT {K}, {rnd(_NASA.replace('true_RUL', 'true_RUL_capped'), 4)} AS penalty FROM lifepred", "lifepred"))
 def e31_nasa_penalty(spark, sf_dir):
     return life_predictions(spark, sf_dir).select(
-        *KEY, half_even(accuracy.nasa_penalty(F.col("true_RUL_capped"), R), 4).alias("penalty"))
+        *KEY, half_even(accuracy.nasa_penalty(F.col("true_RUL_capped"), _rul()), 4).alias("penalty"))
 
 
 @register("e32_absolute_error", with_ctes(
     f"SELECT {K}, {rnd('abs(predicted_RUL - true_RUL)', 2)} AS absolute_error FROM lifepred", "lifepred"))
 def e32_absolute_error(spark, sf_dir):
     return life_predictions(spark, sf_dir).select(
-        *KEY, accuracy.absolute_error(F.col("true_RUL"), R).alias("absolute_error"))
+        *KEY, accuracy.absolute_error(F.col("true_RUL"), _rul()).alias("absolute_error"))
 
 
 # --- what-if and ad-hoc scoring -----------------------------------------------------------------
@@ -449,8 +456,8 @@ SELECT * EXCLUDE (comp, sys), least(greatest({_SIM_CONF}, 45e0), 98e0) AS after_
   {S.urgency_case('after_status', 'simulated_rul')} AS after_urgency FROM pair""", "fleet"))
 def e33_what_if(spark, sf_dir):
     scenarios = fleet(spark, sf_dir).select(
-        *C.UNIT, R.alias("current_rul"), F.col("latest_anomaly_score").alias("current_anomaly"),
-        (R / 2.0).alias("simulated_rul"),
+        *C.UNIT, _rul().alias("current_rul"), F.col("latest_anomaly_score").alias("current_anomaly"),
+        (_rul() / 2.0).alias("simulated_rul"),
         F.least(F.lit(100.0), F.col("latest_anomaly_score") + 30.0).alias("simulated_anomaly"),
         F.col("top_abnormal_sensors").alias("simulated_sensors"))
     return advisory.compare_scenarios(scenarios)
