@@ -1,17 +1,19 @@
 """Repeated passages by sliding spans of consecutive sentences.
 
-Every run of RUN consecutive sentences with enough characters is hashed and joined over all documents; the first
-occurrence of a span, by document and place, stays, and sentences covered by any other occurrence go.
+From every sentence on, and up to every sentence, the shortest run of at least RUN sentences with enough characters is
+hashed, and so is every sentence of LONG_WORDS words by itself. The first occurrence of a span, by document and place,
+stays, and sentences covered by any other occurrence go.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bladewatch.llm.common import let
+from bladewatch.llm.common import let, words_of
 
 RUN = 2
 LEAST_CHARS = 60  # of a span; shorter ones repeat by chance
+LONG_WORDS = 50  # a sentence of so many words is a span of its own
 # between sentences: white space after sentence punctuation, or a line end with the white space around it
 BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09\x0D]*\n[\x20\x09-\x0D]*"
 WHITE = " \t\n\x0b\x0c\r"
@@ -33,15 +35,47 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "_sp_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_sp_text": F.xxhash64(text_col)})
 
 
+def _run_length(sentences_: Column, run: int, least_chars: int) -> Column:
+    """How many of the sentences, from the first on, make the shortest run; null if all together are too short."""
+    reached = lambda r: (r["n"] >= run) & (r["chars"] >= least_chars)
+    return F.aggregate(
+        sentences_, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("chars")),
+        lambda r, x: F.when(reached(r), r).otherwise(
+            F.struct((r["n"] + 1).alias("n"), (r["chars"] + 1 + F.length(x)).alias("chars"))),
+        lambda r: F.when(reached(r), r["n"]))
+
+
 def spans(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """(_sp_id, _sp_text, at, key): one row per span; ``at`` is its first sentence, ``key`` 128 bits of its wording."""
+    """(_sp_id, _sp_text, at, n, key): one row per span of ``n`` sentences from ``at`` on; ``key`` 128 bits of its wording.
+
+    No sentence is empty, so a run of ``most`` sentences always has enough characters.
+    """
+    most = max(run, least_chars // 2 + 1)
+
     def keys(s: Column) -> Column:
-        runs = F.transform(
-            F.slice(s, F.lit(1), F.greatest(F.size(s) - (run - 1), F.lit(0))),
-            lambda x, i: F.struct(i.alias("at"), F.concat_ws("\x1f", *[F.get(s, i + k) for k in range(run)]).alias("w")))
-        long_enough = F.filter(runs, lambda r: F.length(r["w"]) >= least_chars)
-        return F.transform(long_enough, lambda r: F.struct(r["at"].alias("at"), F.unhex(F.md5(r["w"])).alias("key")))
+        def chars(i: Column) -> Column:  # of ``run`` sentences from ``i`` on; null past the end
+            return sum((F.length(F.get(s, i + k)) for k in range(run)), F.lit(run - 1))
+
+        def ahead(i: Column) -> Column:
+            return F.when(chars(i) >= least_chars, F.lit(run)).otherwise(
+                _run_length(F.slice(s, i + 1, F.lit(most)), run, least_chars))
+
+        def back(i: Column) -> Column:  # where ``run`` sentences suffice, the run is one of those ahead
+            low = F.greatest(i + 1 - most, F.lit(0))
+            return F.when(chars(i + 1 - run) < least_chars, _run_length(
+                F.reverse(F.slice(s, low + 1, i + 1 - low)), run, least_chars))
+
+        def span(at: Column, n: Column) -> Column:
+            return F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"))
+
+        found = F.flatten(F.transform(s, lambda x, i: F.array(
+            span(i, ahead(i)), span(i + 1 - back(i), back(i)),
+            span(i, F.when((F.length(x) >= 2 * LONG_WORDS - 1) & (F.size(words_of(x)) >= LONG_WORDS), F.lit(1))))))
+        return F.transform(
+            F.array_distinct(F.filter(found, lambda r: r["n"].isNotNull())),
+            lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.unhex(F.md5(
+                F.array_join(F.slice(s, r["at"] + 1, r["n"]), "\x1f"))).alias("key")))
 
     keyed = _keyed(docs.select(id_col, text_col), id_col, text_col)
     return keyed.select(*_DOC, F.inline(let(sentences(F.col(text_col)), keys)))
@@ -49,7 +83,7 @@ def spans(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_co
 
 def repeated(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """(_sp_id, _sp_text, at, first_id): spans that are not the first occurrence of their wording.
+    """(_sp_id, _sp_text, at, n, first_id): spans that are not the first occurrence of their wording.
 
     First occurrences come from a pre-aggregated minimum per key and keys met once are dropped, so the join meets one
     row per repeated key; a very common passage is split by the adaptive join.
@@ -59,7 +93,7 @@ def repeated(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id
     first = all_spans.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(
         "first <> last").drop("last")
     return all_spans.join(first, "key").filter(place != F.col("first")).select(
-        *_DOC, "at", F.col("first._sp_id").alias("first_id"))
+        *_DOC, "at", "n", F.col("first._sp_id").alias("first_id"))
 
 
 def removals(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
@@ -69,7 +103,7 @@ def removals(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id
     ``removed`` are the places of its covered sentences, ``first_ids`` the documents where their wording comes first.
     Both are bounded by the document's own sentences.
     """
-    covered = F.sequence(F.col("at"), F.col("at") + (run - 1))
+    covered = F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)
     return repeated(docs, run, least_chars, id_col, text_col).withColumn("s", F.explode(covered)).groupBy(*_DOC).agg(
         F.sort_array(F.collect_set("s")).alias("removed"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
 

@@ -182,6 +182,19 @@ def test_texts_without_repeats(edges, edge_rows):
     assert before[9].startswith(texts[9]) and 100 < len(texts[9].split()) < 160
 
 
+def test_long_sentences_and_runs_of_short_ones(spark):
+    """A passage that is one long sentence, and passages of lines too short for two of them to count, lose all of them."""
+    lone = " ".join(f"w{k}" for k in range(55)) + "."
+    lines = [f"line {k} x{k}." for k in range(20)]
+    mixed = ["A first sentence of the passage that is long enough to count with any other one.", "So.", "No.", "Yes."]
+    rows = [(1, f"Start one. {lone} End one."), (2, f"Start two. {lone} End two."),
+            (3, "\n".join(["top three", *lines, "tail three"])), (4, "\n".join(["top four", *lines, "tail four"])),
+            (5, " ".join(["Five begins.", *mixed, "Five ends."])), (6, " ".join(["Six begins.", *mixed, "Six ends."]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["removed"], r["first_docs"]) for r in sentence_spans.repeated_passages(df).collect()}
+    assert got == {2: ([1], [1]), 4: (list(range(1, 21)), [3]), 6: ([1, 2, 3, 4], [5])}
+
+
 def exact_repeats(rows, n=50):
     places = collections.defaultdict(set)
     for i, text in rows:
