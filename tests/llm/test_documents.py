@@ -220,6 +220,40 @@ def test_sparse_suffixes(edges, edge_rows, no_docs):
     assert suffixes.repeated_passages(no_docs).count() == 0
 
 
+def test_passages_that_end_in_a_common_phrase(spark):
+    """Pairs share 20 words and then a phrase that all documents share: the words to the left decide, far from the order."""
+    rng = np.random.default_rng(3)
+
+    def some(n):
+        return [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+
+    phrase, rows = some(30), []
+    for pair in range(120):
+        head = some(20)
+        rows += [(2 * pair + k, " ".join(some(30) + head + phrase + some(30))) for k in (0, 1)]
+    rows += [(1000 + k, " ".join(some(40) + phrase + some(40))) for k in range(100)]
+    got = collections.defaultdict(set)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in suffixes.repeated_passages(df).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["start_word"] + r["n_words"]))
+        assert r["other_docs"] == [r["doc_id"] ^ 1] and r["has_earlier"] == (r["doc_id"] % 2 == 1)
+    assert got == exact_repeats(rows) and len(got) == 240
+
+
+def test_the_earliest_of_all_copies_is_known(spark):
+    """A passage repeated inside a document between equal words, and in an earlier document between others."""
+    from conftest import prose
+
+    middle, around = prose(60, 71), prose(60, 72)
+    later = f"{around} {middle} {around} " + prose(20, 73)
+    rows = [(1, f"{prose(70, 74)} {middle} {prose(70, 75)}"), (5, f"{later} {later}"), (9, prose(200, 76))]
+    found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spot = 200 + 60 + 5  # in the middle of the second copy
+    over = [r for r in found if r["doc_id"] == 5 and r["start_word"] <= spot < r["start_word"] + r["n_words"]]
+    assert over and all(r["has_earlier"] and 1 in r["other_docs"] for r in over)
+    assert not any(r["has_earlier"] for r in found if r["doc_id"] == 1)
+
+
 def test_kept_places_depend_on_content_alone():
     rng = np.random.default_rng(1)
     shared = rng.integers(0, 1 << 62, 200).astype(np.uint64)
