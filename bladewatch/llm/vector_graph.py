@@ -6,8 +6,8 @@ is then searched for in its nearest shards: a greedy search from the shard's med
 lives) with a beam, which goes on from every node in range until none is left. A link counts where its target has its
 first shard, so none counts twice. Every similarity is computed in double precision.
 
-Recall is audited against brute force over all rows, for a bounded sample of queries; if it is too low, the search is
-repeated with more shards and a wider beam.
+Recall is audited against brute force over all rows, for a bounded sample of nodes of every group size; as long as it is
+too low, the search is repeated with more shards and a wider beam, at last with all pairs of all shards.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bladewatch.llm.common import bounded, components, saved
 
@@ -29,9 +29,10 @@ MOST_CENTRES = 2_000
 NEAREST, RANDOM, DEGREE, ALPHA = 48, 16, 20, 1.2
 SLACK = 0.05  # how far below the range a node is still expanded
 PROBES, BEAM = 4, 24
-AUDITED = 400
+AUDITED, AUDITED_EACH = 400, 100  # nodes without a link found, and of each size of the links found
+STRATUM = 20  # audited nodes with links that a recall is taken of, at least
 RECALL = 0.95
-TRIES = 3
+ALL = 1 << 31  # a beam that takes all pairs
 _STEP = 40_000  # (query, node) pairs expanded at once
 
 
@@ -129,9 +130,11 @@ def range_search(x: np.ndarray, table: np.ndarray, starts: list[np.ndarray], que
     """(query, row) pairs found with a similarity of at least ``similarity``.
 
     ``table`` holds the neighbours of each row, padded with -1. A query expands its best ``beam`` rows, best first,
-    and every row within SLACK of the range, until nothing is left to expand.
+    and every row within SLACK of the range, until nothing is left to expand. With a beam of ALL no pair is left out.
     """
     m, q = len(x), len(queries)
+    if beam >= ALL:
+        return np.nonzero(queries @ x.T >= similarity)
     sims = np.full((q, m), -2.0)
     expanded = np.zeros((q, m), bool)
 
@@ -255,9 +258,29 @@ def _with_key(build):
     return lambda key, pdf: build(pdf)
 
 
+def _stratum(links: Column) -> Column:
+    return F.when(links > 0, F.floor(F.log2(links) / 2).cast("int") + 1).otherwise(F.lit(0))
+
+
 def audited_recall(nodes: DataFrame, found: DataFrame, similarity: float, dim: int) -> float:
-    """Share of the true links of AUDITED nodes (the last by a digest of their ids) that were found; 1 without any."""
-    sample = nodes.orderBy(F.desc(F.xxhash64("node")), "node").limit(AUDITED).select("node", "v").toPandas()
+    """The least mean share of a node's true links that was found, over strata of nodes by their true links; 1 without any.
+
+    Audited are nodes of every size of links found, by a digest of their ids, each weighted by the nodes it stands for.
+    So a large group, which has nearly all links, does not hide what is lost elsewhere. Strata (powers of four) with
+    few audited nodes are taken together with the next.
+    """
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    sized = nodes.select("node", "v").join(counts, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    sizes = {r["s"]: r["n"] for r in sized.groupBy(_stratum(F.col("links")).alias("s")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    share = {s: min(1.0, (AUDITED_EACH if s else AUDITED) / n) for s, n in sizes.items()}
+    drawn, stratum = F.lit(0.0), _stratum(F.col("links"))
+    for s, x in share.items():
+        drawn = F.when(stratum == s, F.lit(x)).otherwise(drawn)
+    sample = sized.withColumn("s", stratum).filter(
+        F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < drawn * 1_000_003).toPandas()
+    if not len(sample):
+        return 1.0
     ids, x = sample["node"].to_numpy(), _unit(sample["v"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +294,21 @@ def audited_recall(nodes: DataFrame, found: DataFrame, similarity: float, dim: i
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "n"])
 
     true = nodes.select("node", "copies", "v").mapInArrow(count, "node long, n long").groupBy("node").agg(
-        F.sum("n").alias("n"))
-    got = true.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").agg(
-        F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+        F.sum("n").alias("n")).toPandas()
+    rows = sample.drop(columns="v").merge(true, on="node").query("n > 0")
+    drawn_of = sample.groupby("s").size()
+    weight = rows["s"].map(lambda s: sizes[s] / drawn_of[s]).to_numpy(float)
+    recall = (np.minimum(rows["links"], rows["n"]) / rows["n"]).to_numpy(float)
+    kind = np.floor(np.log2(np.maximum(rows["n"].to_numpy(float), 1)) / 2)
+    groups, held = [], np.zeros(len(rows), bool)
+    for k in np.unique(kind):
+        held = held | (kind == k)
+        if held.sum() >= STRATUM:
+            groups.append(held)
+            held = np.zeros(len(rows), bool)
+    if held.any():
+        groups.append(groups.pop() | held if groups else held)
+    return min((float(np.average(recall[g], weights=weight[g])) for g in groups), default=1.0)
 
 
 def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str = "vec_id",
@@ -283,19 +317,22 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and rows without an id, link with
     nothing. Vectors of different lengths link with none of each other. Rows with equal vectors all link; repeated
-    ids count as rows. Extra columns are left out; no rows give no rows.
+    ids count as rows. Extra columns are left out; no rows give no rows. No result has an audited recall below RECALL.
     """
     rows, nodes = nodes_of(vectors, id_col, vector_col)
     found = None
     for dim, count in [tuple(r) for r in nodes.groupBy("dim").count().orderBy("dim").collect()]:
         own = nodes.filter(F.col("dim") == dim)
         centres, probes, beam = fit_centres(own, count), PROBES, BEAM
-        for attempt in range(TRIES):
+        while True:
             routed = saved(_routed(own, centres, probes), "vectors-routed")
             links = _linked(routed, similarity, beam)
-            if attempt == TRIES - 1 or audited_recall(own, links, similarity, dim) >= RECALL:
+            recall = audited_recall(own, links, similarity, dim)
+            if recall >= RECALL:
                 break
-            probes, beam = 3 * probes, 2 * beam
+            if beam >= ALL:
+                raise RuntimeError(f"a recall of {recall:.3f} with all pairs of all shards")
+            probes, beam = 3 * probes, 2 * beam if probes < len(centres) else ALL
         found = links if found is None else found.unionByName(links)
     plain = rows.select("vec_id", "node", (F.coalesce("copies", F.lit(1)) - 1).alias("own"))
     if found is None:

@@ -131,3 +131,32 @@ def test_a_crowded_shard_is_cut_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "CELL", 70)
     rows = vector_graph.near_vectors(df).collect()
     assert {r["component_id"] for r in rows} == {0} and sum(r["n_links"] for r in rows) >= 0.95 * 300 * 299
+
+
+def test_a_large_group_does_not_hide_lost_links(spark):
+    """All links of a group of near-equal vectors are found and none of 40 pairs."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 32))
+    x[:200] = x[0] + 0.01 * rng.normal(size=(200, 32))
+    x[240:280] = x[200:240] + 0.01 * rng.normal(size=(40, 32))
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    _, nodes = vector_graph.nodes_of(df, "vec_id", "embedding")
+
+    def links(pairs):
+        return spark.createDataFrame(
+            [(i, 199 if i < 200 else pairs if i < 280 else 0, i) for i in range(400)], "node long, links long, root long")
+
+    assert vector_graph.audited_recall(nodes, links(1), 0.9, 32) == 1.0
+    assert vector_graph.audited_recall(nodes, links(0), 0.9, 32) < 0.5
+
+
+def test_no_result_below_the_recall(spark, monkeypatch):
+    import pytest
+
+    x = np.random.default_rng(8).normal(size=(30, 8))
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    tried = []
+    monkeypatch.setattr(vector_graph, "audited_recall", lambda *a: tried.append(a) or 0.9)
+    with pytest.raises(RuntimeError):
+        vector_graph.near_vectors(df)
+    assert len(tried) == 2
