@@ -3,7 +3,9 @@
 Hosts are linked by the absolute links of their pages, weighted by the number of linking pages, and a subdomain with
 the nearest parent domain that has pages itself. Trust is a personalised PageRank from hosts whose pages the rules
 allow; distrust one over the reversed links from hosts whose pages they block, as who links to a bad host is suspect.
-A host that is a seed with all its pages, and has no neighbours, has a score of 1.
+A host that is a seed with all its pages, and has no neighbours, has a score of 1. Distrust is split among all who link
+to a host, so a host is judged as well by its suspicion, which follows the share of its own links that lead to blocked
+hosts, however many others link there.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from bladewatch.llm.common import ascii_lower, bounded, stored
 
 DAMPING = 0.85
 ROUNDS = 20
-DISTRUST_FROM = 0.5  # half of what an isolated host with nothing but blocked pages has
+DISTRUST_FROM = 0.5  # half of what an isolated host with nothing but blocked pages has; of suspicion as well
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
 
@@ -96,12 +98,35 @@ def propagate(hosts: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         F.coalesce(F.sum(F.when(~F.col("good"), F.col("score"))), F.lit(0.0)).alias("distrust"))
 
 
+def suspicion(hosts: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(host, suspicion) of the hosts (host, distrust_seed) that have any, from links (src, dst, weight, kind).
+
+    The share of blocked pages, and of the rest ``damping`` times the mean suspicion of the hosts linked to, by weight.
+    The mean is taken for each kind of links and the largest counts, so subdomains do not thin out what a host's pages
+    link to. It lies between 0 and 1 and does not depend on who else links to a host.
+    """
+    totals = links.groupBy("src", "kind").agg(F.sum("weight").alias("_all"))
+    arcs = stored(links.join(totals, ["src", "kind"]).select("src", "kind", "dst", (F.col("weight") / F.col("_all")).alias("share")))
+    seeds = stored(hosts.select("host", F.col("distrust_seed").alias("seed")))
+    scores = seeds.filter("seed > 0").withColumnRenamed("seed", "suspicion")
+    for n in range(rounds):
+        means = arcs.join(scores.withColumnRenamed("host", "dst"), "dst").groupBy("src", "kind").agg(
+            F.sum(F.col("share") * F.col("suspicion")).alias("m")).groupBy(F.col("src").alias("host")).agg(
+            F.max("m").alias("m"))
+        scores = seeds.join(means, "host", "left").select("host", (
+            F.col("seed") + (1 - F.col("seed")) * damping * F.coalesce("m", F.lit(0.0))).alias("suspicion")).filter(
+            "suspicion > 0")
+        if n % 4 == 3:
+            scores = stored(scores)
+    return scores
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
                html_col: str = "html", distrust_from: float = DISTRUST_FROM) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page, one row per row.
 
-    A fitting rule decides; else the host is blocked if its distrust is at least ``distrust_from`` and above its
-    trust, and allowed otherwise. A null url, or one without ``://``, has an empty host and path, joins no graph and
+    A fitting rule decides; else the host is blocked if its distrust or its suspicion is at least ``distrust_from`` and
+    above its trust, and allowed otherwise. A null url, or one without ``://``, has an empty host and path, joins no graph and
     is allowed. A null html has no links. Extra columns are left out; no rows give no rows.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
@@ -111,10 +136,13 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     hosts = stored(judged.filter("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce(F.col("_said"), F.lit("")) == "allow").cast("double")).alias("trust_seed"),
         F.avg((F.coalesce(F.col("_said"), F.lit("")) == "block").cast("double")).alias("distrust_seed")))
-    links = host_links(pages, url_col, html_col).unionByName(parent_links(hosts)).groupBy("src", "dst").agg(
-        F.sum("weight").alias("weight"))
-    scores = bounded(stored(propagate(hosts, links)))
-    bad = (F.col("distrust") >= distrust_from) & (F.col("distrust") > F.col("trust"))
+    kinds = stored(host_links(pages, url_col, html_col).withColumn("kind", F.lit("page")).unionByName(
+        parent_links(hosts).withColumn("kind", F.lit("parent"))))
+    links = kinds.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    scores = propagate(hosts, links).join(suspicion(hosts, kinds), "host", "left")
+    scores = bounded(stored(scores.withColumn("suspicion", F.coalesce("suspicion", F.lit(0.0)))))
+    held = F.greatest("distrust", "suspicion")
+    bad = (held >= distrust_from) & (held > F.col("trust"))
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("_said", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),

@@ -59,6 +59,19 @@ def test_scores_follow_the_links(spark):
         assert abs(r["trust"] - trust[k]) < 1e-9 and abs(r["distrust"] - distrust[k]) < 1e-9
 
 
+def test_many_linkers_of_a_blocked_host(spark):
+    """Who links to a blocked host alone is blocked, however many others do; who does so with few of its links is not."""
+    link = '<a href="http://{}/x">x</a>'.format
+    rows = [(1, "http://bad.net/es/1", None)]
+    rows += [(10 + k, f"http://linker{k}.org/", link("bad.net")) for k in range(10)]
+    rows += [(30 + k, f"http://s{k}.bad.net/", None) for k in range(8)]
+    rows += [(50 + k, f"http://s{k}.linker0.org/", None) for k in range(8)]
+    rows += [(70, "http://mostly.org/", link("bad.net") + "".join(link(f"fine{k}.org") for k in range(9)))]
+    rows += [(71 + k, f"http://fine{k}.org/", None) for k in range(9)]
+    got = {r["page_id"]: r["verdict"] for r in url_graph.judge_urls(pages_of(spark, rows), URL_RULES).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, *range(10, 20), *range(30, 38), *range(50, 58)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é\r\n\r\n" * 50_000
     rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, None, None), (4, "u", ""), (5, "u", big), (6, "u", big),
