@@ -1,8 +1,9 @@
 """License notices found by conditional compression and confirmed word by word.
 
 A block of text is compressed alone and with each template as a raw zstandard dictionary. A template that the block
-repeats makes the result much smaller, so templates are ranked by that reduction, and the best few are aligned with
-the block word by word. The wording differences decide: they tell versions and variants apart, which share most bytes.
+repeats makes the result much smaller, so templates are ranked by that reduction and aligned with the block word by word,
+TRIED at a time, until some of them are confirmed or none is left. The wording differences decide: they tell versions and
+variants apart, which share most bytes.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ TEMPLATES = {
         "option) any later version."),
 }
 CUE = r"(?i)licen[cs]|copyright|permission|all rights reserved|redistribut|free software"
-TRIED = 6  # best templates by compression that are aligned
+TRIED = 6  # best templates by compression that are aligned at a time
 MOST_DIFFERENT = 0.15  # share of a template's words that may differ
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 _CUE = re.compile(CUE)
@@ -97,7 +98,7 @@ def blocks_of(text: str, longest: int) -> Iterator[tuple[int, list[tuple[str, in
                 break
 
 
-def best_reductions(block: list[str], prepared: list, tried: int = TRIED) -> list[tuple[float, int]]:
+def reductions(block: list[str], prepared: list) -> list[tuple[float, int]]:
     """(bytes saved by the template per byte of it, its index), best first.
 
     The block is compressed without any dictionary and with each template; the saving is compared with what the
@@ -109,7 +110,7 @@ def best_reductions(block: list[str], prepared: list, tried: int = TRIED) -> lis
     for k, (_, words, compressor) in enumerate(prepared):
         saved = alone - len(compressor.compress(data))
         found.append((saved / len(" ".join(words)), k))
-    return sorted(found, reverse=True)[:tried]
+    return sorted(found, reverse=True)
 
 
 def wording(block: list[str], template: list[str]) -> tuple[int, int, int, list[str]]:
@@ -143,7 +144,9 @@ def find_licenses(text: str, templates: tuple) -> list[tuple]:
         left = [w for w, _, _ in block]
         for _ in range(len(block)):  # a block may hold several notices; each round takes one out
             hits = []
-            for reduction, k in best_reductions(left, prepared):
+            for n, (reduction, k) in enumerate(reductions(left, prepared)):
+                if hits and n % TRIED == 0:
+                    break
                 name, words, _ = prepared[k]
                 low, high, different, said = wording(left, words)
                 if high > low and different <= MOST_DIFFERENT * len(words):

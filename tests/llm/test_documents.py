@@ -315,3 +315,18 @@ def test_license_wording_tells_versions_apart():
     whole = license_scan.TEMPLATES["MIT"]
     start, end = license_scan.find_licenses("x y. " + whole, (("MIT", whole),))[0][1:3]
     assert (start, end) == (5, 5 + len(whole.rstrip(".")))
+
+
+def test_a_notice_beside_relatives_that_no_template_confirms():
+    """The relatives take the best places by compression; the notice is found all the same."""
+    from conftest import prose
+
+    templates = tuple(license_scan.TEMPLATES.items())
+    relatives = ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+                 "Documentation License, Version 1.3 or any later version published by the Free Software Foundation.",
+                 "This work is licensed under CC BY-NC-SA 4.0.")
+    for seed in range(20):
+        for name in ("MIT-notice", "Apache-2.0-notice"):
+            text = " ".join((prose(40, seed), relatives[0], prose(9, seed + 50), relatives[1], prose(9, seed + 90),
+                             license_scan.TEMPLATES[name], prose(40, seed + 130)))
+            assert name in [f[0] for f in license_scan.find_licenses(text, templates)], (seed, name)
