@@ -34,11 +34,12 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def life_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simple predictor: mean training lifetime of the subset minus the cycle, within 0..cap."""
+    """Simple predictor: mean training lifetime of the subset minus the cycle, within 0..cap; NULL without training rows."""
     lab = labelled(spark, sf_dir, sensors=())
     mean_life = lifetimes(train_rows(lab)).groupBy("subset").agg(F.avg("lifetime").alias("mean_life"))
-    predicted = half_even(clip(F.col("mean_life") - F.col("cycle"), 0.0, float(RUL_CAP)), 2)
-    return lab.join(F.broadcast(mean_life), "subset").select(
+    predicted = F.when(F.col("mean_life").isNotNull(), half_even(
+        clip(F.col("mean_life") - F.col("cycle"), 0.0, float(RUL_CAP)), 2))
+    return lab.join(F.broadcast(mean_life), "subset", "left").select(
         "subset", "split", "engine_id", "cycle", F.col("RUL").cast("double").alias("true_RUL"),
         F.col("RUL_capped").cast("double").alias("true_RUL_capped"), predicted.alias("predicted_RUL"))
 

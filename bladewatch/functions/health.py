@@ -50,7 +50,10 @@ OUTCOMES = (
 
 
 def outcome_index(rul: Column, anomaly: Column, label: Column | None = None, limits: dict | None = None) -> Column:
-    """Position in ``OUTCOMES``; the two special statuses are tested before the ordinary ones."""
+    """Position in ``OUTCOMES``; the two special statuses are tested before the ordinary ones.
+
+    NULL where a missing value leaves it open, so nothing unscored is healthy.
+    """
     t = {**C.DECISION, **(limits or {})}
     flagged = F.lit(False) if label is None else is_flagged(label)
     return (
@@ -59,7 +62,7 @@ def outcome_index(rul: Column, anomaly: Column, label: Column | None = None, lim
         .when((rul < t["critical_rul"]) | (anomaly >= t["critical_anomaly"]), 2)
         .when((rul < t["maintenance_rul"]) | (anomaly >= t["maintenance_anomaly"]), 3)
         .when((rul < t["monitor_rul"]) | (anomaly >= t["monitor_anomaly"]) | flagged, 4)
-        .otherwise(5)
+        .when(rul.isNotNull() & anomaly.isNotNull(), 5)
     )
 
 
@@ -127,7 +130,7 @@ def reason_template(status: Column, rul: Column, anomaly: Column) -> Column:
         .when(status == "MAINTENANCE REQUIRED", text("maintenance_anomaly"))
         .when((status == "MONITOR") & (anomaly >= 45.0), text("monitor_anomaly"))
         .when(status == "MONITOR", text("monitor_rul"))
-        .otherwise(text("healthy"))
+        .when(status.isNotNull(), text("healthy"))
     )
 
 

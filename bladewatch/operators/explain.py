@@ -13,9 +13,12 @@ from bladewatch.operators.features import present
 
 
 def baseline_z(df: DataFrame, baseline: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    """Joins the wide baseline (one row per subset) and returns z-score expressions per sensor."""
+    """Joins the wide baseline (one row per subset) and returns z-score expressions per sensor.
+
+    A subset without a baseline keeps its rows, with NULL z-scores.
+    """
     sensors = [s for s in present(df, C.SENSORS) if f"mean_{s}" in baseline.columns]
-    joined = df.join(F.broadcast(baseline), "subset")
+    joined = df.join(F.broadcast(baseline), "subset", "left")
     return joined, {s: F.expr(f"({s} - mean_{s}) / std_{s}") for s in sensors}
 
 
@@ -77,11 +80,13 @@ def flatten_ranks(df: DataFrame, top: int = 3) -> DataFrame:
 def rule_scores(df: DataFrame, baseline: DataFrame, top: int = 3) -> DataFrame:
     """Rule-based stand-in for a model: score = 25 x the largest |z|, capped at 100."""
     ranked = add_deviations(df, baseline, top)
-    score = half_even(F.least(F.lit(100.0), F.lit(25.0) * F.col("largest_z")), 2)
-    return ranked.withColumn("anomaly_score", score).drop("largest_z").withColumns({
-        "anomaly_label": anomaly_label(F.col("anomaly_score")),
-        "anomaly_severity": anomaly_severity(F.col("anomaly_score")),
-    })
+    known = F.col("largest_z").isNotNull()
+    score = F.when(known, half_even(F.least(F.lit(100.0), F.lit(25.0) * F.col("largest_z")), 2))
+    scored = ranked.withColumn("anomaly_score", score)
+    return scored.withColumns({
+        "anomaly_label": F.when(known, anomaly_label(F.col("anomaly_score"))),
+        "anomaly_severity": F.when(known, anomaly_severity(F.col("anomaly_score"))),
+    }).drop("largest_z")
 
 
 def sensor_position(name: Column) -> Column:
