@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bladewatch.llm import mixing, weak_rules
+from bladewatch.llm import collocations, lexical_search, line_dedup, mixing, weak_rules
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -104,8 +104,69 @@ SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(m.low,
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM c GROUP BY ALL) m USING (doc_id)"""
 
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def lines_sql() -> str:
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, doc_id, i, lines[i] AS line, translate(trim(lines[i], {white}), {_LETTERS}) AS key
+    FROM (SELECT row, doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM d)),
+k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= {line_dedup.LEAST_CHARS} GROUP BY key
+    HAVING count(DISTINCT doc_id) >= {line_dedup.LEAST_DOCS}),
+m AS (SELECT row, l.doc_id, i, line, keeper IS NOT NULL AND keeper <> l.doc_id AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY row, doc_id"""
+
+
+def search_sql() -> str:
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '{lexical_search.TERM}')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {terms} AS t FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0),
+i AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+f AS (SELECT row, doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT row, doc_id, t, unnest(t) AS term FROM d)
+    SEMI JOIN i USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, docs),
+g AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS gain
+    FROM f JOIN w USING (term), s),
+r AS (SELECT item_id, row, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM i JOIN g USING (term) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= {lexical_search.TOP}"""
+
+
+def collocations_sql() -> str:
+    c = collocations
+    return rf"""
+WITH p AS (SELECT coalesce(lang, '{c.NO_LANG}') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_LETTERS}),
+    '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m,
+    unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (VALUES (1), (2), (3)) v(m))),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+x AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= {c.LEAST}),
+k AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM x)),
+s AS (SELECT k.lang, k.m, k.phrase, a, k, l.f AS l, r.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM k JOIN f l ON l.lang = k.lang AND l.phrase = head JOIN f r ON r.lang = k.lang AND r.phrase = rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, phrase, max(a) AS held FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '),
+    array_to_string(w[2:3], ' ')]) AS phrase FROM x WHERE m = 3) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+    FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE coalesce(100 * held < {c.SUBSUMED} * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= {c.TOP}"""
+
+
 SQL = {
     "op3_weak_supervision": quality_sql(),
     "op6_ngram_jaccard": jaccard_sql(),
     "op10_source_mix": mixing_sql(),
+    "op11_line_runs": lines_sql(),
+    "op12_lexical_scan": search_sql(),
+    "op13_collocations": collocations_sql(),
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bladewatch.llm import (
-    license_scan, mixing, ngram_join, oracles, packing, sentence_spans, suffixes, url_graph, vector_graph, warc, weak_rules)
+    collocations, lexical_search, license_scan, line_dedup, mixing, ngram_join, oracles, packing, sentence_spans, suffixes,
+    url_graph, vector_graph, warc, weak_rules)
 from bladewatch.llm.common import table
 
 
@@ -63,6 +64,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_host_graph": op1_host_graph,
     "op2_bounded_packing": op2_bounded_packing,
@@ -74,6 +87,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_source_mix": op10_source_mix,
+    "op11_line_runs": op11_line_runs,
+    "op12_lexical_scan": op12_lexical_scan,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = oracles.SQL
