@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bladewatch.session import scratch_path
+from bladewatch.session import scratch_path, shared_root, ship
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_ROWS = 100_000  # narrow rows; a table with more of them is joined by shuffling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,7 +23,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_root(spark))  # fails on a cluster without a shared folder
     return df.checkpoint()
 
 
