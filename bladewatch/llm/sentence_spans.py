@@ -7,12 +7,19 @@ stays, and sentences covered by any other occurrence go.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bladewatch.llm.common import let, words_of
+from bladewatch.llm.common import let, saved
 
 RUN = 2
 LEAST_CHARS = 60  # of a span; shorter ones repeat by chance
+SPANS_HELD = 200_000  # of one batch before they go out
 LONG_WORDS = 50  # a sentence of so many words is a span of its own
 # between sentences: white space after sentence punctuation, or a line end with the white space around it
 BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09\x0D]*\n[\x20\x09-\x0D]*"
@@ -20,7 +27,7 @@ WHITE = " \t\n\x0b\x0c\r"
 _DOC = ("_sp_id", "_sp_text")
 
 
-def _trimmed(text: Column) -> Column:
+def _trimmed(text: Column) -> Column:  # as str.strip(WHITE)
     return F.trim(F.coalesce(text, F.lit("")), F.lit(WHITE))
 
 
@@ -35,64 +42,72 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "_sp_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_sp_text": F.xxhash64(text_col)})
 
 
-def _run_length(sentences_: Column, run: int, least_chars: int) -> Column:
-    """How many of the sentences, from the first on, make the shortest run; null if all together are too short."""
-    reached = lambda r: (r["n"] >= run) & (r["chars"] >= least_chars)
-    return F.aggregate(
-        sentences_, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("chars")),
-        lambda r, x: F.when(reached(r), r).otherwise(
-            F.struct((r["n"] + 1).alias("n"), (r["chars"] + 1 + F.length(x)).alias("chars"))),
-        lambda r: F.when(reached(r), r["n"]))
+_BREAK = re.compile(BREAK)
 
 
-def spans(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
-    """(_sp_id, _sp_text, at, n, key): one row per span of ``n`` sentences from ``at`` on; ``key`` 128 bits of its wording.
+def span_places(sentences_: list[str], run: int = RUN, least_chars: int = LEAST_CHARS) -> list[tuple[int, int]]:
+    """(at, n) of the spans of one document, each once.
 
-    No sentence is empty, so a run of ``most`` sentences always has enough characters.
+    Running sums of lengths give the end of the shortest run from every sentence on, and the beginning of the
+    shortest one up to every sentence.
     """
-    most = max(run, least_chars // 2 + 1)
-
-    def keys(s: Column) -> Column:
-        def chars(i: Column) -> Column:  # of ``run`` sentences from ``i`` on; null past the end
-            return sum((F.length(F.get(s, i + k)) for k in range(run)), F.lit(run - 1))
-
-        def ahead(i: Column) -> Column:
-            return F.when(chars(i) >= least_chars, F.lit(run)).otherwise(
-                _run_length(F.slice(s, i + 1, F.lit(most)), run, least_chars))
+    m = len(sentences_)
+    sizes = np.fromiter(map(len, sentences_), np.int64, m)
+    past = np.r_[0, np.cumsum(sizes + 1)]  # characters before a sentence, with one between two
+    at = np.arange(m)
+    end = np.maximum(np.searchsorted(past, past[:-1] + least_chars + 1), at + run)
+    begin = np.minimum(np.searchsorted(past, past[1:] - least_chars - 1, "right") - 1, at + 1 - run)
+    found = set(zip(at[end <= m].tolist(), (end - at)[end <= m].tolist()))
+    found.update(zip(begin[begin >= 0].tolist(), (at + 1 - begin)[begin >= 0].tolist()))
+    for k in np.flatnonzero(sizes >= 2 * LONG_WORDS - 1).tolist():
+        if len(sentences_[k].encode().split()) >= LONG_WORDS:
+            found.add((k, 1))
+    return sorted(found)
 
-        def back(i: Column) -> Column:  # where ``run`` sentences suffice, the run is one of those ahead
-            low = F.greatest(i + 1 - most, F.lit(0))
-            return F.when(chars(i + 1 - run) < least_chars, _run_length(
-                F.reverse(F.slice(s, low + 1, i + 1 - low)), run, least_chars))
 
-        def span(at: Column, n: Column) -> Column:
-            return F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"))
-
-        found = F.flatten(F.transform(s, lambda x, i: F.array(
-            span(i, ahead(i)), span(i + 1 - back(i), back(i)),
-            span(i, F.when((F.length(x) >= 2 * LONG_WORDS - 1) & (F.size(words_of(x)) >= LONG_WORDS), F.lit(1))))))
-        return F.transform(
-            F.array_distinct(F.filter(found, lambda r: r["n"].isNotNull())),
-            lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.unhex(F.md5(
-                F.array_join(F.slice(s, r["at"] + 1, r["n"]), "\x1f"))).alias("key")))
-
-    keyed = _keyed(docs.select(id_col, text_col), id_col, text_col)
-    return keyed.select(*_DOC, F.inline(let(sentences(F.col(text_col)), keys)))
+def spans(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
+          text_col: str = "text") -> DataFrame:
+    """(_sp_id, _sp_text, at, n, key): one row per span of ``n`` sentences from ``at`` on; ``key`` is 128 bits of its
+    wording, a digest of the digests of its sentences."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []  # (row, at, n, key)
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                said = _BREAK.split(text.strip(WHITE))
+                if len(said) < run and len(said[0]) < 2 * LONG_WORDS - 1:
+                    continue
+                own = [xxhash.xxh3_128_digest(x.encode()) for x in said]
+                found += [(k, at, n, xxhash.xxh3_128_digest(b"".join(own[at:at + n])))
+                          for at, n in span_places(said, run, least_chars)]
+                if len(found) >= SPANS_HELD:
+                    yield rows_of(batch, found)
+                    found = []
+            yield rows_of(batch, found)
+
+    def rows_of(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        of, at, n, key = zip(*found) if found else ((),) * 4
+        of = pa.array(of, pa.int32())
+        return pa.RecordBatch.from_arrays([
+            batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(n, pa.int32()),
+            pa.array(key, pa.binary())], [*_DOC, "at", "n", "key"])
+
+    texts = _keyed(docs.select(id_col, text_col), id_col, text_col).select(*_DOC, F.col(text_col).alias("text"))
+    return texts.filter(F.length("text") > 0).mapInArrow(hashed, "_sp_id long, _sp_text long, at int, n int, key binary")
 
 
 def repeated(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(_sp_id, _sp_text, at, n, first_id): spans that are not the first occurrence of their wording.
 
-    First occurrences come from a pre-aggregated minimum per key and keys met once are dropped, so the join meets one
-    row per repeated key; a very common passage is split by the adaptive join.
+    First occurrences come from a pre-aggregated minimum per key; keys met once are dropped. What is left is written, so
+    that the join is one of two plain exchanges, of which the adaptive join splits the rows of a very common passage.
     """
     all_spans = spans(docs, run, least_chars, id_col, text_col)
     place = F.struct(*_DOC, "at")
     first = all_spans.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(
         "first <> last").drop("last")
-    return all_spans.join(first, "key").filter(place != F.col("first")).select(
+    return all_spans.join(saved(first, "first-spans"), "key").filter(place != F.col("first")).select(
         *_DOC, "at", "n", F.col("first._sp_id").alias("first_id"))
 
 
