@@ -1,10 +1,12 @@
 """Operators on documents against brute force, on edge rows and on empty tables."""
 
 import collections
+import random
 import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from bladewatch.llm import license_scan, mixing, ngram_join, packing, sentence_spans, suffixes, weak_rules
@@ -138,7 +140,8 @@ def test_jaccard_components(edges, edge_rows, no_docs):
     assert ngram_join.jaccard_components(no_docs).count() == 0
 
 
-def test_jaccard_in_a_crowded_block(spark, monkeypatch):
+@pytest.mark.parametrize("crowded,cell_rows", [(2, 7), (4, 1000), (10**9, 1000)])
+def test_jaccard_in_a_crowded_block(spark, monkeypatch, crowded, cell_rows):
     """Copies with a few changed words each, most of which link only through others, and strangers among them."""
     import random
 
@@ -151,14 +154,44 @@ def test_jaccard_in_a_crowded_block(spark, monkeypatch):
             words[at] = f"w{i}x{at}"
         rows.append((i * 3 + 1, " ".join(words)))
     rows += [(1000 + i, prose(120, 50 + i)) for i in range(20)]
-    monkeypatch.setattr(ngram_join, "CROWDED", 0.2)
-    monkeypatch.setattr(ngram_join, "COMMON_FROM", 5)
-    monkeypatch.setattr(ngram_join, "CROWDED_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "CROWDED", crowded)
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", cell_rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = component_of({i: shingle_set(t, 4) for i, t in rows}, 85)
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()} == want
 
 
+def test_overlaps_and_spanning_links():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(40)] + [np.arange(30)] * 30
+    got = ngram_join.overlaps(sets[:25], sets[10:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets[:25]]
+    linked = rng.random((50, 50)) < 0.03
+    linked |= linked.T
+    links = ngram_join.spanning_links(linked)
+    want = component_of_links(range(50), zip(*np.nonzero(linked)))
+    assert component_of_links(range(50), links) == want and len(links) == 50 - len(set(want.values()))
+
+
+def component_of_links(nodes, links):
+    root = {n: n for n in nodes}
+    for _ in range(len(root)):
+        for a, b in (links := list(links)):
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_equal_ids_with_other_texts_are_judged_by_their_own(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(14)) for c in "ab")
+    rows = [(1, a), (5, f"{a} more"), (5, b), (7, f"{b} more"), (9, "alone in the world with these words"), (9, b)]
+    df = spark.createDataFrame([(i, t, "own", 3) for i, t in rows], "doc_id long, text string, mark string, cls int")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
+    assert got == [(1, 11, 1), (5, 11, 5), (5, 12, 1), (7, 12, 5), (9, 4, 9), (9, 11, 5)]
+    kept = ngram_join.one_per_component(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([rows[0], rows[2], rows[4]])
+
+
 def test_one_document_of_each_component_stays(edges):
     out = ngram_join.one_per_component(edges, words=5, threshold=80)
     assert out.columns == edges.columns
@@ -166,6 +199,49 @@ def test_one_document_of_each_component_stays(edges):
     assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, None]
 
 
+def brute_removals(docs, run=2, least=60, long_words=50):
+    """(id, text) -> (places of sentences that go, first ids), by the definition of spans over plain strings."""
+    breaks = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09\x0D]*\n[\x20\x09-\x0D]*")
+    places = collections.defaultdict(list)
+    for i, text in sorted(set(docs)):
+        said = breaks.split(text.strip(" \t\n\x0b\x0c\r"))
+        size = lambda a, b: len(" ".join(said[a:b]))
+        found = set()
+        for k in range(len(said)):
+            found.update([(k, next((e for e in range(k + run, len(said) + 1) if size(k, e) >= least), None))])
+            found.update([(next((a for a in range(k + 1 - run, -1, -1) if size(a, k + 1) >= least), None), k + 1)])
+            if len(WORD.findall(said[k])) >= long_words:
+                found.add((k, k + 1))
+        for a, e in found:
+            if a is not None and e is not None:
+                places[tuple(said[a:e])].append((i, text, a, e))
+    out = collections.defaultdict(lambda: (set(), set()))
+    for found in places.values():
+        first, *others = sorted(found)
+        for i, text, a, e in others:
+            out[i, text][0].update(range(a, e))
+            out[i, text][1].add(first[0])
+    return {k: (sorted(a), sorted(b)) for k, (a, b) in out.items()}
+
+
+def test_sentence_spans_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = [" ".join(rng.choice(("ab", "cde", "fghi", "é")) for _ in range(rng.randint(1, 12))) + rng.choice((".", "!", "?"))
+            for _ in range(25)] + [" ".join(["long"] * 50) + ".", " ".join(["long"] * 49) + "."]
+    docs = []
+    for i in range(120):
+        said = []
+        while len(said) < rng.randint(1, 14):
+            at = rng.randrange(len(pool))
+            said += pool[at:at + rng.randint(1, 4)] if rng.random() < 0.5 else [f"own {i} {len(said)} {rng.random()}."]
+        docs.append((i, rng.choice(("", " ", "\n")) + "".join(x + rng.choice((" ", "  ", "\n", " \n\t")) for x in said)))
+    docs.append(docs[7])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["removed"], r["first_docs"]) for r in sentence_spans.repeated_passages(df).collect()}
+    want = {i: v for (i, _), v in brute_removals(docs).items()}
+    assert got == want and len(want) > 40
+
+
 def test_sentence_spans(edges, no_docs):
     rows = {r["doc_id"]: r for r in sentence_spans.repeated_passages(edges).collect()}
     assert rows[2]["first_docs"] == [1] and 1 in rows[3]["first_docs"]
