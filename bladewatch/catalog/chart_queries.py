@@ -316,10 +316,16 @@ def hold_out_residuals(spark, sf_dir):
         "subset", "predicted_RUL", half_even(F.col("RUL_capped") - F.col("predicted_RUL"), 2).alias("residual"))
 
 
+def _offsets(spark, sf_dir):
+    """Fitted offsets; a subset whose engines are all in one fold has nothing held out and gets the default ones."""
+    trained = train_rows(labelled(spark, sf_dir, sensors=()))
+    return uncertainty.complete_offsets(uncertainty.fit_offsets(hold_out_residuals(spark, sf_dir)), trained)
+
+
 @register("a18_conformal_offsets", with_ctes(
     f"WITH {_RESID} SELECT subset, bin, alpha, {rnd('lo', 4)} AS lo, {rnd('hi', 4)} AS hi FROM offs", "lab"))
 def a18_conformal_offsets(spark, sf_dir):
-    return rounded(uncertainty.fit_offsets(hold_out_residuals(spark, sf_dir)), 4)
+    return rounded(_offsets(spark, sf_dir), 4)
 
 
 @register("a17_interval_calibration", with_ctes(f"""WITH {_RESID},
@@ -335,7 +341,7 @@ SELECT subset, alpha, n, {rnd('(1e0 - alpha) * 100e0', 1)} AS nominal_coverage_p
   {rnd(rnd('abs(coverage - (1e0 - alpha))', 4) + ' * 100e0', 1)} AS calibration_gap_pct, mean_interval_width FROM ag""",
     "lab", "lifepred"))
 def a17_interval_calibration(spark, sf_dir):
-    offsets = uncertainty.fit_offsets(hold_out_residuals(spark, sf_dir))
+    offsets = _offsets(spark, sf_dir)
     test = test_rows(life_predictions(spark, sf_dir)).drop("true_RUL").withColumnRenamed(
         "true_RUL_capped", "true_RUL")
     return uncertainty.calibration(test, offsets)

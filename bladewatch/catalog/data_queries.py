@@ -142,6 +142,26 @@ def p14_output_checks(spark, sf_dir):
     return quality.output_checks(lab, test_rows(lab).columns)
 
 
+_KEPT = [c for c in MEASURED if c not in ("sensor_9", "RUL", "RUL_capped")]
+
+
+def _checked(source, split, columns, sensors, negative):
+    return f"""SELECT {FRAME}, CAST(sum({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in columns)}) AS BIGINT) AS a,
+  CAST(sum({' + '.join(f'CAST(coalesce(isinf({s}), false) AS INTEGER)' for s in sensors)}) AS BIGINT) AS b, {negative} AS n
+  FROM {source} WHERE split = '{split}' GROUP BY ALL"""
+
+
+@register("p14_frame_checks", with_ctes(f"""
+WITH c AS ({_checked('lab', 'train', MEASURED, SENSORS, 'count(*) FILTER (WHERE RUL < 0)')} UNION ALL
+  {_checked('dirty', 'test', _KEPT, [s for s in SENSORS if s != 'sensor_9'], 'CAST(0 AS BIGINT)')})
+SELECT {FRAME}, v.*, violations = 0 AS passed FROM c, LATERAL (VALUES ('no_missing', a), ('no_infinite', b),
+  ('rul_not_negative', n), ('ids_present', 0), ('same_columns', 3)) v("check", violations)""", "lab", "dirty"))
+def p14_frame_checks(spark, sf_dir):
+    """Training rows against a test frame that was never cleaned, has no labels and lacks a sensor."""
+    test = test_rows(dirty_telemetry(spark, sf_dir)).drop("sensor_9")
+    return quality.frame_checks(train_rows(labelled(spark, sf_dir)), test)
+
+
 @register("p15_nonnegative_labels", with_ctes(f"SELECT {FRAME}, count(*) AS rows FROM lab WHERE RUL >= 0 GROUP BY ALL",
                                               "lab"))
 def p15_nonnegative_labels(spark, sf_dir):

@@ -13,8 +13,11 @@ from bladewatch.functions import accuracy, advice, anomaly, economics, health
 from bladewatch.functions.numeric import half_even
 from bladewatch.operators import advisory, explain, lookup, registry, rul
 from bladewatch.operators.features import engine_tail
+from bladewatch.operators.ranks import exact_percentiles
 from bladewatch.operators.stats import baseline_moments, lifetimes, used_sensors
-from bladewatch.sources.supplied import labelled, table, unit_columns
+from bladewatch.session import scratch_path
+from bladewatch.sources.stages import export_documents, load_documents, materialise
+from bladewatch.sources.supplied import hot_units, labelled, table, unit_columns
 
 QUERIES, SQL = {}, {}
 
@@ -78,7 +81,7 @@ def e5_health_columns(spark, sf_dir):
     f"{S.steps(C.DEVIATION_LEVELS, 'abs(z2)', 2)} AS contribution FROM zrank", "zrank"))
 def e6_deviation_class(spark, sf_dir):
     lab = labelled(spark, sf_dir)
-    joined, z = explain.baseline_z(lab, baseline_moments(train_rows(lab)))
+    joined, z = explain.baseline_z(lab, baseline_moments(train_rows(lab), hot_units(spark, sf_dir)))
     pairs = F.array(*[F.struct(F.lit(s).alias("sensor"), half_even(v, 2).alias("z")) for s, v in z.items()])
     return joined.select(*KEY, F.inline(pairs)).filter("z is not null").select(
         *KEY, "sensor", "z", anomaly.deviation_severity(F.col("z")).alias("severity"),
@@ -101,8 +104,6 @@ def _raw_scores(spark, sf_dir):
 
 
 def _raw_bounds(df):
-    from bladewatch.operators.ordering import exact_percentiles
-
     cut = exact_percentiles(train_rows(df), ["subset"], ["raw"], [0.005, 0.995])
     return cut.groupBy("subset").agg(F.max(F.when(F.col("p") == 0.005, F.col("value"))).alias("lo"),
                                      F.max(F.when(F.col("p") == 0.995, F.col("value"))).alias("hi"))
@@ -122,7 +123,7 @@ def a8_calibration_bounds(spark, sf_dir):
     f"WITH r AS ({_RAW}), b AS ({_BOUNDS}) SELECT {K}, {rnd(_clip('(hi - raw) / (hi - lo) * 100e0'), 2)} AS score "
     f"FROM r JOIN b USING (subset)", "scored"))
 def e8_calibrated_score(spark, sf_dir):
-    raw = _raw_scores(spark, sf_dir)
+    raw = materialise(_raw_scores(spark, sf_dir).select(*KEY, "raw"), "raw-scores")
     joined = raw.join(F.broadcast(_raw_bounds(raw)), "subset")
     return joined.select(*KEY, anomaly.calibrated_score(F.col("raw"), F.col("lo"), F.col("hi")).alias("score"))
 
@@ -146,7 +147,7 @@ _RANKS = ", ".join(
     f"SELECT {K}, {_RANKS}, top_abnormal_sensors, max_sensor_deviation FROM expl", "expl"))
 def e10_explain_anomalies(spark, sf_dir):
     lab = labelled(spark, sf_dir)
-    out = explain.explain(lab, baseline_moments(train_rows(lab)))
+    out = explain.explain(lab, baseline_moments(train_rows(lab), hot_units(spark, sf_dir)))
     flat = explain.flatten_ranks(out)
     return flat.select(*KEY, *[c for c in flat.columns if c.startswith("top_")], "max_sensor_deviation")
 
@@ -543,6 +544,25 @@ def o3_top_sensors(spark, sf_dir):
     return explain.top_sensors(_ranking(spark, sf_dir), 5)
 
 
+@register("a13_report_documents", with_ctes(f"""WITH {_SC_TEST}, {_RANKING},
+top AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY top_1_abnormal_count DESC, CAST(substr(sensor, 8) AS INTEGER))
+  AS rank FROM ranking),
+c AS (SELECT subset, count(*) AS total_test_cycles, count(*) FILTER (WHERE {_FLAG}) AS anomalous_cycles_count FROM sc GROUP BY ALL)
+SELECT subset, total_test_cycles, anomalous_cycles_count, rank, sensor, top_1_frequency_pct, top_1_abnormal_count
+FROM top JOIN c USING (subset) WHERE rank <= 5""", "scored", "usable"))
+def a13_report_documents(spark, sf_dir):
+    """The anomaly report as one JSON document per subset, its top sensors inside; written, read back and taken apart."""
+    test = test_rows(scored(spark, sf_dir))
+    used = used_sensors(train_rows(labelled(spark, sf_dir)))
+    report = explain.report_document(
+        explain.anomaly_report(test, explain.engine_summary(test)), explain.fleet_sensor_ranking(test, used))
+    path = scratch_path(spark, "reports")
+    export_documents(report, path, "anomaly_report")
+    back = load_documents(spark, path, "anomaly_report", report.schema)
+    return back.select("subset", "total_test_cycles", "anomalous_cycles_count", F.posexplode("top_contributing_sensors").alias(
+        "at", "s")).select("subset", "total_test_cycles", "anomalous_cycles_count", (F.col("at") + 1).alias("rank"), "s.*")
+
+
 _SEV = {s: s.lower().replace(" ", "_") for _, s in C.ANOMALY_SEVERITIES}
 
 
@@ -592,6 +612,20 @@ def j4_cycle_advisory(spark, sf_dir):
                       "urgency_window_cycles")
 
 
+_TEXTS = ("decision_reason", "maintenance_recommendation", "targeted_action_items", "impacted_components")
+
+
+@register("j4_full_advisory", with_ctes(f"""
+SELECT {K}, true_RUL, top_abnormal_sensors, {_RANKS}, {_REASON} AS decision_reason,
+  {S.recommendation_case('engine_health_status')} AS maintenance_recommendation, {_ACTIONS} AS targeted_action_items,
+  array_to_string(comp, ', ') AS impacted_components FROM (SELECT *, {_COMP} AS comp, {_SYS} AS sys FROM assessed)""", "assessed"))
+def j4_full_advisory(spark, sf_dir):
+    """The texts and sensor ranks of every cycle's advisory, beside the numbers of ``j4_cycle_advisory``."""
+    out = explain.flatten_ranks(advisory.cycle_advisory(scored(spark, sf_dir)))
+    ranks = [c for c in out.columns if c.startswith("top_sensor_")]
+    return out.select(*KEY, "true_RUL", "top_abnormal_sensors", *ranks, *_TEXTS)
+
+
 _FLEET_REASON = S.reason_case("engine_health_status", "predicted_RUL", "latest_anomaly_score", "top_abnormal_sensors")
 _FLEET = f"""SELECT * EXCLUDE (comp, sys), {S.recommendation_case('engine_health_status')} AS
     maintenance_recommendation, {_FLEET_REASON} AS decision_reason, {_ACTIONS} AS targeted_action_items,
@@ -681,6 +715,26 @@ def p12_engine_history(spark, sf_dir):
     return lookup.engine_history(advisory.assess(scored(spark, sf_dir)))
 
 
+ONE_ENGINE = 8  # that is looked up by itself
+
+
+@register("p11_one_engine", with_ctes(
+    f"SELECT engine_id, subset, latest_observed_cycle, predicted_RUL, engine_health_status, composite_health_score FROM fleet "
+    f"WHERE engine_id = {ONE_ENGINE}", "fleet"))
+def p11_one_engine(spark, sf_dir):
+    """The advisory of one engine; the filter reaches the scan of the stage table."""
+    return lookup.find_engine(fleet(spark, sf_dir, ONE_ENGINE), ONE_ENGINE).select(
+        "engine_id", "subset", "latest_observed_cycle", "predicted_RUL", "engine_health_status", "composite_health_score")
+
+
+@register("p12_one_engine", with_ctes(
+    f"SELECT {K}, predicted_RUL, anomaly_score, anomaly_label, engine_health_status, composite_health_score, "
+    f"count(*) OVER (PARTITION BY {UNIT}) AS total_cycles FROM assessed WHERE engine_id = {ONE_ENGINE}", "assessed"))
+def p12_one_engine(spark, sf_dir):
+    """The trajectory of one engine, without a sort of all."""
+    return lookup.engine_history(advisory.assess(scored(spark, sf_dir, ONE_ENGINE)), ONE_ENGINE)
+
+
 @register("p13_sensor_explorer", with_ctes(f"""
 WITH s AS (SELECT {UNIT}, sensor, arg_max(x, cycle) AS last_value, arg_max((x - mean) / std, cycle) AS z,
     CASE WHEN stddev_samp(x) > 0 THEN covar_samp(x, cycle) / var_samp(cycle) ELSE 0e0 END AS slope, max(cycle) - min(cycle) AS life,
@@ -690,7 +744,7 @@ SELECT {UNIT}, sensor, {rnd('last_value', 3)} AS last_value, {rnd('z', 2)} AS z_
     WHEN abs({rnd('z', 2)}) >= 2 THEN 'Elevated' ELSE 'Stable' END AS trend FROM s""", "lablong", "baseline"))
 def p13_sensor_explorer(spark, sf_dir):
     lab = labelled(spark, sf_dir)
-    return lookup.sensor_explorer(lab, baseline_moments(train_rows(lab)))
+    return lookup.sensor_explorer(lab, baseline_moments(train_rows(lab), hot_units(spark, sf_dir)))
 
 
 # --- registry -----------------------------------------------------------------------------------

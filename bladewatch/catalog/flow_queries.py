@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bladewatch import constants as C
+from bladewatch.catalog import data_queries, decision_queries
 from bladewatch.catalog.data_queries import rolled
 from bladewatch.catalog.decision_queries import EVENT_REQUESTS, request_sql
 from bladewatch.catalog.inputs import fleet, train_rows
@@ -13,7 +14,9 @@ from bladewatch.functions.numeric import half_even
 from bladewatch.operators import regimes
 from bladewatch.session import scratch_path, tune
 from bladewatch.sources import stages, text
-from bladewatch.sources.supplied import ground_truth, labelled, telemetry
+from bladewatch.sources.stages import materialise
+from bladewatch.sources.supplied import ground_truth, labelled, table, telemetry
+from bladewatch.streaming import ordered
 from bladewatch.streaming import telemetry as streams
 
 QUERIES, SQL = {}, {}
@@ -40,6 +43,55 @@ def s1_raw_telemetry_text(spark, sf_dir):
     return text.read_telemetry(spark, path).select(*C.UNIT, "cycle", *SETTINGS, *SENSORS)
 
 
+# Rule-made defects of written records, by line number and quantity: what they say and what is wrong with them.
+_DEFECTS = (
+    ("cut", 7.0, 50.0, "expected 26 columns, found 12"), ("long", 6.0, 50.0, "expected 26 columns, found 27"),
+    ("word", 5.0, 50.0, "not a number"), ("half", 4.0, 50.0, "not a whole number"), ("blank", 3.0, 50.0, "blank"))
+
+
+def _spoiled(spark, sf_dir):
+    """The telemetry as text records below a new folder, some of them spoiled."""
+    path = scratch_path(spark, "spoiled")
+    text.write_telemetry(telemetry(spark, sf_dir), f"{path}/whole")
+    cells = F.split("value", " ")
+    hit = {kind: (cells[4].cast("double") == line) & (cells[6].cast("double") == quantity)
+           for kind, line, quantity, _ in _DEFECTS}
+    value = (
+        F.when(hit["cut"], F.array_join(F.slice(cells, 1, 12), " "))
+        .when(hit["long"], F.concat("value", F.lit(" 1.0")))
+        .when(hit["word"], F.regexp_replace("value", r"\S+$", "n/a"))
+        .when(hit["half"], F.regexp_replace("value", r"^\S+", "1.5"))
+        .when(hit["blank"], "  ").otherwise(F.col("value")))
+    spark.read.text(f"{path}/whole").select("name", value.alias("value")).write.partitionBy("name").text(f"{path}/spoiled")
+    return f"{path}/spoiled"
+
+
+_PROBLEM = " ".join(f"WHEN setting_3 = {line} AND sensor_2 = {quantity} THEN '{what}'" for _, line, quantity, what in _DEFECTS)
+
+
+@register("s1_record_counts", with_ctes(f"""
+SELECT subset, split, count(*) AS lines, count(*) FILTER (WHERE p = 'blank') AS blank, count(*) FILTER (WHERE p IS NULL) AS good,
+  count(*) FILTER (WHERE p <> 'blank') AS bad FROM (SELECT *, CASE {_PROBLEM} END AS p FROM tel) GROUP BY ALL""", "tel"))
+def s1_record_counts(spark, sf_dir):
+    """Spoiled records: good, bad and blank lines per file name add up to the lines."""
+    counts = text.record_counts(spark, _spoiled(spark, sf_dir))
+    return counts.groupBy(
+        F.regexp_extract("file", text.TELEMETRY_NAME, 2).alias("subset"),
+        F.regexp_extract("file", text.TELEMETRY_NAME, 1).alias("split")).agg(
+        *[F.sum(c).alias(c) for c in ("lines", "blank", "good", "bad")])
+
+
+@register("s1_bad_records", with_ctes(f"""
+SELECT p AS problem, count(*) AS records, true AS placed FROM (SELECT CASE {_PROBLEM} END AS p FROM tel)
+WHERE p <> 'blank' GROUP BY ALL""", "tel"))
+def s1_bad_records(spark, sf_dir):
+    """Bad records by problem; ``placed``: each has a line number of its own within its file."""
+    bad = text.bad_records(spark, _spoiled(spark, sf_dir))
+    return bad.groupBy("problem").agg(
+        F.count(F.lit(1)).alias("records"),
+        ((F.count_distinct("file", "line_number") == F.count(F.lit(1))) & (F.min("line_number") > 0)).alias("placed"))
+
+
 @register("s2_true_rul_text", with_ctes("SELECT * FROM truth", "truth"))
 def s2_true_rul_text(spark, sf_dir):
     path = scratch_path(spark, "truth")
@@ -89,6 +141,24 @@ def s5_advisory_export(spark, sf_dir):
     return back.unionByName(other)
 
 
+def _documents(spark, name, rows):
+    path = scratch_path(spark, "documents")
+    stages.export_documents(rows, path, name)
+    return stages.load_documents(spark, path, name, rows.schema).select(*rows.columns)
+
+
+@register("s5_dataset_documents", data_queries.SQL["a5_dataset_report"])
+def s5_dataset_documents(spark, sf_dir):
+    """The dataset report as one JSON document per subset, written and read back."""
+    return _documents(spark, "dataset_report", data_queries.QUERIES["a5_dataset_report"](spark, sf_dir))
+
+
+@register("s5_executive_documents", decision_queries.SQL["a14_executive_report"])
+def s5_executive_documents(spark, sf_dir):
+    """The executive report as one JSON document per subset, written and read back."""
+    return _documents(spark, "fleet_report", decision_queries.QUERIES["a14_executive_report"](spark, sf_dir))
+
+
 @register("s6_report_download", with_ctes(
     f"SELECT 'fleet' AS report_type, (SELECT count(*) FROM fleet) AS total_records, {', '.join(_EXPORT)} FROM fleet",
     "fleet"))
@@ -138,6 +208,39 @@ def t2_stream_rolling_features(spark, sf_dir):
     return out.withColumns(numbers).drop("at")
 
 
+SLICES = 4
+
+
+def _sliced_events(spark, sf_dir, delay_seconds):
+    """The events in files of arrival, one for each of SLICES equal times: each event comes up to ``delay_seconds`` late."""
+    events = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "arrivals")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(delay_seconds))
+    placed = materialise(events.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) + late), "arrivals")
+    first, last = placed.agg(F.min("_at"), F.max("_at")).first()
+    cell = F.least(F.floor((F.col("_at") - first) / ((last - first) / SLICES)), F.lit(SLICES - 1))
+    for k in range(SLICES):  # one write after the other, so that the files are taken in this order
+        placed.filter(cell == k).drop("_at").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@register("t2_rolling_in_order", f"""
+SELECT engine_id, event_id, rolling_mean, rolling_std, diff, pct_change FROM (
+SELECT user_id + 1 AS engine_id, event_id, ts, {rnd(f'avg(value) {_P} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 4)}
+    AS rolling_mean,
+  {rnd(f'coalesce(stddev_samp(value) {_P} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0e0)', 4)} AS rolling_std,
+  {rnd(f'coalesce(value - lag(value) {_P}), 0e0)', 4)} AS diff,
+  {rnd(f'CASE WHEN abs(lag(value) {_P})) > 1e-9 THEN (value - lag(value) {_P})) / abs(lag(value) {_P})) * 100e0 ELSE 0e0 END', 4)}
+    AS pct_change FROM events)
+WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
+def t2_rolling_in_order(spark, sf_dir):
+    """Events that come in several batches and out of order, taken in order of time; the last ten minutes wait."""
+    stream = streams.read_events(tune(spark), _sliced_events(spark, sf_dir, 590), "*.parquet", files_per_batch=1)
+    out = streams.run_to_table(ordered.ordered_rolling_stream(stream), scratch_path(spark, "ordered"))
+    numbers = {c: half_even(F.col(c), 4) for c in ("rolling_mean", "rolling_std", "diff", "pct_change")}
+    return out.withColumns(numbers).drop("at")
+
+
 @register("t3_stream_anomaly_rate", f"""
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS readings, count(*) FILTER (WHERE k >= 60) AS anomalies,
   {rnd('count(*) FILTER (WHERE k >= 60) / CAST(count(*) AS DOUBLE) * 100e0', 4)} AS anomaly_pct

@@ -9,6 +9,7 @@ from bladewatch.functions.numeric import clip, half_even
 from bladewatch.operators.advisory import fleet_advisory
 from bladewatch.operators.explain import rule_scores
 from bladewatch.operators.features import engine_tail
+from bladewatch.operators.lookup import find_engine
 from bladewatch.operators.stats import baseline_moments, lifetimes
 from bladewatch.sources.supplied import hot_units, labelled
 
@@ -21,16 +22,17 @@ def test_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split") == "test")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled cycles with rule-based anomaly scores; predicted_RUL is the capped label."""
+def scored(spark: SparkSession, sf_dir: str, engine_id: int | None = None) -> DataFrame:
+    """Labelled cycles, of one engine or all, with rule-based anomaly scores; predicted_RUL is the capped label."""
     lab = labelled(spark, sf_dir)
-    out = rule_scores(lab, baseline_moments(train_rows(lab), hot_units(spark, sf_dir)))
+    rows = lab if engine_id is None else find_engine(lab, engine_id)
+    out = rule_scores(rows, baseline_moments(train_rows(lab), hot_units(spark, sf_dir)))
     return out.withColumns({
         "predicted_RUL": F.col("RUL_capped").cast("double"), "true_RUL": F.col("RUL").cast("double")})
 
 
-def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet_advisory(test_rows(scored(spark, sf_dir)))
+def fleet(spark: SparkSession, sf_dir: str, engine_id: int | None = None) -> DataFrame:
+    return fleet_advisory(test_rows(scored(spark, sf_dir, engine_id)))
 
 
 def life_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

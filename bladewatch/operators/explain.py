@@ -154,6 +154,14 @@ def top_sensors(ranking: DataFrame, k: int = 5) -> DataFrame:
     return ranking.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def report_document(report: DataFrame, ranking: DataFrame, k: int = 5) -> DataFrame:
+    """The anomaly report with ``top_contributing_sensors``, at most ``k`` per subset, most frequent first."""
+    entry = F.struct("sensor", "top_1_frequency_pct", "top_1_abnormal_count")
+    top = top_sensors(ranking, k).groupBy("subset").agg(F.sort_array(F.collect_list(F.struct("rank", entry.alias("e")))).alias("t"))
+    listed = top.select("subset", F.transform("t", lambda x: x["e"]).alias("top_contributing_sensors"))
+    return report.join(listed, "subset", "left")
+
+
 def anomaly_report(scored: DataFrame, summary: DataFrame) -> DataFrame:
     """One row per subset with totals, shares, mean scores and the severity histogram."""
     hit = F.col("anomaly_label") == "Anomalous"

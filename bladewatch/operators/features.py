@@ -87,7 +87,10 @@ def _over_blocks(df: DataFrame, window: int, sensors, settings) -> DataFrame:
 
 
 def engine_tail(df: DataFrame) -> DataFrame:
-    """Last observed row of each engine, by aggregation rather than a sort."""
+    """Last observed row of each engine: one aggregate, pre-combined by each task, so few rows are shuffled.
+
+    A row is no fixed-size value, so Spark sorts each task's rows by engine for it.
+    """
     rest = [c for c in df.columns if c not in UNIT and c != "cycle"]
     latest = F.max_by(F.struct("cycle", *rest), F.col("cycle")).alias("_last")
     return df.groupBy(*UNIT).agg(latest).select(*UNIT, "_last.*").select(*df.columns)

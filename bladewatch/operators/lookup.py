@@ -39,6 +39,8 @@ def engine_history(advisory: DataFrame, engine_id: int | None = None) -> DataFra
     rows = advisory if engine_id is None else find_engine(advisory, engine_id)
     counts = rows.groupBy(*C.UNIT).agg(F.count(F.lit(1)).alias("total_cycles"))
     slim = rows.select(*C.UNIT, *HISTORY_COLUMNS)
+    if engine_id is not None:  # one count per frame; the rows stay where the scan found them, each block in order
+        return slim.join(F.broadcast(counts), list(C.UNIT)).sortWithinPartitions(*C.UNIT, "cycle")
     return slim.join(counts, list(C.UNIT)).orderBy(*C.UNIT, "cycle")
 
 

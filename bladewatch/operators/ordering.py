@@ -1,4 +1,4 @@
-"""Exact ordinals, engine layout checks and exact percentiles that never pull one group into one task."""
+"""Exact ordinals, engine layout checks and running sums that never pull one group into one task."""
 
 from __future__ import annotations
 
@@ -42,99 +42,6 @@ def has_oversized_unit(df: DataFrame, keys=UNIT, limit: int | None = None) -> bo
     return top is not None and top["n"] is not None and top["n"] > limit
 
 
-def exact_percentiles(
-    df: DataFrame, group: list[str], columns: list[str], probabilities: list[float], accuracy: int = 10_000
-) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per (group, column, probability).
-
-    Pass 1 brackets each wanted rank with ``percentile_approx``, whose rank error is at most n/accuracy.
-    Pass 2 counts the values below each bracket. Pass 3 keeps the values inside it, pre-aggregated by
-    value, and walks to the exact ranks. ``group`` must have few values, since the brackets are broadcast:
-    they hold len(columns) x len(probabilities) rows per group.
-    """
-    slack = 4.0 / accuracy
-    spread = [max(p - slack, 0.0) for p in probabilities] + [min(p + slack, 1.0) for p in probabilities]
-    k = len(probabilities)
-    wide = df.groupBy(*group).agg(
-        *[F.percentile_approx(c, spread, accuracy).alias(f"a_{c}") for c in columns],
-        *[F.min(c).alias(f"lo_{c}") for c in columns],
-        *[F.max(c).alias(f"hi_{c}") for c in columns],
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-    )
-    targets = []
-    for c in columns:
-        for i, p in enumerate(probabilities):
-            rank = F.lit(p) * (F.col(f"n_{c}") - 1)
-            few = F.col(f"n_{c}") < accuracy  # so few values need no bracket
-            low = F.col(f"lo_{c}") if p <= slack else F.when(few, F.col(f"lo_{c}")).otherwise(F.col(f"a_{c}")[i])
-            high = F.col(f"hi_{c}") if p >= 1.0 - slack else (
-                F.when(few, F.col(f"hi_{c}")).otherwise(F.col(f"a_{c}")[k + i]))
-            targets.append(
-                F.struct(
-                    F.lit(c).alias("column"), F.lit(p).alias("p"), low.cast("double").alias("low"),
-                    high.cast("double").alias("high"), rank.alias("rank"),
-                )
-            )
-    brackets = wide.select(*group, F.array(*targets).alias("brackets"))
-    long_brackets = brackets.select(*group, F.inline("brackets"))
-
-    rows = df.select(*group, *columns)
-    below = rows.join(F.broadcast(brackets), group).groupBy(*group).agg(
-        *[
-            F.count_if(F.col(c) < F.col("brackets")[j * k + i]["low"]).alias(f"b_{j}_{i}")
-            for j, c in enumerate(columns)
-            for i in range(k)
-        ]
-    )
-    below_long = below.select(
-        *group,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(f"b_{j}_{i}").alias("below"))
-                    for j, c in enumerate(columns)
-                    for i, p in enumerate(probabilities)
-                ]
-            )
-        ),
-    )
-
-    candidates = []
-    for j, c in enumerate(columns):
-        for i, p in enumerate(probabilities):
-            entry = F.col("brackets")[j * k + i]
-            candidates.append(
-                F.when(
-                    F.col(c).between(entry["low"], entry["high"]),
-                    F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(c).cast("double").alias("value")),
-                )
-            )
-    inside = (
-        rows.join(F.broadcast(brackets), group)
-        .select(*group, F.inline(F.array_compact(F.array(*candidates))))
-        .groupBy(*group, "column", "p", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cell = [*group, "column", "p"]
-    upto = Window.partitionBy(*cell).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    walked = (
-        inside.join(F.broadcast(below_long), cell)
-        .join(F.broadcast(long_brackets.select(*cell, "rank")), cell)
-        .withColumn("last", F.col("below") + F.sum("n").over(upto) - 1)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-    )
-    low_rank, high_rank = F.floor("rank"), F.ceil("rank")
-    return (
-        walked.groupBy(*cell)
-        .agg(
-            F.max("rank").alias("rank"),
-            F.max(F.when(low_rank.between(F.col("first"), F.col("last")), F.col("value"))).alias("v0"),
-            F.max(F.when(high_rank.between(F.col("first"), F.col("last")), F.col("value"))).alias("v1"),
-        )
-        .select(*cell, (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("rank") - low_rank)).alias("value"))
-    )
-
-
 def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str], block: int | None) -> DataFrame:
     """Replaces each column by its running sum over ``keys`` by ``order``; rows with equal order share it.
 

@@ -13,7 +13,8 @@ from bladewatch.functions.anomaly import anomaly_severity
 from bladewatch.functions.health import risk_zone
 from bladewatch.functions.numeric import correlation, half_even
 from bladewatch.operators.features import present
-from bladewatch.operators.ordering import bucketed_ordinal, exact_percentiles
+from bladewatch.operators.ordering import bucketed_ordinal
+from bladewatch.operators.ranks import exact_percentiles
 from bladewatch.operators.stats import sensor_statistics
 
 

@@ -175,6 +175,11 @@ def output_checks(df: DataFrame, other_columns=None) -> DataFrame:
     return wide.unpivot(list(C.FRAME), names, "check", "violations").withColumn("passed", F.col("violations") == 0)
 
 
+def frame_checks(train: DataFrame, test: DataFrame) -> DataFrame:
+    """``output_checks`` of both frames, each compared with the other's columns."""
+    return output_checks(train, test.columns).unionByName(output_checks(test, train.columns))
+
+
 def assert_labels(df: DataFrame) -> DataFrame:
     """Fails the job on the first negative label, else passes the rows through."""
     message = F.concat(F.lit("negative RUL for engine "), F.col("engine_id").cast("string"))

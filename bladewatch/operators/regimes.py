@@ -2,32 +2,162 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bladewatch import constants as C
 from bladewatch.operators.features import present
+from bladewatch.sources.stages import materialise
+
 
+MOST_ROUNDS = 50  # of moving centres
+SETTLED = 1e-12  # a start has settled once no centre moves further than its square root
 
-def fit_regimes(train: DataFrame, k: int, n_init: int = 10, seed: int = C.SEED) -> KMeansModel:
-    """Best of ``n_init`` k-means runs on the settings.
 
-    Equal setting vectors are merged into one weighted point first. The objective is the same, and the
-    repeated passes run over the distinct operating points instead of all cycles.
+def distinct_points(train: DataFrame) -> DataFrame:
+    """(subset, point, weight): equal setting vectors merged into one weighted point; rows without a setting are left out.
+
+    The objective stays the same, and the repeated passes run over the distinct operating points instead of all cycles.
     """
     settings = present(train, C.SETTINGS)
-    points = train.groupBy(*settings).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    vectors = VectorAssembler(inputCols=settings, outputCol="point").transform(points).select("point", "weight")
-    vectors = vectors.persist()
-    try:
-        runs = [
-            KMeans(k=k, seed=seed + i, featuresCol="point", weightCol="weight", predictionCol="_regime").fit(vectors)
-            for i in range(n_init)
-        ]
-        return min(runs, key=lambda m: m.summary.trainingCost)
-    finally:
-        vectors.unpersist()
+    return train.dropna(subset=settings).groupBy("subset", *settings).agg(F.count(F.lit(1)).cast("double").alias("weight")).select(
+        "subset", F.array(*(F.col(c).cast("double") for c in settings)).alias("point"), "weight")
+
+
+def _draw(points: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each point and salt, the same wherever the point lies."""
+    state = np.full(len(points), (salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for column in (points + 0.0).T:  # so that -0.0 is 0.0
+        state = (state ^ np.ascontiguousarray(column).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        state ^= state >> np.uint64(29)
+    return ((state >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def _gaps(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distance of every point to every centre."""
+    return ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+
+
+def _by_subset(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    for frame in frames:
+        for subset, part in frame.groupby("subset"):
+            yield subset, np.array(part["point"].tolist(), float), part["weight"].to_numpy(float)
+
+
+def _next_centres(points: DataFrame, centres: dict, starts: int, seed: int) -> dict:
+    """One more centre for each (subset, start): a point drawn by weight times squared distance to the nearest centre.
+
+    Each task races its own points and hands on one row a subset and start.
+    """
+    held = points.sparkSession.sparkContext.broadcast(centres)
+
+    def race(frames):
+        for subset, at, weight in _by_subset(frames):
+            for start in range(starts):
+                known = held.value.get((subset, start), [])
+                far = weight * (_gaps(at, np.array(known)).min(axis=1) if known else 1.0)
+                time = np.divide(-np.log(_draw(at, seed + 1009 * start + len(known))), far, out=np.full(len(at), np.inf), where=far > 0)
+                first = int(np.lexsort((*at.T, time))[0])
+                if np.isfinite(time[first]):
+                    yield pd.DataFrame({"subset": [subset], "start": [start], "time": [time[first]], "point": [at[first].tolist()]})
+
+    rows = points.mapInPandas(race, "subset string, start int, time double, point array<double>").groupBy("subset", "start").agg(
+        F.min(F.struct("time", "point"))["point"].alias("point")).collect()
+    return {(r["subset"], r["start"]): [*centres.get((r["subset"], r["start"]), []), list(r["point"])] for r in rows}
+
+
+def _moved(points: DataFrame, centres: dict) -> tuple[dict, dict]:
+    """(centres moved to the mean of their points, cost of the centres before) of every (subset, start)."""
+    held = points.sparkSession.sparkContext.broadcast(centres)
+
+    def sums(frames):
+        for subset, at, weight in _by_subset(frames):
+            for (name, start), known in held.value.items():
+                if name != subset:
+                    continue
+                gaps = _gaps(at, np.array(known))
+                nearest = gaps.argmin(axis=1)
+                cost = weight * gaps.min(axis=1)
+                yield pd.DataFrame([
+                    (subset, start, k, weight[m].sum(), cost[m].sum(), (weight[m, None] * at[m]).sum(axis=0).tolist())
+                    for k in np.unique(nearest).tolist() for m in [nearest == k]],
+                    columns=["subset", "start", "k", "weight", "cost", "total"])
+
+    width = len(next(iter(centres.values()))[0])
+    rows = points.mapInPandas(
+        sums, "subset string, start int, k int, weight double, cost double, total array<double>").groupBy(
+        "subset", "start", "k").agg(F.sum("weight").alias("weight"), F.sum("cost").alias("cost"),
+                                    F.array(*(F.sum(F.col("total")[i]) for i in range(width))).alias("total")).collect()
+    moved, cost = {key: [list(c) for c in known] for key, known in centres.items()}, dict.fromkeys(centres, 0.0)
+    for r in rows:  # a centre without points stays where it is
+        key = (r["subset"], r["start"])
+        moved[key][r["k"]] = [t / r["weight"] for t in r["total"]]
+        cost[key] += r["cost"]
+    return moved, cost
+
+
+def fit_subset_regimes(train: DataFrame, regimes: dict | None = None, n_init: int = 10, seed: int = C.SEED) -> dict:
+    """Cluster centres per subset found in ``train``: the best of ``n_init`` k-means runs on its settings.
+
+    ``regimes`` names the number of regimes of a subset; one that it doesn't name, or names with one, has no centres.
+    All subsets and starts are fitted together: one aggregate per round. The driver holds subsets x starts x regimes centres.
+    """
+    regimes = C.SUBSET_REGIMES if regimes is None else regimes
+    wanted = {s: k for s, k in regimes.items() if k > 1}
+    points = materialise(distinct_points(train), "operating-points")
+    found = {r["subset"] for r in points.select("subset").distinct().collect()}
+    subsets = {r["subset"] for r in train.select("subset").distinct().collect()}
+    centres = {s: [] for s in sorted(subsets, key=lambda s: (s is None, s))}
+    points = points.filter(F.col("subset").isin(*wanted))
+    moving = {}
+    for k in range(1, max((wanted[s] for s in wanted if s in found), default=0) + 1):
+        more = {s for s in found if wanted.get(s, 0) >= k}
+        grown = _next_centres(points.filter(F.col("subset").isin(*more)), {
+            key: c for key, c in moving.items() if key[0] in more}, n_init, seed)
+        moving |= grown
+    best = {}
+    for _ in range(MOST_ROUNDS):
+        if not moving:
+            break
+        moved, cost = _moved(points, moving)
+        for (subset, start), c in cost.items():
+            best[(subset, start)] = (c, start, moving[(subset, start)])
+        moving = {key: to for key, to in moved.items() if max(
+            sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(to, moving[key])) > SETTLED}
+    for subset in {s for s, _ in best}:
+        centres[subset] = min(v for (s, _), v in best.items() if s == subset)[2]
+    return centres
+
+
+@dataclass
+class Normaliser:
+    """Fitted regimes and their statistics."""
+
+    centres: dict[str, list[list[float]]]
+    statistics: DataFrame
+
+    @classmethod
+    def fit(cls, train: DataFrame, centres: dict | None = None) -> Normaliser:
+        centres = fit_subset_regimes(train) if centres is None else centres
+        return cls(centres, regime_statistics(assign_regime(train, centres)))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The frame in z-scores of each row's own regime, with ``_regime``."""
+        return normalise(assign_regime(df, self.centres), self.statistics)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame(list(self.centres.items()), "subset string, centres array<array<double>>").write.mode(
+            "overwrite").parquet(f"{path}/centres")
+        self.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Normaliser:
+        centres = {r["subset"]: [list(c) for c in r["centres"]] for r in spark.read.parquet(f"{path}/centres").collect()}
+        return cls(centres, spark.read.parquet(f"{path}/statistics"))
 
 
 def assign_regime(df: DataFrame, models: dict[str, list[list[float]]]) -> DataFrame:
@@ -48,19 +178,6 @@ def assign_regime(df: DataFrame, models: dict[str, list[list[float]]]) -> DataFr
     return df.withColumn("_regime", regime)
 
 
-def fit_subset_regimes(train: DataFrame, regimes=None, n_init: int = 10, seed: int = C.SEED) -> dict:
-    """Cluster centres per subset; a subset with one regime needs no clustering."""
-    regimes = C.SUBSET_REGIMES if regimes is None else regimes
-    centres = {}
-    for subset, k in regimes.items():
-        if k <= 1:
-            centres[subset] = []
-            continue
-        model = fit_regimes(train.filter(F.col("subset") == subset), k, n_init, seed)
-        centres[subset] = [[float(x) for x in c] for c in model.clusterCenters()]
-    return centres
-
-
 def regime_statistics(train: DataFrame) -> DataFrame:
     """Mean and std per (subset, regime): wide row, NULL for sensors that hardly vary in the subset."""
     sensors = present(train, C.SENSORS)

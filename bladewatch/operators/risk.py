@@ -6,7 +6,12 @@ is joined to produce them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from bladewatch import constants as C
 from bladewatch.functions.accuracy import rul_bin
@@ -14,12 +19,11 @@ from bladewatch.functions.advice import engine_code, subsystem_of
 from bladewatch.functions.numeric import digest, digest_normal, half_even
 from bladewatch.operators.advisory import primary_fault
 
+PARTS = 64  # of the tasks' sums, before they are added up
 
-def add_draws(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEED) -> DataFrame:
-    """One row per (engine, sim) with ``draw``: the engine's own noise plus the common fleet shock.
 
-    The spread of an engine's own draws is taken from an array inside its row before the rows fan out.
-    """
+def own_draws(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEED) -> DataFrame:
+    """Adds ``own``, the engine's draws of all simulations before the common shock, and their spread ``draw_std``."""
     z = F.transform(F.sequence(F.lit(0), F.lit(n_sims - 1)), lambda s: digest_normal(digest(
         F.lit(seed), F.col("engine_id"), s)))
     with_z = fleet.withColumn("_z", z)
@@ -28,44 +32,82 @@ def add_draws(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEE
     own = F.transform("_z", lambda x: F.greatest(F.col("predicted_RUL") + x * F.col("_scale"), F.lit(0.0)))
     count = F.lit(float(n_sims))
     spread = F.aggregate(
-        "_own", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+        "own", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
         lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")),
         lambda a: F.sqrt(F.greatest(a["q"] / count - (a["s"] / count) * (a["s"] / count), F.lit(0.0))))
-    kept = list(fleet.columns)
-    fanned = scaled.withColumn("_own", own).withColumn("draw_std", spread).select(
-        *kept, "draw_std", F.posexplode("_own").alias("sim", "own"))
-    shock = digest_normal(digest(F.lit(seed), F.lit("common"), F.col("sim")))
-    draw = F.greatest(F.col("own") + F.lit(C.COMMON_SHOCK) * F.col("draw_std") * shock, F.lit(0.0))
-    return fanned.withColumn("draw", draw).drop("own")
+    return scaled.withColumn("own", own).withColumn("draw_std", spread).drop("_z", "_scale")
 
 
-def _limits(cycles_per_day: float) -> list[tuple[int, float]]:
-    return [(d, d * cycles_per_day) for d in C.HORIZON_DAYS]
+def _shocks(spark: SparkSession, n_sims: int, seed: int) -> np.ndarray:
+    """The common shock of every simulation; as many numbers as there are simulations."""
+    z = digest_normal(digest(F.lit(seed), F.lit("common"), F.col("id").cast("int")))
+    return np.array([r["z"] for r in spark.range(n_sims).select("id", z.alias("z")).orderBy("id").collect()])
+
+
+def _draws(batch: pa.RecordBatch, shocks: np.ndarray) -> np.ndarray:
+    """Engines by simulations."""
+    own = batch.column("own").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(shocks))
+    spread = batch.column("draw_std").to_numpy(zero_copy_only=False)
+    return np.maximum(own + C.COMMON_SHOCK * spread[:, None] * shocks, 0.0)
 
 
-def _failed(cycles_per_day: float) -> list[Column]:
-    return [F.count_if(F.col("draw") <= limit).alias(str(d)) for d, limit in _limits(cycles_per_day)]
+def _limits(cycles_per_day: float) -> list[tuple[int, float]]:
+    return [(d, d * cycles_per_day) for d in C.HORIZON_DAYS]
 
 
 def engine_failure(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEED,
                    cycles_per_day: float = C.CYCLES_PER_DAY) -> DataFrame:
-    """Failure probability per engine and horizon; an engine's draws are counted where they are made."""
+    """Failure probability per engine and horizon, counted in the engine's own row."""
     kept = ["subset", "engine_id", "engine_health_status", "predicted_RUL", "subsystem"]
     named = fleet.withColumn("subsystem", subsystem_of(primary_fault(fleet))).select(*kept)
-    counts = add_draws(named, n_sims, seed).groupBy(*kept).agg(*_failed(cycles_per_day))
-    days = [str(d) for d, _ in _limits(cycles_per_day)]
-    return counts.unpivot(kept, days, "horizon_days", "failures").select(
-        *kept, F.col("horizon_days").cast("int").alias("horizon_days"),
-        (F.col("failures") / F.lit(float(n_sims))).alias("probability"))
+    limits, shocks = _limits(cycles_per_day), _shocks(fleet.sparkSession, n_sims, seed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            draws = _draws(batch, shocks)
+            failed = np.stack([(draws <= limit).sum(axis=1) for _, limit in limits], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(failed.tolist(), pa.list_(pa.int64()))], [*kept, "failed"])
+
+    drawn = own_draws(named, n_sims, seed)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in drawn.select(*kept).schema)
+    cells = [F.struct(F.lit(d).alias("horizon_days"), (F.get("failed", F.lit(k)) / F.lit(float(n_sims))).alias("probability"))
+             for k, (d, _) in enumerate(limits)]
+    return drawn.mapInArrow(count, f"{types}, failed array<bigint>").select(*kept, F.inline(F.array(*cells)))
 
 
 def simulation_counts(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEED,
                       cycles_per_day: float = C.CYCLES_PER_DAY) -> DataFrame:
-    """Engines down per (subset, horizon, simulation); counted on the map side before the exchange."""
-    drawn = add_draws(fleet.select(*C.UNIT, "predicted_RUL"), n_sims, seed)
-    wide = drawn.groupBy("subset", "sim").agg(*_failed(cycles_per_day))
-    long = wide.unpivot(["subset", "sim"], [str(d) for d, _ in _limits(cycles_per_day)], "horizon_days", "down")
-    return long.withColumn("horizon_days", F.col("horizon_days").cast("int"))
+    """Engines down per (subset, horizon, simulation): ``subset, horizon_days, sim, down``.
+
+    A task adds up its engines, so one row per task, subset and horizon is shuffled, whatever the engines and the
+    simulations. They are added in two steps, so that no task gets the rows of all tasks.
+    """
+    limits, shocks = _limits(cycles_per_day), _shocks(fleet.sparkSession, n_sims, seed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        down: dict = {}
+        for batch in batches:
+            draws, subsets = _draws(batch, shocks), np.array(batch.column("subset").to_pylist(), object)
+            for subset in dict.fromkeys(subsets):
+                rows = draws[subsets == subset] if subset is not None else draws[[x is None for x in subsets]]
+                own = np.stack([(rows <= limit).sum(axis=0) for _, limit in limits])
+                down[subset] = down.get(subset, 0) + own
+        cells = [(subset, d, own[k]) for subset, own in down.items() for k, (d, _) in enumerate(limits)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.int32()),
+            pa.array([c[2].tolist() for c in cells], pa.list_(pa.int64()))], ["subset", "horizon_days", "down"])
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.iloc[:1].assign(down=[sum(np.asarray(d) for d in rows["down"])])
+
+    schema = "subset string, horizon_days int, down array<bigint>"
+    drawn = own_draws(fleet.select(*C.UNIT, "predicted_RUL"), n_sims, seed).select("subset", "own", "draw_std")
+    counts = drawn.mapInArrow(count, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    some = counts.groupBy("subset", "horizon_days", "part").applyInPandas(
+        lambda rows: added(rows)[["subset", "horizon_days", "down"]], schema)
+    total = some.groupBy("subset", "horizon_days").applyInPandas(added, schema)
+    return total.select("subset", "horizon_days", F.posexplode("down").alias("sim", "down"))
 
 
 def horizon_summary(counts: DataFrame, capacity: int = C.SHOP_CAPACITY,

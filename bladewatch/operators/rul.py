@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bladewatch import constants as C
 from bladewatch.functions.accuracy import absolute_error, regression_metrics
@@ -15,6 +15,8 @@ from bladewatch.functions.numeric import half_even
 from bladewatch.operators.advisory import add_health_scores
 from bladewatch.operators.features import engine_tail
 from bladewatch.operators.quality import model_columns, require_columns, selected_features
+from bladewatch.operators.tree_scorer import MODELS, NODES, TreeScorer, saved_ensemble
+from bladewatch.operators.uncertainty import N_FOLDS, fold_of
 
 
 def regressor(kind: str, **params):
@@ -100,23 +102,85 @@ def last_cycle_predictions(predicted: DataFrame) -> DataFrame:
 
 def feature_importances(models: dict, spark: SparkSession, top: int | None = None) -> DataFrame:
     """(subset, feature, importance), most important first; as many rows as the models have inputs."""
-    rows = []
-    for subset, model in models.items():
-        weights = model.stages[-1].featureImportances.toArray()
-        ranked = sorted(zip(inputs_of(model), weights), key=lambda p: (-p[1], p[0]))
-        rows += [(subset, name, float(w)) for name, w in ranked[:top]]
-    return spark.createDataFrame(rows, "subset string, feature string, importance double").orderBy(
+    rows = [(subset, name, float(w)) for subset, model in models.items()
+            for name, w in zip(inputs_of(model), model.stages[-1].featureImportances.toArray())]
+    return top_importances(spark.createDataFrame(rows, "subset string, feature string, importance double"), top)
+
+
+def top_importances(weights: DataFrame, top: int | None = None) -> DataFrame:
+    order = Window.partitionBy("subset").orderBy(F.col("importance").desc(), "feature")  # rows are bounded by the features
+    ranked = weights.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.lit(top is None) | (F.col("_rank") <= (top or 0))).drop("_rank").orderBy(
         "subset", F.col("importance").desc(), "feature")
 
 
-def transfer_matrix(models: dict, test: DataFrame) -> DataFrame:
-    """RMSE and MAE of each source model on each target subset, with the penalty against its own subset."""
-    parts = [predict_rul(m, test).withColumn("source", F.lit(s)) for s, m in models.items()]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+def write_ensembles(models: dict, spark: SparkSession, path: str) -> None:
+    """Models of all subsets below ``path``: the pipelines, and what scoring needs as tables."""
+    save_models(models, f"{path}/pipelines")
+    flat_nodes(spark, f"{path}/pipelines", models).write.parquet(f"{path}/nodes")
+    spark.createDataFrame(
+        [m for _, m in _ensembles(spark, f"{path}/pipelines", models)], MODELS).write.parquet(f"{path}/models")
+    feature_importances(models, spark).write.parquet(f"{path}/importances")
+
+
+def _ensembles(spark: SparkSession, path: str, subsets) -> list:
+    return [saved_ensemble(spark, f"{path}/{s}", s) for s in subsets]
+
+
+def flat_nodes(spark: SparkSession, path: str, subsets) -> DataFrame:
+    """Node rows of the pipelines that ``save_models`` wrote."""
+    out = None
+    for rows, _ in _ensembles(spark, path, subsets):
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def load_scorer(spark: SparkSession, path: str) -> TreeScorer:
+    return TreeScorer.read(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/models"))
+
+
+def _fold(subset: str, fold: int) -> str:
+    return f"{subset}/{fold}"
+
+
+def write_cross_fitted(train: DataFrame, spark: SparkSession, path: str, kind: str, folds: int = N_FOLDS,
+                       parallelism: int = 4, **params) -> None:
+    """One model for each subset and fold, fitted on the engines of the other folds; a subset whose engines are all in one
+    fold has none."""
+    marked = train.withColumn("_fold", fold_of(F.col("engine_id"), folds))
+    found = {tuple(r) for r in marked.select("subset", "_fold").distinct().collect()}
+    columns = varying_columns(train)
+
+    def one(cell):
+        subset, fold = cell
+        rows = marked.filter((F.col("subset") == subset) & (F.col("_fold") != fold)).drop("_fold")
+        return _fold(subset, fold), fit_rul(rows, kind, columns[subset], **params)
+
+    cells = sorted(c for c in found if any(s == c[0] and f != c[1] for s, f in found))
+    with ThreadPoolExecutor(parallelism) as pool:
+        models = dict(pool.map(one, cells))
+    if models:
+        write_ensembles(models, spark, path)
+    else:
+        spark.createDataFrame([], NODES).write.parquet(f"{path}/nodes")
+        spark.createDataFrame([], MODELS).write.parquet(f"{path}/models")
+
+
+def predict_out_of_fold(scorer: TreeScorer, train: DataFrame, folds: int = N_FOLDS) -> DataFrame:
+    """Adds the prediction of the model that never saw the row's engine, of all subsets and folds in one pass."""
+    cell = F.concat_ws("/", "subset", fold_of(F.col("engine_id"), folds).cast("string"))
+    return scorer.predict(train.withColumn("_cell", cell), group_col="_cell").drop("_cell")
+
+
+def transfer_matrix(scorer: TreeScorer, test: DataFrame) -> DataFrame:
+    """RMSE and MAE of each source model on each target subset, with the penalty against its own subset.
+
+    The frame is read once: every row gets all sources' predictions.
+    """
+    scored = scorer.predict_all(test.select("subset", "RUL_capped", *scorer.features)).select(
+        F.col("subset").alias("target"), "RUL_capped", F.explode("predictions").alias("source", "predicted_RUL"))
     err = F.col("predicted_RUL") - F.col("RUL_capped")
-    cells = scored.groupBy("source", F.col("subset").alias("target")).agg(
+    cells = scored.groupBy("source", "target").agg(
         F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"))
     return transfer_penalties(cells)
 

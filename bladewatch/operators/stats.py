@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from bladewatch import constants as C
 from bladewatch.functions.numeric import correlation
 from bladewatch.operators.features import first_cycles, present
-from bladewatch.operators.ordering import exact_percentiles
+from bladewatch.operators.ranks import exact_percentiles
 
 
 def sensor_class(variance):

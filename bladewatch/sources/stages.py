@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from bladewatch.constants import FRAME
-from bladewatch.session import scratch_path
+from bladewatch.session import DEFAULT_UNIT_ROWS, scratch_path
 
+ENGINE_CELLS = 64  # of a subset and split
 STAGES = ("cleaned", "processed", "features", "predictions", "summaries")
 
 
@@ -16,10 +18,17 @@ class StageMissing(FileNotFoundError):
 
 
 def save_stage(df: DataFrame, root: str, stage: str) -> str:
-    """Parquet partitioned by subset and split; files sorted by engine so row groups can be skipped."""
+    """Parquet partitioned by subset and split; files sorted by engine so row groups can be skipped.
+
+    Engines are dealt to ENGINE_CELLS cells of a frame first, so a frame has few files and no task has a whole frame; a
+    very long engine is dealt by blocks of its cycles.
+    """
     path = f"{root}/{stage}"
     keys = [c for c in FRAME if c in df.columns]
     order = [c for c in ("engine_id", "cycle") if c in df.columns]
+    if "engine_id" in df.columns:
+        block = [F.floor(F.col("cycle") / F.lit(DEFAULT_UNIT_ROWS))] if "cycle" in df.columns else []
+        df = df.repartition(*keys, F.pmod(F.xxhash64("engine_id", *block), F.lit(ENGINE_CELLS)))
     df.sortWithinPartitions(*keys, *order).write.mode("overwrite").partitionBy(*keys).parquet(path)
     return path
 
@@ -57,6 +66,15 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def export_documents(df: DataFrame, path: str, name: str) -> None:
+    """One JSON document per row below ``path/name``, in a folder for each subset; rows are bounded reports."""
+    df.repartition("subset").write.mode("overwrite").option("ignoreNullFields", False).partitionBy("subset").json(f"{path}/{name}")
+
+
+def load_documents(spark: SparkSession, path: str, name: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).json(f"{path}/{name}")
+
+
 def report_records(df: DataFrame, report_type: str = "fleet") -> DataFrame:
     """Report download: each record with the report's type and total, so the list is never held in one row."""
     total = df.agg(F.count(F.lit(1)).alias("total_records"))

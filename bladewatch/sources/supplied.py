@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from bladewatch.constants import FRAME
 from bladewatch.operators.labels import ENGINE_BUCKET, add_rul
 from bladewatch.operators.ordering import bucketed_ordinal, has_oversized_unit
-from bladewatch.session import tune, unit_row_limit
+from bladewatch.session import scratch_path, tune, unit_row_limit
+from bladewatch.sources.model_store import file_state
+from bladewatch.sources.stages import save_stage
 
 VIEW_SENSORS = (
     "sensor_1", "sensor_2", "sensor_3", "sensor_4", "sensor_7", "sensor_8", "sensor_9", "sensor_11",
@@ -18,16 +20,25 @@ VIEW_SENSORS = (
 VIEW_SETTINGS = ("setting_1", "setting_2", "setting_3")
 _CYCLE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
-_hot_units: dict[tuple[str, str, str], bool] = {}
+INPUTS = ("lineitem", "orders", "part", "supplier")  # what the view reads
+
+_hot_units: dict[tuple, bool] = {}
+_stages: dict[tuple, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """This session, the row limit, and the state of the input files; changes when any of them is written anew."""
+    state = file_state(spark, [f"{sf_dir}/{t}.parquet" for t in INPUTS])
+    return spark.sparkContext.applicationId, sf_dir, unit_row_limit(spark), *state
+
+
 def hot_units(spark: SparkSession, sf_dir: str) -> bool:
-    """Whether any unit of this data set is too large for one task (measured once per session)."""
-    key = (spark.sparkContext.applicationId, sf_dir, str(unit_row_limit(spark)))
+    """Whether any unit of this data set is too large for one task (measured once per session and state of the files)."""
+    key = _state(spark, sf_dir)
     if key not in _hot_units:
         _hot_units[key] = has_oversized_unit(table(spark, sf_dir, "lineitem"), ["l_suppkey"])
     return _hot_units[key]
@@ -41,15 +52,11 @@ def unit_columns(supplier) -> dict:
     }
 
 
-def telemetry(spark: SparkSession, sf_dir: str, sensors=VIEW_SENSORS) -> DataFrame:
-    """Cycle-level telemetry with the asked sensors; tables that feed none of them are not read."""
-    items = table(spark, sf_dir, "lineitem")
-    if {"sensor_4", "sensor_8"} & set(sensors):
-        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
-        items = items.join(part, "l_partkey", "left")
-    if "sensor_7" in sensors:
-        orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
-        items = items.join(orders, "l_orderkey", "left")
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycle-level telemetry worked out from the order tables."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    items = table(spark, sf_dir, "lineitem").join(part, "l_partkey", "left").join(orders, "l_orderkey", "left")
     units = items.withColumns(unit_columns(F.col("l_suppkey")))
     if hot_units(spark, sf_dir):
         day = F.date_trunc("day", "l_shipdate")
@@ -72,7 +79,7 @@ def telemetry(spark: SparkSession, sf_dir: str, sensors=VIEW_SENSORS) -> DataFra
         *FRAME, "engine_id", "cycle",
         F.col("l_discount").alias("setting_1"), F.col("l_tax").alias("setting_2"),
         F.col("l_linenumber").cast("double").alias("setting_3"),
-        *[formulas[s].alias(s) for s in sensors],
+        *[formulas[s].alias(s) for s in VIEW_SENSORS],
     )
 
 
@@ -87,8 +94,23 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str, sensors=VIEW_SENSORS) -> DataFrame:
-    return add_rul(
-        telemetry(spark, sf_dir, sensors), ground_truth(spark, sf_dir), split_hot=hot_units(spark, sf_dir))
+    """Telemetry with labels, read from a stage table by subset and split, in order of engine.
+
+    The table is written once per session and state of the input files. So a query reads it by column, frame and engine,
+    and the chain of joins and windows behind it runs once, however many parts of a query ask for it.
+    """
+    key = _state(spark, sf_dir)
+    if key not in _stages:
+        rows = add_rul(_view(spark, sf_dir), ground_truth(spark, sf_dir), split_hot=hot_units(spark, sf_dir))
+        _stages[key] = save_stage(rows, scratch_path(spark, "labelled"), "labelled"), rows.schema
+    path, schema = _stages[key]
+    unasked = [s for s in VIEW_SENSORS if s not in sensors]
+    return tune(spark).read.schema(schema).parquet(path).select(*[c for c in schema.names if c not in unasked])
+
+
+def telemetry(spark: SparkSession, sf_dir: str, sensors=VIEW_SENSORS) -> DataFrame:
+    """Cycle-level telemetry with the asked sensors, from the stage table."""
+    return labelled(spark, sf_dir, sensors).drop("RUL", "RUL_capped")
 
 
 def dirty_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bladewatch.constants import RAW_COLUMNS, SENSORS, SETTINGS
 from bladewatch.operators.ordering import bucketed_ordinal
@@ -12,29 +12,66 @@ TELEMETRY_NAME = r"(train|test)_(FD\d+)"
 TRUTH_NAME = r"RUL_(FD\d+)"
 
 
+def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All lines with their fields and what is wrong with them: NULL for a good record, ``blank`` for a line to skip."""
+    lines = spark.read.text(path).select(
+        F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    fields = lines.withColumn("f", F.split("line", " ")).withColumn(
+        "n", F.transform("f", lambda x: x.try_cast("double")))
+    whole = lambda x: x.isNotNull() & (x == F.floor(x)) & (F.abs(x) < 2.0**53)
+    columns = len(RAW_COLUMNS)
+    problem = (
+        F.when(F.col("line") == "", "blank")
+        .when(F.size("f") != columns, F.concat(F.lit(f"expected {columns} columns, found "), F.size("f").cast("string")))
+        .when(F.exists("n", lambda x: x.isNull()), "not a number")
+        .when(~whole(F.col("n")[0]) | ~whole(F.col("n")[1]), "not a whole number"))
+    return fields.withColumn("problem", problem)
+
+
 def read_telemetry(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
     """Whitespace-separated records; subset and split come from the file name.
 
-    Blank lines are skipped and trailing blanks ignored. A record with another column count than 26 fails
-    the job when it is read (``strict``), else it is left out.
+    Blank lines are skipped and trailing blanks ignored. A bad record (another column count than 26, a cell that is no
+    number, a fractional id) fails the job when it is read (``strict``); else it is left to ``bad_records``.
     """
-    lines = spark.read.text(path).select(
-        F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"), F.col("_metadata.file_path").alias("file"))
-    fields = F.split("line", " ")
-    cells = lines.filter(F.col("line") != "").select("file", "line", fields.alias("f"))
-    right = F.size("f") == len(RAW_COLUMNS)
+    records = _records(spark, path).filter(~F.col("problem").eqNullSafe("blank"))
+    good = F.col("problem").isNull()
     if strict:
-        message = F.concat(F.lit(f"expected {len(RAW_COLUMNS)} columns, found "), F.size("f").cast("string"),
-                           F.lit(" in "), F.col("file"))
-        cells = cells.withColumn("f", F.when(right, F.col("f")).otherwise(F.raise_error(message).cast("array<string>")))
+        message = F.concat("problem", F.lit(" in "), "file")
+        numbers = F.when(good, F.col("n")).otherwise(F.raise_error(message).cast("array<double>"))
     else:
-        cells = cells.filter(right)
-    numbers = [F.col("f")[2 + i].cast("double").alias(c) for i, c in enumerate((*SETTINGS, *SENSORS))]
+        records, numbers = records.filter(good), F.col("n")
+    cells = records.select("file", numbers.alias("n"))
     return cells.select(
         F.regexp_extract("file", TELEMETRY_NAME, 2).alias("subset"),
         F.regexp_extract("file", TELEMETRY_NAME, 1).alias("split"),
-        F.col("f")[0].cast("double").cast("long").alias("engine_id"),
-        F.col("f")[1].cast("double").cast("long").alias("cycle"), *numbers)
+        F.col("n")[0].cast("long").alias("engine_id"), F.col("n")[1].cast("long").alias("cycle"),
+        *[F.col("n")[2 + i].alias(c) for i, c in enumerate((*SETTINGS, *SENSORS))])
+
+
+def bad_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_number, problem, line) of every record that ``read_telemetry`` cannot read, lines counted from 1.
+
+    A block is read in order by one task, so its first row and the lines of the blocks before it give each line's number:
+    one row per block is aggregated, and only bad lines are joined.
+    """
+    records = _records(spark, path)
+    blocks = records.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("lines"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0))).drop("lines")
+    bad = records.filter(F.col("problem").isNotNull() & (F.col("problem") != "blank"))
+    return bad.join(blocks, ["file", "start"]).select(
+        "file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line_number"), "problem", "line")
+
+
+def record_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, lines, blank, good, bad): what became of the lines of every file that has any."""
+    problem = F.col("problem")
+    return _records(spark, path).groupBy("file").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(problem.eqNullSafe("blank")).alias("blank"),
+        F.count_if(problem.isNull()).alias("good"),
+        F.count_if(problem.isNotNull() & (problem != "blank")).alias("bad"))
 
 
 def read_truth(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bladewatch import constants as C
 from bladewatch.operators import features, iforest, labels, plotdata, rul
 from bladewatch.operators.faults import detection_latency, fault_effects
-from bladewatch.operators.ordering import exact_percentiles
+from bladewatch.operators.ranks import exact_percentiles
 from bladewatch.sources import supplied, text
 from bladewatch.sources.stages import StageMissing, load_model_inputs, save_stage
 
@@ -56,15 +56,29 @@ def test_split_view_equals_plain(spark, sf):
         spark.conf.unset("spark.bladewatch.maxUnitRows")
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_exact_percentiles(spark, accuracy):
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_exact_percentiles(spark, parts):
     rng = np.random.default_rng(2)
-    values = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])
-    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": values}))
+    cells = {
+        ("a", "x"): np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)]), ("a", "y"): rng.normal(size=4500) * 1e300,
+        ("b", "x"): np.array([-0.0, 0.0, -1e-320, 5e-324, np.inf, -np.inf, 7.0]), ("b", "y"): np.array([3.0] * 7),
+        (None, "x"): np.array([2.0, np.nan, 1.0]), (None, "y"): np.array([np.nan] * 3)}
+    frame = pd.concat([pd.DataFrame({"g": g, "x": cells[g, "x"], "y": cells[g, "y"]}) for g in ("a", "b", None)])
+    df = spark.createDataFrame(frame, "g string, x double, y double").repartition(parts)
     probs = [0.0, 0.005, 0.25, 0.5, 0.75, 0.995, 1.0]
-    got = {r.p: r.value for r in exact_percentiles(df, ["g"], ["x"], probs, accuracy).collect()}
-    for p in probs:
-        assert got[p] == pytest.approx(np.percentile(values, p * 100), abs=1e-12)
+    got = {(r.g, r.column, r.p): r.value for r in exact_percentiles(df, ["g"], ["x", "y"], probs).collect()}
+    assert len(got) == 5 * len(probs)
+    for (g, c, p), value in got.items():
+        known = np.sort(cells[g, c][~np.isnan(cells[g, c])])
+        rank = p * (len(known) - 1)
+        low, high = known[int(np.floor(rank))], known[int(np.ceil(rank))]
+        want = low if low == high else low + (high - low) * (rank - np.floor(rank))
+        assert value == want or np.isnan(value) and np.isnan(want)
+
+
+def test_percentiles_of_nothing(spark):
+    none = spark.createDataFrame([], "g string, x double")
+    assert exact_percentiles(none, ["g"], ["x"], [0.5]).count() == 0
 
 
 def test_blocked_spans_latency_and_effects(spark, gappy):
