@@ -183,6 +183,8 @@ def test_collocations(docs, rows, longest, least, top):
 
 def test_hot_heads_change_no_count(docs, monkeypatch):
     want = {tuple(r) for r in collocations.phrase_counts(docs, 3, 5).collect()}
+    monkeypatch.setattr(collocations, "frequent_words", lambda texts, least: None)  # no filter: every word counts as frequent
+    assert {tuple(r) for r in collocations.phrase_counts(docs, 3, 5).collect()} == want
     monkeypatch.setattr(collocations, "HOT_SHARE", 1.0)
     assert {tuple(r) for r in collocations.phrase_counts(docs, 3, 5).collect()} == want
     monkeypatch.setattr(collocations, "HOT_SHARE", 1 / 50)
