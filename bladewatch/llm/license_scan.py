@@ -58,7 +58,7 @@ TEMPLATES = {
         "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
         "option) any later version."),
 }
-CUE = r"(?i)licen[cs]|copyright|permission|all rights reserved|redistribut|free software"
+CUE = r"(?i)licen[cs]|copyright|permission|rights reserved|redistribut|free software"
 TRIED = 6  # best templates by compression that are aligned at a time
 MOST_DIFFERENT = 0.15  # share of a template's words that may differ
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
@@ -127,6 +127,12 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, int, list[
         codes = codes[1:]
     while codes and codes[-1][0] == "insert":
         codes = codes[:-1]
+    if codes and codes[0][0] == "replace":  # words before the notice are none of its own
+        tag, a, b, c, d = codes[0]
+        codes[0] = tag, a, b, max(c, d - (b - a)), d
+    if codes and codes[-1][0] == "replace":
+        tag, a, b, c, d = codes[-1]
+        codes[-1] = tag, a, b, c, min(d, c + b - a)
     different, said = 0, []
     for tag, a, b, c, d in codes:
         if tag != "equal":
