@@ -44,6 +44,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def own_row(docs: DataFrame, name: str) -> Column:
+    """All columns of a row as one struct, so that none clashes with those an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)
+
+
 def words_of(text: Column) -> Column:
     """All words of the text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

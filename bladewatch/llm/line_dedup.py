@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bladewatch.llm.common import saved
+from bladewatch.llm.common import own_row, saved
 
 LEAST_CHARS = 20  # code points of a line's key; shorter ones repeat by chance
 LEAST_DOCS = 3
@@ -188,8 +188,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
 
 
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_ld_row")  # so that no name clashes
-    marked = docs.select(own, *_keys(id_col, text_col))
+    marked = docs.select(own_row(docs, "_ld_row"), *_keys(id_col, text_col))
     return marked.join(bitmaps.select(*_KEY, "keep", F.col("n_lines").alias("_ld_n")), _KEY, "left")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bladewatch.llm.common import bounded, stored, words_of
+from bladewatch.llm.common import bounded, own_row, stored, words_of
 
 WEIGHTS = (5, 2, 1)  # by the order of the sources, repeating
 MAX_EPOCHS = 3
@@ -138,20 +138,24 @@ def _judged(keyed: DataFrame, plan: DataFrame, names: list[str]) -> DataFrame:
         (F.col("_epochs") * F.col("_mx_size") + drawn).cast("long").alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               chars_col: str = "n_chars", **options) -> DataFrame:
     """The mixed corpus: each document once per complete copy taken, and the edge document's last, cut copy.
 
-    The cut copy holds the first words, joined by single spaces; its ``n_chars``, if there is one, is counted anew.
+    The cut copy holds the first words, joined by single spaces; its ``n_chars``, if there is one, is counted anew. All
+    other columns keep their values, whatever their names.
     """
-    names = docs.columns
-    taken = mix(docs.withColumnRenamed("size", "__size") if "size" in names else docs, text_col=text_col, **options)
+    wanted = docs.select(own_row(docs, "_mx_row"), F.col(id_col).alias("_mx_doc"), F.col(text_col).alias("_mx_text"),
+                         F.col(source_col).alias("_mx_from"))
+    taken = mix(wanted, id_col="_mx_doc", text_col="_mx_text", source_col="_mx_from", **options)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(F.lit(0))
     cut = F.col("taken") - whole * F.col("size")
     copies = F.concat(
         F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array()))
-    out = taken.withColumn("__cut", F.explode(copies))
-    part = F.array_join(F.slice(words_of(F.col(text_col)), F.lit(1), F.col("__cut").cast("int")), " ")
-    out = out.withColumn(text_col, F.when(F.col("__cut") > 0, part).otherwise(F.col(text_col)))
-    if chars_col in names:
-        out = out.withColumn(chars_col, F.when(F.col("__cut") > 0, F.length(text_col)).otherwise(F.col(chars_col)))
-    return out.select(*[F.col("__size").alias("size") if c == "size" else F.col(c) for c in names])
+    out = taken.withColumn("_mx_cut", F.explode(copies))
+    part = F.array_join(F.slice(words_of(F.col("_mx_text")), F.lit(1), F.col("_mx_cut").cast("int")), " ")
+    is_cut, row = F.col("_mx_cut") > 0, F.col("_mx_row")
+    out = out.withColumn("_mx_text", F.when(is_cut, part).otherwise(F.col("_mx_text")))
+    new = {text_col: F.col("_mx_text"), chars_col: F.when(is_cut, F.length("_mx_text")).otherwise(row[chars_col])
+           if chars_col in docs.columns else None}
+    return out.select(*[(row[c] if new.get(c) is None else new[c]).alias(c) for c in docs.columns])

@@ -15,10 +15,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bladewatch.llm.common import let, saved
+from bladewatch.llm.common import let, own_row, saved
 
 RUN = 2
-LEAST_CHARS = 60  # of a span; shorter ones repeat by chance
+LEAST_CHARS = 100  # of a span; two sentences of one common line often have fewer
 SPANS_HELD = 200_000  # of one batch before they go out
 LONG_WORDS = 50  # a sentence of so many words is a span of its own
 # between sentences: white space after sentence punctuation, or a line end with the white space around it
@@ -138,20 +138,23 @@ def repeated_passages(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_
 
 def without_repeats(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
                     text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """All documents, with their own columns and without the repeated sentences; the rest keeps its white space.
+    """All documents, with their own columns, whatever their names, and without the repeated sentences; the rest keeps its
+    white space.
 
     ``n_chars``, if there is one, is counted anew where the text changed. A document left without any word is dropped;
     one that had none before stays.
     """
-    names = docs.columns
-    marked = _keyed(docs, id_col, text_col).join(removals(docs, run, least_chars, id_col, text_col), list(_DOC), "left")
-    between = F.regexp_extract_all(_trimmed(F.col(text_col)), F.lit(BREAK), F.lit(0))
-    kept = let(sentences(F.col(text_col)), lambda s: let(between, lambda b: F.array_join(F.transform(
+    keyed = _keyed(docs.select(own_row(docs, "_sp_row"), F.col(id_col).alias("_sp_doc"), F.col(text_col).alias("_sp_said")),
+                   "_sp_doc", "_sp_said")
+    marked = keyed.join(removals(docs, run, least_chars, id_col, text_col), list(_DOC), "left")
+    said, row, changed = F.col("_sp_said"), F.col("_sp_row"), F.col("removed").isNotNull()
+    between = F.regexp_extract_all(_trimmed(said), F.lit(BREAK), F.lit(0))
+    kept = let(sentences(said), lambda s: let(between, lambda b: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col("removed")),
         lambda i: F.concat(F.get(s, i), F.coalesce(F.get(b, i), F.lit("")))), "")))
-    changed = F.col("removed").isNotNull()
-    out = marked.withColumn(text_col, F.when(changed, F.trim(kept, F.lit(WHITE))).otherwise(F.col(text_col)))
-    out = out.filter(~changed | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    if chars_col in names:
-        out = out.withColumn(chars_col, F.when(changed, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
-    return out.select(*names)
+    out = marked.withColumn("_sp_said", F.when(changed, F.trim(kept, F.lit(WHITE))).otherwise(said))
+    out = out.filter(~changed | said.rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: said}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(changed, F.length(said).cast("long")).otherwise(row[chars_col])
+    return out.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])

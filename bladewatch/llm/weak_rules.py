@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bladewatch.llm.common import let, stored, words_of
+from bladewatch.llm.common import let, own_row, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 MARKS = r"\x21-\x40\x5B-\x60\x7B-\x7E"  # ASCII without letters, which holds SYMBOLS and .!?
@@ -192,11 +192,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that ``quality`` keeps, with their own columns.
+    """The documents that ``quality`` keeps, with their own columns, whatever their names.
 
     Measures are taken twice, once for the estimate and once for the verdict: that costs a second reading, where
     joining verdicts to documents would shuffle every text.
     """
-    names = docs.columns
-    accuracy, prior = estimate(stored(patterns_of(docs.select(measures(F.col(text_col)).alias("_m")))))
-    return judged(docs.withColumn("_m", measures(F.col(text_col))), accuracy, prior).filter("kept").select(*names)
+    measured = measures(F.col(text_col)).alias("_m")
+    accuracy, prior = estimate(stored(patterns_of(docs.select(measured))))
+    return judged(docs.select(own_row(docs, "_row"), measured), accuracy, prior).filter("kept").select("_row.*")
