@@ -37,8 +37,9 @@ def use_rocks_db(spark: SparkSession) -> None:
 class OrderedRolling(StatefulProcessor):
     """Holds readings back by time slot until the watermark has passed the slot, then takes them in order.
 
-    State of an engine: the readings of its open slots, the last ``window`` readings taken, and the last time seen. A call
-    holds one slot of one engine. An engine without readings for ``idle`` seconds of event time loses its window.
+    State of an engine: the readings of its open slots, the last ``window`` readings taken, the end of the last slot taken,
+    and the one timer that is set, for its next slot or for its end. A call holds one slot of one engine at a time. After
+    ``idle`` seconds of event time without readings an engine's window starts anew, and its state is dropped.
     """
 
     def __init__(self, window: int, slot: int, idle: int):
@@ -49,8 +50,10 @@ class OrderedRolling(StatefulProcessor):
         self.open = handle.getMapState("open", SLOT, READINGS)
         self.recent = handle.getListState("recent", READING)
         self.seen = handle.getValueState("seen", LAST)
+        self.timer = handle.getValueState("timer", LAST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
             us = part["at"].astype("datetime64[us]").astype("int64").to_numpy()
             slots = us // 1000 // self.slot
@@ -59,28 +62,43 @@ class OrderedRolling(StatefulProcessor):
                 new = (us[here].tolist(), part["event_id"].to_numpy()[here].tolist(),
                        part["reading"].astype(float).to_numpy()[here].tolist())
                 held = self.open.getValue((slot,)) if self.open.containsKey((slot,)) else ([], [], [])
-                if not held[0]:
-                    self.handle.registerTimer((slot + 1) * self.slot)
                 self.open.updateValue((slot,), tuple([*a, *b] for a, b in zip(held, new)))
+                first = slot if first is None else min(first, slot)
+        if first is not None:
+            due, end = self.timer.get()[0] if self.timer.exists() else None, (first + 1) * self.slot
+            if due is None or end < due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self._set(end)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        time = expiredTimerInfo.getExpiryTimeInMs()
-        slot = time // self.slot - 1
-        if time % self.slot == 0 and self.open.containsKey((slot,)):
+        now = timerValues.getCurrentWatermarkInMs()
+        slots = sorted(k[0] for k in self.open.keys())
+        closed = [s for s in slots if (s + 1) * self.slot <= now]
+        for slot in closed:
             yield self._taken(key, slot)
             self.open.removeKey((slot,))
-            self.seen.update((time,))
-            self.handle.registerTimer(time + self.idle + 1)  # a time that no slot ends at
-        elif self.seen.exists() and self.seen.get()[0] + self.idle < time:
-            self.recent.clear()
-            self.seen.clear()
+            self.seen.update(((slot + 1) * self.slot,))
+        last = self.seen.get()[0] if self.seen.exists() else now
+        if len(slots) > len(closed):
+            self._set((slots[len(closed)] + 1) * self.slot)
+        elif last + self.idle < now:
+            for state in (self.recent, self.seen, self.timer):
+                state.clear()
+        else:
+            self._set(last + self.idle + 1)
+
+    def _set(self, time: int) -> None:
+        self.handle.registerTimer(time)
+        self.timer.update((time,))
 
     def _taken(self, key, slot: int) -> pd.DataFrame:
         at, event_id, reading = self.open.getValue((slot,))
         rows = pd.DataFrame({"us": at, "event_id": event_id, "reading": np.array(reading, float)})
         rows = rows.drop_duplicates(["us", "event_id"]).sort_values(["us", "event_id"], kind="stable")
-        kept = [float("nan") if r[0] is None else r[0] for r in self.recent.get()] if self.recent.exists() else []
+        idle = self.seen.exists() and slot * self.slot - self.seen.get()[0] > self.idle
+        kept = [float("nan") if r[0] is None else r[0] for r in self.recent.get()] if self.recent.exists() and not idle else []
         series = np.array([*kept, *rows["reading"]], float)
         mean, std = _moments(series, self.window)
         diff = np.diff(series, prepend=series[0])
