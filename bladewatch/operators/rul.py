@@ -15,7 +15,7 @@ from bladewatch.functions.numeric import half_even
 from bladewatch.operators.advisory import add_health_scores
 from bladewatch.operators.features import engine_tail
 from bladewatch.operators.quality import model_columns, require_columns, selected_features
-from bladewatch.operators.tree_scorer import MODELS, NODES, TreeScorer, saved_ensemble
+from bladewatch.operators.tree_scorer import MODELS, NODES, TreeScorer, described, saved_nodes
 from bladewatch.operators.uncertainty import N_FOLDS, fold_of
 
 
@@ -86,7 +86,9 @@ def evaluate(predicted: DataFrame, group=("subset",), truth: str = "true_RUL") -
     """Metrics over all cycles and over the last cycle of each engine."""
     slim = predicted.select(*C.UNIT, *[g for g in group if g not in C.UNIT], "cycle", truth, "predicted_RUL")
     every = slim.groupBy(*group).agg(*regression_metrics(F.col(truth), F.col("predicted_RUL")))
-    last = engine_tail(slim.withColumn("predicted_RUL", half_even(F.col("predicted_RUL"), 2)))
+    keys = [*C.UNIT, *[g for g in group if g not in C.UNIT]]  # an engine may have a row of each model
+    ends_of = F.struct(F.col(truth), half_even(F.col("predicted_RUL"), 2).alias("predicted_RUL"))
+    last = slim.groupBy(*keys).agg(F.max_by(ends_of, "cycle").alias("_last")).select(*keys, "_last.*")
     ends = last.groupBy(*group).agg(*regression_metrics(F.col(truth), F.col("predicted_RUL")))
     return every.withColumn("scope", F.lit("all_cycles")).unionByName(ends.withColumn("scope", F.lit("last_cycle")))
 
@@ -118,19 +120,15 @@ def write_ensembles(models: dict, spark: SparkSession, path: str) -> None:
     """Models of all subsets below ``path``: the pipelines, and what scoring needs as tables."""
     save_models(models, f"{path}/pipelines")
     flat_nodes(spark, f"{path}/pipelines", models).write.parquet(f"{path}/nodes")
-    spark.createDataFrame(
-        [m for _, m in _ensembles(spark, f"{path}/pipelines", models)], MODELS).write.parquet(f"{path}/models")
+    spark.createDataFrame([described(s, m) for s, m in models.items()], MODELS).write.parquet(f"{path}/models")
     feature_importances(models, spark).write.parquet(f"{path}/importances")
 
 
-def _ensembles(spark: SparkSession, path: str, subsets) -> list:
-    return [saved_ensemble(spark, f"{path}/{s}", s) for s in subsets]
-
-
 def flat_nodes(spark: SparkSession, path: str, subsets) -> DataFrame:
     """Node rows of the pipelines that ``save_models`` wrote."""
     out = None
-    for rows, _ in _ensembles(spark, path, subsets):
+    for subset in subsets:
+        rows = saved_nodes(spark, f"{path}/{subset}", subset)
         out = rows if out is None else out.unionByName(rows)
     return out
 
