@@ -299,7 +299,10 @@ resid AS (SELECT *, {rnd('RUL_capped - predicted_RUL', 2)} AS residual,
   CAST({' + '.join(f'CAST(predicted_RUL >= {e} AS INTEGER)' for e in (20, 40, 70, 100))} AS INTEGER) AS bin FROM pred),
 offs AS (SELECT subset, bin, alpha, lo, hi FROM ({' UNION ALL '.join(
     f'SELECT subset, bin, {a}e0 AS alpha, quantile_cont(residual, {a / 2}) AS lo, quantile_cont(residual, {1 - a / 2}) '
-    f'AS hi FROM resid GROUP BY ALL' for a in C.ALPHAS)}))"""
+    f'AS hi FROM resid GROUP BY ALL' for a in C.ALPHAS)})
+  UNION ALL SELECT subset, CAST(bin AS INTEGER), alpha, -(5e0 + 4e0 * bin) * (1e0 + 0.1e0 / alpha), (5e0 + 4e0 * bin) * (1e0 + 0.1e0 / alpha)
+  FROM (SELECT DISTINCT subset FROM fold WHERE subset NOT IN (SELECT subset FROM resid)), range(5) b(bin),
+    (VALUES {', '.join(f'({a}e0)' for a in C.ALPHAS)}) v(alpha))"""
 
 
 def hold_out_residuals(spark, sf_dir):
