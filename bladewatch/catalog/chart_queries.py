@@ -83,7 +83,7 @@ def _first_ids(n, source=TRAIN):
 
 
 @register("v4_mean_trend", with_ctes(
-    f"SELECT subset, cycle, {', '.join(f'{rnd(f'avg({s})', 4)} AS {s}' for s in SENSORS)} FROM {TRAIN} "
+    f"SELECT subset, cycle, {', '.join(f'{rnd(f'CAST(sum(CAST({s} AS DECIMAL(28,9))) AS DOUBLE) / count({s})', 4)} AS {s}' for s in SENSORS)} FROM {TRAIN} "
     f"JOIN {_first_ids(10)} USING (subset, engine_id) GROUP BY ALL", "lab"))
 def v4_mean_trend(spark, sf_dir):
     return rounded(plotdata.mean_trend(_train(spark, sf_dir)), 4)

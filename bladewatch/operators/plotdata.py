@@ -69,7 +69,9 @@ def only_engines(df: DataFrame, ids: DataFrame) -> DataFrame:
 def mean_trend(df: DataFrame, n_engines: int = 10) -> DataFrame:
     sensors = present(df, C.SENSORS)
     chosen = only_engines(df, first_engines(df, n_engines))
-    return chosen.groupBy("subset", "cycle").agg(*[F.avg(s).alias(s) for s in sensors])
+    # sums are decimal, so no order of the rows moves a mean that ends in a half at its last digit
+    total = {s: F.sum(F.col(s).cast("decimal(28,9)")).cast("double") for s in sensors}
+    return chosen.groupBy("subset", "cycle").agg(*[F.try_divide(total[s], F.count(s)).alias(s) for s in sensors])
 
 
 def degradation_curves(df: DataFrame, n_engines: int = 20) -> DataFrame:
