@@ -12,6 +12,7 @@ Only open windows are held in memory and only they are moved, so the cost of mer
 from __future__ import annotations
 
 import bisect
+import operator
 import re
 import struct
 import zlib
@@ -29,12 +30,13 @@ WINDOW = 4096
 OPEN_WINDOWS = 64
 END_ID = 2
 MERGED_AT_FIRST, MERGED_LATER = 16, 4096  # partitions whose open windows one task merges
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000  # words and their pieces, in one cache
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, sequence long, offset long, " \
        "closed boolean, ids binary"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 _TYPES = [*[pa.int64()] * 8, pa.bool_(), pa.binary()]
 _SPLIT = re.compile(r"[\t-\r ]+")
+_NOT_WHITE = re.compile(r"[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 _caches: dict[str, "_Words"] = {}
 
 
@@ -56,46 +58,72 @@ _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 # Fixed value: how the tokenizer's file splits words after lower-casing them.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+_TOKEN_ID = operator.attrgetter("id")
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
 
 class _Words(dict):
-    """Ids of words as little-endian 32-bit bytes; emptied when it is full.
+    """Ids of words, and of the pieces of words, as little-endian 32-bit bytes.
 
-    Words of Latin letters are split into pieces, whose ids come from the model and are cached as well, since most new
-    words are known pieces. All other words, and those that could hold a special token, go through the tokenizer.
+    Words of Latin letters are split into pieces, whose ids come from the model, and most pieces are words as well. All
+    other words, and those that could hold a special token, go through the tokenizer. At most CACHED_WORDS are held: when
+    half of them are in, they become the older ones, and those before them go, so a word that is met again and again stays.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.pieces = _tokenizer(path), {}
-        self.model = self.tokenizer.model
+        self.tokenizer = _tokenizer(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHED_WORDS:
+        if len(self) >= CACHED_WORDS // 2:
+            self.older = dict(self)
             self.clear()
-        if (word.isascii() or max(word) < "\u0250") and "<|" not in word:
+        value = self.older.get(word)
+        if value is None:
+            value = self.ids(word)
+        self[word] = value
+        return value
+
+    def ids(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():  # most of them
+            return _packed([*map(_TOKEN_ID, self.tokenize(word))])
+        if (word.isascii() or max(word) < "\u0250") and "<|" not in word and not _NOT_WHITE.search(word):
             lower = word.lower()
             if lower.isascii() or max(lower) < "\u0250":
+                if lower.isalpha():  # the usual shapes, which need no pattern
+                    return self.piece(lower) if lower == word else self[lower]
                 letters = lower.rstrip(_MARKS)
-                if letters.isalpha():  # the usual shape, which needs no pattern
-                    value = self.piece(letters)
-                    if len(letters) < len(lower):
-                        value += self.piece(lower[len(letters):])
-                else:
-                    value = b"".join(map(self.piece, _PIECE.findall(lower)))
-                self[word] = value
-                return value
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        value = self[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return value
+                if letters.isalpha():
+                    return self[letters] + self.mark(lower[len(letters):])
+                return b"".join(self[p] if p.isalpha() else self.mark(p) for p in _PIECE.findall(lower))
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def mark(self, text: str) -> bytes:  # few of them differ
+        key = " " + text  # no word
+        if key not in self:
+            self[key] = self.piece(text)
+        return self[key]
 
     def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            if len(self.pieces) > CACHED_WORDS:
-                self.pieces.clear()
-            letters = text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
-            ids = [t.id for t in self.model.tokenize(letters)]
-            found = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+        return _packed([*map(_TOKEN_ID, self.tokenize(letters))])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case where that changes no id, so that a word has fewer forms: the tokenizer lower-cases as well,
+    and Latin-1 letters do so alone; special tokens are looked for before."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def word_encoder(path: str) -> Callable[[str], bytes]:
@@ -109,7 +137,8 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     lookup = _caches[path].__getitem__
 
     def encode(text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the tokenizer
+        text = _lowered(text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # the quickest way to look for _NOT_WHITE
             return b"".join(map(lookup, (w for w in _SPLIT.split(text) if w)))
         return b"".join(map(lookup, text.split()))
 

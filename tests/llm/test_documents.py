@@ -366,6 +366,28 @@ def test_packing_is_an_exact_round_trip(edges, edge_rows, no_docs):
     assert packing.pack(no_docs, tokenizer_path()).count() == 0
 
 
+def test_words_are_tokenized_once_and_met_ones_stay(monkeypatch):
+    """Letter case and marks make no further calls of the model; a full cache keeps the words that are met again."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(packing, "_caches", {})
+    encode = packing.word_encoder(tokenizer_path())
+    held, calls = packing._caches[tokenizer_path()], []
+    model = held.tokenizer.model.tokenize
+    held.tokenize = lambda piece: calls.append(piece) or model(piece)
+    text = "Grüße grüße, GRÜSSE zyxwvut Zyxwvut. ZYXWVUT, (zyxwvut) it's 12 <|x|>ZY\u017f İstanbul"
+    for part in (text[:52], text, "\x1c" + text[:30], "ÀÉ\u0300 ñandú"):
+        assert encode(part) == ids(part)
+    assert calls.count("zyxwvut") == 1
+    monkeypatch.setattr(packing, "CACHED_WORDS", 8)
+    for k in range(40):
+        word = "".join(chr(97 + int(c)) for c in str(1000 + k))
+        assert encode(f"often {word}") == ids(f"often {word}")
+    assert calls.count("often") == 1 and len(held) + len(held.older) <= 8 + 40
+
+
 def test_merging_fills_windows_and_ends_in_powers_of_two():
     pieces = [(d, 0, bytes(4 * n), n) for d, n in enumerate((5, 9, 30, 7, 2))]
     out = list(packing.merge_pieces(pieces, 16, last=True))
