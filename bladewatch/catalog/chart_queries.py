@@ -260,7 +260,7 @@ def _overlaid(spark, sf_dir):
     lab = labelled(spark, sf_dir)
     return faults.overlay_faults(
         scored(spark, sf_dir).drop("deviations", "ranked_sensors", "top_abnormal_sensors"), injections(spark, sf_dir),
-        baseline_moments(train_rows(lab), hot_units(spark, sf_dir)), _block(spark, sf_dir))
+        baseline_moments(train_rows(lab)), _block(spark, sf_dir))
 
 
 @register("j9_fault_overlay", with_ctes(

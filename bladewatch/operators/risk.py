@@ -19,14 +19,15 @@ from bladewatch.functions.advice import engine_code, subsystem_of
 from bladewatch.functions.numeric import digest, digest_normal, half_even
 from bladewatch.operators.advisory import primary_fault
 
-PARTS = 64  # of the tasks' sums, before they are added up
+PARTS = 64  # of the engines, and of the tasks' sums before they are added up
 
 
 def own_draws(fleet: DataFrame, n_sims: int = C.N_SIMULATIONS, seed: int = C.SEED) -> DataFrame:
     """Adds ``own``, the engine's draws of all simulations before the common shock, and their spread ``draw_std``."""
     z = F.transform(F.sequence(F.lit(0), F.lit(n_sims - 1)), lambda s: digest_normal(digest(
         F.lit(seed), F.col("engine_id"), s)))
-    with_z = fleet.withColumn("_z", z)
+    # A few small rows, one an engine, make thousands of draws each; left as they are they would share one task or two.
+    with_z = fleet.repartition(PARTS, "engine_id").withColumn("_z", z)
     # A lambda sees plain columns only, so nothing costly can be worked out anew for every element.
     scaled = with_z.withColumn("_scale", F.lit(5.0) + F.lit(4.0) * rul_bin(F.col("predicted_RUL")))
     own = F.transform("_z", lambda x: F.greatest(F.col("predicted_RUL") + x * F.col("_scale"), F.lit(0.0)))
