@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bladewatch import constants as C
-from bladewatch.operators import features, iforest, labels, plotdata, rul
+from bladewatch.catalog import model_queries
+from bladewatch.operators import explain, features, iforest, labels, plotdata, risk, rul, stats
 from bladewatch.operators.faults import detection_latency, fault_effects
 from bladewatch.operators.ranks import exact_percentiles
 from bladewatch.sources import supplied, text
@@ -165,3 +166,46 @@ def test_transfer_penalties(spark):
     assert {(r.source, r.target): r.transfer_penalty_pct for r in matrix.collect()} == {
         ("A", "A"): 0.0, ("A", "B"): 50.0, ("B", "B"): 0.0}
     assert rul.transfer_summary(matrix).first().transfer_degradation_pct == 100.0
+
+
+def test_no_row_is_shuffled_or_sorted_for_baselines_and_last_rows(spark):
+    """Healthy rows need no exchange of rows, and last rows of fixed size and engine summaries no sort of them."""
+    cells = [(s, "train", e, c, 120 - c if s == "A" else 5, float(c * e), "x" if c > 3 else "y", "Anomalous" if c % 7 == 3 else "Normal",
+              ["sensor_2", "sensor_3"][c % 2]) for s in ("A", "B") for e in (1, 2) for c in range(1, 81)]
+    df = spark.createDataFrame(cells, "subset string, split string, engine_id long, cycle long, RUL_capped long, sensor_2 double, "
+                                      "anomaly_severity string, anomaly_label string, lead string").withColumns({
+        "ranked_sensors": F.array("lead"), "anomaly_score": F.col("sensor_2")})
+    moments = stats.baseline_moments(df)
+    got = {r["subset"]: r["mean_sensor_2"] for r in moments.collect()}
+    late = [x[5] for x in cells if x[0] == "A" and x[4] >= C.HEALTHY_RUL]
+    early = [x[5] for x in cells if x[0] == "B" and x[3] <= C.EARLY_CYCLES]
+    assert len(late) < C.MIN_HEALTHY_ROWS or got["A"] == pytest.approx(np.mean(late))
+    assert got["B"] == pytest.approx(np.mean(early))
+    for line in plan(moments).splitlines():  # ranks are limited before rows are exchanged
+        assert "Window [" not in line or "row_number" in line
+    assert "WindowGroupLimit" in plan(moments)
+    numbers = df.select(*C.UNIT, "cycle", "sensor_2", "RUL_capped")
+    assert "Sort" not in plan(features.engine_tail(numbers))
+    assert rows(features.engine_tail(numbers)) == rows(numbers.filter("cycle = 80"))
+    summary = explain.engine_summary(df)
+    assert any(" HashAggregate(" in line and "anomaly_severity" in line.split("functions=")[0] for line in plan(summary).splitlines())
+    for r in summary.collect():
+        assert (r["last_observed_cycle"], r["final_anomaly_score"], r["final_anomaly_severity"], r["final_anomaly_status"]) == (
+            80, 80.0 * r["engine_id"], "x", "Anomalous" if 80 % 7 == 3 else "Normal")
+        assert (r["total_cycles_observed"], r["total_anomalous_cycles"], r["first_anomalous_cycle"]) == (80, 12, 3)
+
+
+def test_regimes_write_no_features(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(model_queries, "_kept", {})
+    monkeypatch.setattr(model_queries, "materialise", lambda df, label: written.append(label) or df)
+    assert model_queries.m1_operating_regimes(spark, sf).count() == 8 and not written
+    assert model_queries.s7_saved_regimes(spark, sf).filter("difference > 0").count() == 0 and not written
+    model_queries._staged(spark, sf)
+    assert written == ["features"]
+
+
+def test_draws_of_few_engines_are_dealt_to_many_tasks(spark):
+    fleet = spark.createDataFrame([("A", "test", e, 20.0) for e in range(200)], "subset string, split string, engine_id long, predicted_RUL double")
+    drawn = risk.own_draws(fleet.coalesce(1), 3)
+    assert drawn.rdd.getNumPartitions() == risk.PARTS
