@@ -19,7 +19,7 @@ from bladewatch.llm.common import let, own_row, saved
 
 RUN = 2
 LEAST_CHARS = 100  # of a span; two sentences of one common line often have fewer
-SPANS_HELD = 200_000  # of one batch before they go out
+SPANS_HELD = 10_000  # of one batch before they go out, some 2 MB; workers share what the JVM leaves of an executor
 LONG_WORDS = 50  # a sentence of so many words is a span of its own
 # between sentences: white space after sentence punctuation, or a line end with the white space around it
 BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09\x0D]*\n[\x20\x09-\x0D]*"
@@ -72,21 +72,23 @@ def spans(docs: DataFrame, run: int = RUN, least_chars: int = LEAST_CHARS, id_co
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple] = []  # (row, at, n, key)
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                said = _BREAK.split(text.strip(WHITE))
+            of, places, sizes, keys = [], [], [], []
+            for k, text in enumerate(batch.column(2)):
+                said = _BREAK.split(text.as_py().strip(WHITE))
                 if len(said) < run and len(said[0]) < 2 * LONG_WORDS - 1:
                     continue
                 own = [xxhash.xxh3_128_digest(x.encode()) for x in said]
-                found += [(k, at, n, xxhash.xxh3_128_digest(b"".join(own[at:at + n])))
-                          for at, n in span_places(said, run, least_chars)]
-                if len(found) >= SPANS_HELD:
-                    yield rows_of(batch, found)
-                    found = []
-            yield rows_of(batch, found)
-
-    def rows_of(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
-        of, at, n, key = zip(*found) if found else ((),) * 4
+                for at, n in span_places(said, run, least_chars):
+                    of.append(k)
+                    places.append(at)
+                    sizes.append(n)
+                    keys.append(xxhash.xxh3_128_digest(b"".join(own[at:at + n])))
+                if len(of) >= SPANS_HELD:
+                    yield rows_of(batch, of, places, sizes, keys)
+                    of, places, sizes, keys = [], [], [], []
+            yield rows_of(batch, of, places, sizes, keys)
+
+    def rows_of(batch: pa.RecordBatch, of: list, at: list, n: list, key: list) -> pa.RecordBatch:
         of = pa.array(of, pa.int32())
         return pa.RecordBatch.from_arrays([
             batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(n, pa.int32()),
