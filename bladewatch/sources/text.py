@@ -35,13 +35,13 @@ def read_telemetry(spark: SparkSession, path: str | list[str], strict: bool = Tr
     Blank lines are skipped and trailing blanks ignored. A bad record (another column count than 26, a cell that is no
     number, a fractional id) fails the job when it is read (``strict``); else it is left to ``bad_records``.
     """
-    records = _records(spark, path).filter(~F.col("problem").eqNullSafe("blank"))
+    records = _records(spark, path).filter(F.col("line") != "")  # a filter on the problem would parse each line over again
     good = F.col("problem").isNull()
     if strict:
         message = F.concat("problem", F.lit(" in "), "file")
         numbers = F.when(good, F.col("n")).otherwise(F.raise_error(message).cast("array<double>"))
     else:
-        records, numbers = records.filter(good), F.col("n")
+        numbers = F.explode(F.when(good, F.array("n")))
     cells = records.select("file", numbers.alias("n"))
     return cells.select(
         F.regexp_extract("file", TELEMETRY_NAME, 2).alias("subset"),

@@ -168,3 +168,12 @@ def test_an_engine_is_found_by_a_filter_in_the_scan(spark, sf):
         found = all_queries()[name](spark, sf)
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "EqualTo(engine_id,8)" in plan and "rangepartitioning" not in plan and found.count() > 0, name
+
+
+def test_blank_lines_are_left_out_without_parsing_each_line_twice(spark, sf, tmp_path):
+    (tmp_path / "train_FD001.txt").write_text("1 1 " + "0.5 " * 24 + "\n   \n\t\n1 2 x " + "0.5 " * 23 + "\n")
+    read = text.read_telemetry(spark, str(tmp_path / "train_FD001.txt"), strict=False)
+    assert [(r["subset"], r["split"], r["engine_id"], r["cycle"]) for r in read.collect()] == [("FD001", "train", 1, 1)]
+    for strict in (True, False):
+        plan = text.read_telemetry(spark, str(tmp_path / "train_FD001.txt"), strict)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("try_cast") == 1
