@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,73 @@ def test_an_engine_is_found_by_a_filter_in_the_scan(spark, sf):
         assert "EqualTo(engine_id,8)" in plan and "rangepartitioning" not in plan and found.count() > 0, name
 
 
+class _Handle:
+    """State in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.kept = 0, set(), {}
+
+    def _state(self, name):
+        kept, handle = self.kept.setdefault(name, {}), self
+
+        class State:
+            def __getattr__(self, what):
+                handle.calls += 1
+                return {"exists": lambda: None in kept, "get": lambda: kept[None], "update": lambda v: kept.update({None: v}),
+                        "clear": kept.clear, "keys": lambda: list(kept), "containsKey": kept.__contains__,
+                        "getValue": kept.__getitem__, "updateValue": kept.__setitem__, "removeKey": kept.pop}[what]
+
+        return State()
+
+    def getValueState(self, name, _):
+        return self._state(name)
+
+    def getMapState(self, name, *_):
+        return self._state(name)
+
+    def registerTimer(self, time):
+        self.timers.add(time)
+
+    def deleteTimer(self, time):
+        self.timers.remove(time)
+
+
+class _Watermark:
+    def __init__(self, time):
+        self.time = time
+
+    def getCurrentWatermarkInMs(self):
+        return self.time
+
+
+def _taken_in_order(few, batches, idle=3000):
+    handle, out = _Handle(), []
+    processor = ordered.OrderedRolling(3, 60, idle, few)
+    processor.init(handle)
+    for rows, watermark in batches:
+        frame = pd.DataFrame({"at": pd.to_datetime([r[0] for r in rows], unit="s"), "event_id": [r[1] for r in rows],
+                              "reading": [r[2] for r in rows]})
+        list(processor.handleInputRows((7,), iter([frame[:5], frame[5:]]), None))
+        for due in [t for t in handle.timers if t <= watermark * 1000]:
+            handle.timers.remove(due)
+            out += list(processor.handleExpiredTimer((7,), _Watermark(watermark * 1000), None))
+    return pd.concat(out, ignore_index=True), handle
+
+
+def test_an_engine_with_few_readings_costs_few_state_calls():
+    rng = np.random.default_rng(3)
+    times = [int(t) for t in np.cumsum(rng.choice([0, 20, 90, 600, 4000], 300))]
+    rows = [(t, k, None if k % 17 == 0 else float(rng.normal())) for k, t in enumerate(times)]
+    late = [*rows[150:10:-1], *rows[100:120], *rows[:11]]  # out of order, some twice
+    batches = [(late, times[120]), (rows[151:], times[-1] + 61)]
+    quick, handle = _taken_in_order(10**6, batches)
+    slow, by_slot = _taken_in_order(20, batches)
+    pd.testing.assert_frame_equal(quick, slow)
+    assert quick["event_id"].tolist() == list(range(300))
+    assert handle.calls <= 15 < 300 < by_slot.calls
+    assert not handle.kept["open"] and not by_slot.kept["open"]
+
+
 def test_blank_lines_are_left_out_without_parsing_each_line_twice(spark, sf, tmp_path):
     (tmp_path / "train_FD001.txt").write_text("1 1 " + "0.5 " * 24 + "\n   \n\t\n1 2 x " + "0.5 " * 23 + "\n")
     read = text.read_telemetry(spark, str(tmp_path / "train_FD001.txt"), strict=False)
