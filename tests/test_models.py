@@ -152,16 +152,16 @@ def test_small_subset_has_its_own_path_scale(spark):
 
 def test_a_forest_is_fitted_in_parts_over_few_partitions(spark, frame, tmp_path):
     train = frame.filter("subset = 'S1'").repartition(40)
-    fits = rul.fit_parts(train, "random_forest", FEATURES, 300, numTrees=25, maxDepth=4)
+    fits = rul.fit_parts(train, "random_forest", FEATURES, 300, numTrees=60, maxDepth=4)
     assert len(fits) == 3 and len(rul.fit_parts(train, "gradient_boosting", FEATURES, 300)) == 1
     rul.write_fits({"S1": fits}, spark, str(tmp_path / "m"))
     model = spark.read.parquet(str(tmp_path / "m/models")).first()
-    assert model["trees"] == [10, 10, 5] and np.allclose(model["weights"], [1 / 25] * 25)
+    assert model["trees"] == [25, 25, 10] and np.allclose(model["weights"], [1 / 60] * 60)
     loaded = [rul.PipelineModel.load(str(tmp_path / f"m/pipelines/S1/{p}")) for p in range(3)]
     assert len({m.stages[-1].toDebugString.split("\n", 1)[1] for m in loaded}) == 3
     rows = train.withColumn("true_RUL", F.lit(0.0))
     want = sum(n * np.array([r["predicted_RUL"] for r in rul.predict_rul(m, rows).orderBy("row").collect()])
-               for m, n in zip(loaded, model["trees"])) / 25
+               for m, n in zip(loaded, model["trees"])) / 60
     scorer = rul.load_scorer(spark, str(tmp_path / "m"))
     assert np.allclose([r["predicted_RUL"] for r in scorer.predict(rows).orderBy("row").collect()], want, atol=1e-9)
     weights = [r["importance"] for r in spark.read.parquet(str(tmp_path / "m/importances")).collect()]
