@@ -10,7 +10,7 @@ from bladewatch.catalog.inputs import test_rows, train_rows
 from bladewatch.catalog.sql_base import FRAME, SENSORS, SETTINGS, UNIT, rnd, with_ctes
 from bladewatch.functions.numeric import half_even
 from bladewatch.operators import features, labels, quality, regimes, stats
-from bladewatch.sources.supplied import dirty_telemetry, ground_truth, hot_units, labelled, telemetry
+from bladewatch.sources.supplied import dirty_telemetry, ground_truth, hot_units, labelled, settings_telemetry, telemetry
 
 QUERIES, SQL = {}, {}
 
@@ -389,7 +389,7 @@ for _key, _kind in (("w1_rolling_mean", "rolling_mean"), ("w2_rolling_std", "rol
 @register("w5_settings_rolling_mean", with_ctes(f"SELECT {UNIT}, cycle, " + ", ".join(
     f"{rnd(f'avg({s}) OVER {_R}', 4)} AS {s}_rolling_mean" for s in SETTINGS) + " FROM tel", "tel"))
 def w5_settings_rolling_mean(spark, sf_dir):
-    tel = telemetry(spark, sf_dir, sensors=())
+    tel = settings_telemetry(spark, sf_dir)
     out = features.engineer_features(tel, split_hot=hot_units(spark, sf_dir))
     return quality.rounded(out.select(*C.UNIT, "cycle", *[f"{s}_rolling_mean" for s in SETTINGS]), 4)
 
