@@ -1,6 +1,7 @@
 """Principal components of every subset's own rows, fitted together.
 
-Each task adds up the products of its centred rows per subset, so what is shuffled has one row per task and subset. The
+Each task adds up the products of its rows per subset, centred on its own means, so the rows are read once and what is
+shuffled has one row per task and subset. Parts are put together with the products of the gaps between their means. The
 eigenvectors are those of a small matrix, as wide as there are columns.
 """
 
@@ -8,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,40 +58,47 @@ def _filled(c: str):
     return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
 
 
+def _joint(a: tuple, b: tuple) -> tuple:
+    """Number, means and products of the centred rows of two parts together."""
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
 def fit_components(df: DataFrame, columns: list[str], k: int = 2) -> Components:
     """The first ``k`` components of each subset's rows, centred and not scaled; missing values count as 0.
 
     An axis points so that its largest loading is positive.
     """
-    rows = df.select("subset", *(_filled(c) for c in columns)).filter("subset IS NOT NULL")
-    sizes = rows.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns]).collect()
-    means = {r["subset"]: np.array([r[c] for c in columns]) for r in sizes}
-    held = df.sparkSession.sparkContext.broadcast(means)
-    d = len(columns)
+    rows, d = df.select("subset", *(_filled(c) for c in columns)).filter("subset IS NOT NULL"), len(columns)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, tuple] = {}
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
             values = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(d)], axis=1)
             for name in dict.fromkeys(names):
-                own = values[names == name] - held.value[name]
-                sums[name] = sums.get(name, 0.0) + own.T @ own
+                own = values[names == name]
+                mean = own.mean(axis=0)
+                part = len(own), mean, (own - mean).T @ (own - mean)
+                sums[name] = _joint(sums[name], part) if name in sums else part
         yield pa.RecordBatch.from_arrays([
-            pa.array(list(sums), pa.string()), pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))],
-            ["subset", "products"])
+            pa.array(list(sums), pa.string()), pa.array([n for n, _, _ in sums.values()], pa.int64()),
+            *(pa.array([s[k].ravel().tolist() for s in sums.values()], pa.list_(pa.float64())) for k in (1, 2))],
+            ["subset", "n", "mean", "products"])
 
     def added(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"subset": part["subset"].iloc[:1], "products": [sum(np.asarray(p) for p in part["products"])]})
+        n, mean, total = reduce(_joint, ((n, np.asarray(m), np.asarray(p).reshape(d, d)) for n, m, p in zip(
+            part["n"], part["mean"], part["products"])))
+        return pd.DataFrame({"subset": part["subset"].iloc[:1], "n": [n], "mean": [mean], "products": [total.ravel()]})
 
-    schema = "subset string, products array<double>"
+    schema = "subset string, n long, mean array<double>, products array<double>"
     parts = rows.mapInArrow(products, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
     total = parts.groupBy("subset", "part").applyInPandas(added, schema).groupBy("subset").applyInPandas(added, schema)
-    fitted = Components(list(columns), means, {}, {})
-    counts = {r["subset"]: r["n"] for r in sizes}
+    fitted = Components(list(columns), {}, {}, {})
     for r in total.collect():
         name = r["subset"]
-        values, vectors = np.linalg.eigh(np.array(r["products"]).reshape(d, d) / max(counts[name] - 1, 1))
+        fitted.means[name] = np.array(r["mean"])
+        values, vectors = np.linalg.eigh(np.array(r["products"]).reshape(d, d) / max(r["n"] - 1, 1))
         axes = vectors[:, ::-1].T[:k]
         largest = np.abs(axes).argmax(axis=1)
         fitted.axes[name] = axes * np.sign(axes[np.arange(len(axes)), largest])[:, None]

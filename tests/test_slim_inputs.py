@@ -1,11 +1,13 @@
 """Inputs that read and write no more than a query needs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bladewatch.catalog import all_queries, data_queries
+from bladewatch.catalog import all_queries, data_queries, model_queries
+from bladewatch.operators.components import fit_components
 from bladewatch.session import tune
-from bladewatch.sources import supplied
+from bladewatch.sources import stages, supplied
 
 
 @pytest.fixture
@@ -36,3 +38,26 @@ def test_rows_of_repeated_keys_are_kept(spark, tables, twice):
     whole = supplied.telemetry(spark, path).groupBy("engine_id").agg(F.count("*").alias("n"), F.max("cycle").alias("last"))
     assert sorted(slim.collect()) == sorted(whole.collect())
     assert slim.agg(F.sum("n")).first()[0] == 2 * spark.read.parquet(f"{path}/lineitem.parquet").count()
+
+
+def test_subset_components_write_no_features(spark, tables, monkeypatch):
+    path, kept = tables(), []
+    for module in (stages, model_queries):
+        monkeypatch.setattr(module, "materialise", lambda df, label: kept.append(label) or df)
+    rows = all_queries()["m7_subset_checks"](spark, path).collect()
+    assert kept == [] and len(rows) == 4 and all(all(r[2:]) for r in rows)
+
+
+def test_components_are_fitted_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    points = {s: rng.normal(size=(n, 3)) * [5.0, 2.0, 1.0] + at for s, n, at in (("a", 400, 1e6), ("b", 7, -3.0), ("c", 1, 2.0))}
+    rows = [(s, *map(float, p)) for s, block in points.items() for p in block]
+    seen = spark.sparkContext.accumulator(0)
+    df = tune(spark).createDataFrame(rows, "subset string, x double, y double, z double").repartition(5)
+    count = F.udf(lambda v: (seen.add(1), v)[1], "double").asNondeterministic()
+    fitted = fit_components(df.withColumn("x", count("x")), ["x", "y", "z"])
+    assert seen.value == len(rows)
+    for name, block in points.items():
+        assert np.allclose(fitted.means[name], block.mean(axis=0), rtol=1e-12)
+        want = np.linalg.eigvalsh(np.cov(block.T))[::-1] if len(block) > 1 else np.zeros(3)
+        assert np.allclose(fitted.variances[name], want, rtol=1e-9, atol=1e-12)
