@@ -199,6 +199,39 @@ def test_one_document_of_each_component_stays(edges):
     assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, None]
 
 
+def test_columns_met_again_are_dealt_out_once(spark, monkeypatch):
+    """Blocks are written once and columns shuffled once, packed; those of several rows come out with all their rows."""
+    rng, labels, saved = np.random.default_rng(4), [], ngram_join.saved
+    tokens = [np.r_[rng.integers(-2**63, 2**63 - 1, 30), np.arange(k % 5) << 40] for k in range(40)]
+    rows = [(k + (k % 3 << 33), len(t), (t >> 24).astype(">i8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()) for k, t in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "cls long, n long, block binary").repartition(3)
+    monkeypatch.setattr(ngram_join, "PACKED", 100)
+    got = collections.Counter((r["token"], r["cls"], r["n"], r["m"]) for r in ngram_join.shared_columns(df, 1000).collect())
+    assert got == collections.Counter((k << 16, c, n, 8 * (4 - k)) for c, n, _ in rows for k in range((n - 30)))
+    monkeypatch.setattr(ngram_join, "saved", lambda df, label: labels.append((label, dict(df.dtypes))) or saved(df, label))
+    ngram_join.jaccard_components(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string"))
+    assert [label for label, kinds in labels if "block" in kinds] == ["ngram-blocks"] and dict(labels)["ngram-blocks"]["block"] == "binary"
+
+
+def test_texts_that_no_pair_needs_are_not_shuffled(spark, edges, monkeypatch):
+    """Above the number of ids that may be broadcast, a filter is, and the rows are the same."""
+    from conftest import prose
+
+    rows = [(i, prose(80, i // 2 if i < 20 else i) + f" end{i}") for i in range(300)] + [(5, prose(80, 2) + " end5"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    base = ngram_join._texts(df, "doc_id", "text")
+    needed = ngram_join.saved(base.filter("doc_id < 12").select("doc_id", "mark").distinct(), "needed")
+    want = [sorted(map(str, f(x).collect())) for f, x in ((ngram_join.jaccard_components, df), (ngram_join.one_per_component, edges))]
+    monkeypatch.setattr(ngram_join, "NEEDED_IDS", 1)
+    assert [sorted(map(str, f(x).collect())) for f, x in ((ngram_join.jaccard_components, df), (ngram_join.one_per_component, edges))] == want
+    seen = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda t: (seen.add(1), t)[1], "string").asNondeterministic()
+    picked = ngram_join._picked(base, needed).withColumn("text", mark("text"))
+    assert picked.count() == 13 and seen.value <= 13
+    few = ngram_join._maybe(base, needed, ["doc_id", "mark"], "maybe").groupBy("maybe").count().collect()
+    assert {r["maybe"]: r["count"] for r in few} == {True: 13, False: 289}
+
+
 def brute_removals(docs, run=2, least=100, long_words=50):
     """(id, text) -> (places of sentences that go, first ids), by the definition of spans over plain strings."""
     breaks = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09\x0D]*\n[\x20\x09-\x0D]*")
