@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bladewatch.operators import iforest, regimes, rul
+from bladewatch.operators import iforest, regimes, rul, tree_scorer
 from bladewatch.operators.tree_scorer import TreeScorer
 from bladewatch.sources.model_store import ModelStore, fingerprint
 
@@ -44,6 +44,22 @@ def test_scorer_equals_spark_ml(frame, fitted, max_nodes):
     assert {frozenset(m) for m in every.values()} == {frozenset(("S1", "S2"))}
 
 
+def test_the_driver_holds_a_part_of_the_trees_at_a_time(spark, frame, fitted, monkeypatch):
+    """Whatever the number of trees, no more than one part of them comes to the driver, and predictions are the same."""
+    _, whole, path = fitted
+    made, flat = [], tree_scorer.flat_trees
+    monkeypatch.setattr(tree_scorer, "flat_trees", lambda nodes, *rest: made.append(len(nodes)) or flat(nodes, *rest))
+    monkeypatch.setattr(tree_scorer, "PART_NODES", 60)
+    scorer = rul.load_scorer(spark, path)
+    largest = spark.read.parquet(f"{path}/nodes").groupBy("group", "tree").count().agg(F.max("count")).first()[0]
+    assert max(made) <= max(60, largest) and sum(made) == spark.read.parquet(f"{path}/nodes").count()
+    assert len(scorer.groups["S1"].parts) > 1 and len(whole.groups["S1"].parts) == 1
+    one, two = (x.predict(frame).orderBy("row").toPandas()["predicted_RUL"] for x in (whole, scorer))
+    assert np.allclose(one, two, rtol=1e-12, equal_nan=True)
+    one, two = ({r["row"]: r["predictions"] for r in x.predict_all(frame).collect()} for x in (whole, scorer))
+    assert all(two[k][g] == pytest.approx(v, rel=1e-12) for k, m in one.items() for g, v in m.items())
+
+
 def test_rows_that_cannot_be_scored(spark, fitted):
     rows = spark.createDataFrame(
         [("S1", 1.0, None, 1.0), ("S2", 1.0, None, 1.0), (None, 1.0, 1.0, 1.0), ("S1", 1.0, 1.0, float("nan"))],
