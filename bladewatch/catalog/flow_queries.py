@@ -15,7 +15,7 @@ from bladewatch.operators import regimes
 from bladewatch.session import scratch_path, tune
 from bladewatch.sources import stages, text
 from bladewatch.sources.stages import materialise
-from bladewatch.sources.supplied import ground_truth, labelled, table, telemetry
+from bladewatch.sources.supplied import ground_truth, labelled, table, unlabelled
 from bladewatch.streaming import ordered
 from bladewatch.streaming import telemetry as streams
 
@@ -39,7 +39,7 @@ K = f"{UNIT}, cycle"
 def s1_raw_telemetry_text(spark, sf_dir):
     """The telemetry written as raw text records and read back."""
     path = scratch_path(spark, "raw")
-    text.write_telemetry(telemetry(spark, sf_dir), path)
+    text.write_telemetry(unlabelled(spark, sf_dir), path)
     return text.read_telemetry(spark, path).select(*C.UNIT, "cycle", *SETTINGS, *SENSORS)
 
 
@@ -52,7 +52,7 @@ _DEFECTS = (
 def _spoiled(spark, sf_dir):
     """The telemetry as text records below a new folder, some of them spoiled."""
     path = scratch_path(spark, "spoiled")
-    text.write_telemetry(telemetry(spark, sf_dir), f"{path}/whole")
+    text.write_telemetry(unlabelled(spark, sf_dir), f"{path}/whole")
     cells = F.split("value", " ")
     hit = {kind: (cells[4].cast("double") == line) & (cells[6].cast("double") == quantity)
            for kind, line, quantity, _ in _DEFECTS}
@@ -62,7 +62,7 @@ def _spoiled(spark, sf_dir):
         .when(hit["word"], F.regexp_replace("value", r"\S+$", "n/a"))
         .when(hit["half"], F.regexp_replace("value", r"^\S+", "1.5"))
         .when(hit["blank"], "  ").otherwise(F.col("value")))
-    spark.read.text(f"{path}/whole").select("name", value.alias("value")).write.partitionBy("name").text(f"{path}/spoiled")
+    text.write_lines(spark.read.text(f"{path}/whole").select("name", value.alias("value")), f"{path}/spoiled")
     return f"{path}/spoiled"
 
 

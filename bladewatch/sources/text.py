@@ -10,6 +10,7 @@ from bladewatch.operators.ordering import bucketed_ordinal
 # File names (fixed values): train_FD001.txt, test_FD001.txt, RUL_FD001.txt.
 TELEMETRY_NAME = r"(train|test)_(FD\d+)"
 TRUTH_NAME = r"RUL_(FD\d+)"
+FILE_LINES = 1_000_000  # of a written file, at most; compressed, it is read by one task
 
 
 def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -90,11 +91,16 @@ def read_truth(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("line").cast("double").cast("long").alias("true_rul"))
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes (name, value) as compressed text files of a bounded length, one folder per name."""
+    lines.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).partitionBy("name").text(path)
+
+
 def write_telemetry(df: DataFrame, path: str) -> None:
     """Writes records as text, one folder per file name (``train_FD001`` ...); absent sensors become 0."""
     cells = [F.col(c).cast("string") if c in df.columns else F.lit("0.0") for c in RAW_COLUMNS]
     name = F.concat_ws("_", "split", "subset").alias("name")
-    df.select(name, F.concat_ws(" ", *cells).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    write_lines(df.select(name, F.concat_ws(" ", *cells).alias("value")), path)
 
 
 def write_truth(truth: DataFrame, path: str) -> None:

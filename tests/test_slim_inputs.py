@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bladewatch.catalog import all_queries, data_queries, model_queries
 from bladewatch.operators.components import fit_components
 from bladewatch.session import tune
-from bladewatch.sources import stages, supplied
+from bladewatch.sources import stages, supplied, text
 
 
 @pytest.fixture
@@ -40,6 +40,18 @@ def test_rows_of_repeated_keys_are_kept(spark, tables, twice):
     assert slim.agg(F.sum("n")).first()[0] == 2 * spark.read.parquet(f"{path}/lineitem.parquet").count()
 
 
+def test_raw_text_is_compressed_and_has_no_labels_behind_it(spark, tables, monkeypatch):
+    path, queries = tables(), all_queries()
+    monkeypatch.setattr(text, "FILE_LINES", 100)
+    back = queries["s1_raw_telemetry_text"](spark, path)
+    assert all(f.endswith(".gz") for f in back.inputFiles()) and supplied._state(spark, path) not in supplied._stages
+    counts = queries["s1_record_counts"](spark, path).agg(F.sum("lines"), F.sum("bad")).first()
+    bad = queries["s1_bad_records"](spark, path).agg(F.sum("records"), F.bool_and("placed")).first()
+    assert supplied._state(spark, path) not in supplied._stages and counts[1] == bad[0] > 0 and bad[1]
+    plain = supplied.telemetry(spark, path)  # from the stage table
+    assert counts[0] == plain.count() and sorted(back.select(plain.columns).collect()) == sorted(plain.collect())
+
+
 def test_subset_components_write_no_features(spark, tables, monkeypatch):
     path, kept = tables(), []
     for module in (stages, model_queries):
