@@ -15,7 +15,7 @@ from bladewatch.operators import regimes
 from bladewatch.session import scratch_path, tune
 from bladewatch.sources import stages, text
 from bladewatch.sources.stages import materialise
-from bladewatch.sources.supplied import ground_truth, labelled, table, unlabelled
+from bladewatch.sources.supplied import ground_truth, hot_units, labelled, table, unlabelled
 from bladewatch.streaming import ordered
 from bladewatch.streaming import telemetry as streams
 
@@ -104,12 +104,12 @@ def s2_true_rul_text(spark, sf_dir):
     f"SELECT subset, split, 'features', count(*) FROM lab GROUP BY ALL", "lab"))
 def s3_model_inputs(spark, sf_dir):
     """Model inputs before and after the feature stage exists: processed rows first, features later."""
-    root = scratch_path(spark, "stages")
-    stages.save_stage(labelled(spark, sf_dir), root, "processed")
+    root, dealt = scratch_path(spark, "stages"), not hot_units(spark, sf_dir)
+    stages.save_stage(labelled(spark, sf_dir), root, "processed", dealt)
     before = stages.load_model_inputs(spark, root)
     had = "features" if "sensor_2_diff" in before.columns else "processed"
     first = before.groupBy(*C.FRAME).agg(F.count(F.lit(1)).alias("rows")).withColumn("stage", F.lit(had))
-    stages.save_stage(rolled(spark, sf_dir), root, "features")
+    stages.save_stage(rolled(spark, sf_dir), root, "features", dealt)
     after = stages.load_model_inputs(spark, root)
     has = "features" if "sensor_2_diff" in after.columns else "processed"
     second = after.groupBy(*C.FRAME).agg(F.count(F.lit(1)).alias("rows")).withColumn("stage", F.lit(has))

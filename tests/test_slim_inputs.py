@@ -60,6 +60,31 @@ def test_subset_components_write_no_features(spark, tables, monkeypatch):
     assert kept == [] and len(rows) == 4 and all(all(r[2:]) for r in rows)
 
 
+@pytest.mark.parametrize("name", ["m5_forest_checks", "s7_saved_forest", "s3_model_inputs"])
+def test_features_are_worked_out_where_engines_lie(spark, tables, monkeypatch, tmp_path, name):
+    """No features are written but those of the stage, and windows over engines need no exchange of the labels' rows."""
+    path, kept, wide = tables(), [], []
+    monkeypatch.setattr(spark.conf, "get", (lambda f: lambda k, *d: str(tmp_path / "m") if k == "spark.bladewatch.models.dir" else f(k, *d))(spark.conf.get))
+    monkeypatch.setattr(model_queries, "materialise", lambda df, label: kept.append(label) or df)
+    save = stages.save_stage
+    monkeypatch.setattr(stages, "save_stage", lambda df, *rest: wide.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, *rest))
+    rows = all_queries()[name](spark, path).collect()
+    assert kept == [] and len(rows) == {"s3_model_inputs": 16}.get(name, 4) and (name != "s3_model_inputs" or len(wide) == 2)
+    wide.append(data_queries.rolled(spark, path)._jdf.queryExecution().executedPlan().toString())
+    assert all("hashpartitioning" not in p for p in wide) and "Window" in wide[-1]
+    assert all(r["vote_share_holds"] for r in rows) if name == "m5_forest_checks" else all(r["rows"] > 0 for r in rows)
+
+
+def test_a_bucket_has_whole_engines(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(s, "train", e, c, float(c * e)) for s in ("a", "b") for e in range(30) for c in range(5, 0, -1)],
+                               "subset string, split string, engine_id long, cycle long, sensor_2 double").repartition(7)
+    monkeypatch.setattr(stages, "LEAST_BUCKETS", 3)
+    out = stages.save_buckets(df, str(tmp_path), "rows", 10)
+    assert sorted(out.select(df.columns).collect()) == sorted(df.collect())
+    files = out.groupBy("subset", "engine_id").agg(F.count_distinct(F.col("_metadata.file_path")).alias("n")).agg(F.max("n")).first()[0]
+    assert files == 1 and len(out.inputFiles()) <= 6
+
+
 def test_components_are_fitted_in_one_pass(spark):
     rng = np.random.default_rng(3)
     points = {s: rng.normal(size=(n, 3)) * [5.0, 2.0, 1.0] + at for s, n, at in (("a", 400, 1e6), ("b", 7, -3.0), ("c", 1, 2.0))}
